@@ -74,15 +74,15 @@ WITH rows_ AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 marked AS (
-  SELECT *, row_number() OVER w AS at, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
          length('<|turn|>') + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) + 1
          + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + length('<|end|>') + 1 AS chars
   FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-prefixed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY at) AS upto FROM marked)
+prefixed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM marked)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(upto) FILTER (WHERE role = 'assistant' OR at = n)::BIGINT AS formatted_chars
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(upto) FILTER (WHERE role = 'assistant' OR k = n)::BIGINT AS formatted_chars
 FROM prefixed GROUP BY conv_id""",
 }
