@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curriculum, decision_list, label_shards
+import public_tokenizers
+
+from . import bpe, chat, ctph, curriculum, decision_list, gear_chunks, label_shards
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,15 +32,36 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(chat.conversations_of(rows.unionByName(extra))))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_shards.shard(table(spark, sf_dir, "documents")).drop("linked")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compared(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("next_fingerprint")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gear_chunks.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_format": op5_chat_format,
+    "op6_bpe": op6_bpe,
     "op8_shards": op8_shards,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
