@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, ctph, curriculum, decision_list, gear_chunks, label_shards
+from . import bpe, chat, ctph, curriculum, decision_list, gear_chunks, label_shards, overlap_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_shards.shard(table(spark, sf_dir, "documents")).drop("linked")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
+    "op7_overlap_join": op7_overlap_join,
     "op8_shards": op8_shards,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
