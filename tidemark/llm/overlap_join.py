@@ -74,7 +74,7 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int, num: int, den: int, whole: bool) -> DataFrame:
-    """doc_id, n, cls (64-bit id of the set, null if empty), ids: the whole set, or if not ``whole``
+    """doc_id, row (text hash), n, cls (64-bit id of the set, null if empty), ids: the whole set, or if not ``whole``
     its prefix, or the set where it has SMALL_MOST shingles or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, whole: bool) -
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 n, cls, flat, ends = [], [], [], [0]
-                for value in part.column(1):
+                for value in part.column(2):
                     ids = shingle_set(value.as_py() or "", width)
                     n.append(len(ids))
                     cls.append(np.int64(xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)) if len(ids) else None)
@@ -91,9 +91,10 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, whole: bool) -
                     flat.append(ids)
                     ends.append(ends[-1] + len(ids))
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), column], ["doc_id", "n", "cls", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), column], ["doc_id", "row", "n", "cls", "ids"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, ids array<bigint>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, n bigint, cls bigint, ids array<bigint>")
 
 
 def subset_keys(small: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
@@ -178,7 +179,7 @@ def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): doc_id, n, cls of every row of ``docs`` (doc_id, text); and edges (a, b) between
+    """(sets, links): doc_id, row, n, cls of every row of ``docs`` (doc_id, text); and edges (a, b) between
     classes whose components are those of all links. Jaccard similarity num / den or more links."""
     step = _Join(num, den)
     first = stored(shingle_sets(docs.select("doc_id", "text"), width, num, den, whole=False), "prefixes")
@@ -216,7 +217,7 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     crowded = open_lists.filter(F.col("df") > SHORT_LIST).select("cls").distinct()
     if not crowded.isEmpty():
         links = stored(links.unionByName(_rarest_first(step, crowded, links)), "links")
-    return first.select("doc_id", "n", "cls"), links
+    return first.select("doc_id", "row", "n", "cls"), links
 
 
 def _rarest_first(step: _Join, crowded: DataFrame, links: DataFrame) -> DataFrame:
@@ -234,23 +235,37 @@ def _rarest_first(step: _Join, crowded: DataFrame, links: DataFrame) -> DataFram
     return more.unionByName(step.verified(step.across(rest)))
 
 
-def near_copies(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of ``docs``."""
+def membership(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, row (text hash), n_shingles, component_id, keeper (least (id, row) of the component) for
+    each row of ``docs``; sets without shingles are components of their own."""
     sets, links = linked_classes(docs, width, num, den)
     roots = components(links)
-    least = sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
+    own = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("row").alias("row")))
+    least = sets.filter("n > 0").groupBy("cls").agg(own.alias("own"))
     least = least.join(roots, least["cls"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
-    tops = least.groupBy("root").agg(F.min("own").alias("component_id"))
-    named = stored(least.join(tops, "root").select("cls", "component_id"), "components")
-    out = sets.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    tops = least.groupBy("root").agg(F.min("own").alias("keeper"))
+    named = stored(least.join(tops, "root").select("cls", "keeper"), "components")
+    out = sets.join(named, "cls", "left").withColumnRenamed("n", "n_shingles")
+    top = F.when(F.col("keeper.id") < 2**63 - 1, F.col("keeper.id"))
+    return out.withColumn("component_id", F.coalesce(top, "doc_id")).drop("cls")
+
+
+def near_copies(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of ``docs``."""
+    return membership(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that come first in their component: the smallest id (ties, also exact
-    repeats of a row: one stays). Rows without words all stay. Columns unchanged."""
-    found = near_copies(docs, width, num, den)
-    stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), (F.col("n_shingles") > 0).alias("_has")).distinct()
-    kept = docs.withColumn("_has", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    kept = kept.join(stay, kept["doc_id"].eqNullSafe(stay["_id"]) & (kept["_has"] == stay["_has"]), "left_semi")
-    return kept.drop("_has")
+    """One row of ``docs`` for each component: the one with the smallest id (ties: text hash; of exact
+    repeats of a row one stays). Rows without words all stay. Columns unchanged."""
+    found = membership(docs, width, num, den)
+    here = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("row").alias("row"))
+    stay = found.filter((F.col("n_shingles") == 0) | (here == F.col("keeper"))).groupBy("doc_id", "row").agg(F.count_if(F.col("n_shingles") > 0).alias("times"))
+    stay = stored(stay.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "kept-ids")
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    kept = rows.join(stay.select("_id", "_row"), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_text"] == F.col("_row")), "left_semi").drop("_text")
+    if stay.filter("times > 1").isEmpty():
+        return kept
+    repeated = stay.filter("times > 1").select("_id").distinct()
+    once = kept.join(repeated, kept["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return once.unionByName(kept.join(repeated, kept["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]))

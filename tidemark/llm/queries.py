@@ -9,12 +9,29 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, ctph, curriculum, decision_list, gear_chunks, label_shards, overlap_join
+from . import bpe, chat, ctph, curriculum, decision_list, gear_chunks, kneser_ney, label_shards, overlap_join, pii
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, found = F.col("base"), F.col("found")
+    number = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return spans.select(
+        "doc_id",
+        *map(number, pii.KINDS),
+        F.sha2(pii.joined_spans(base), 256).alias("base_sha256"),
+        pii.joined_spans(F.concat(base, found)).alias("spans"),
+        F.size(found).cast("long").alias("n_found"),
+    )
+
+
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality_by_perplexity(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,6 +76,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_personal_data": op1_personal_data,
+    "op2_perplexity": op2_perplexity,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_chat_format": op5_chat_format,
