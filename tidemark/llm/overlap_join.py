@@ -4,13 +4,13 @@ Documents with equal shingle sets form one class and are joined once. Sets up to
 through fixed-size subsets: two sets of sizes s <= t link only if they share o(s, t) shingles, so both
 emit all their subsets of that size. Larger sets are scanned through inverted lists of their prefix
 (the shingles among which a linked set must share one). The boundary is the one with the least cost,
-counted over all sets: subsets to emit against list entries to scan.
+counted over all sets: subsets to emit against list entries to scan. Prefixes follow one global order
+of shingles: those found frequent in a first scan last, otherwise longest first.
 
 Lists are never expanded into all pairs. In each list, members of like size are first compared with
 one leader; links merge into components; only members that are still in different components are then
 paired, in short lists directly. Members of long lists are joined once more with rarest-first
-prefixes counted over those documents, which leaves common passages out of the prefix; what lists
-remain are treated the same way. Every candidate is verified on the whole sets, so no link between
+prefixes counted over those documents; what lists remain are treated the same way. Every candidate is verified on the whole sets, so no link between
 different sets is lost or invented, other than those implied by a component.
 
 Null texts and texts without words have empty sets and are linked with nothing. Shingles are compared
@@ -36,6 +36,10 @@ from .rolling import mixed
 
 #: Sets up to this size are kept whole in the first pass, so that the boundary can be chosen up to it.
 SMALL_MOST = 40
+#: A shingle is frequent from so many prefixes on; frequent shingles come last in the global order. If
+#: more than MOST_FREQUENT of them exist (8 bytes each go to every worker), none is moved, which changes
+#: the cost and not the result.
+FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Members a list may have to be expanded into pairs of different components in the first pass.
 SHORT_LIST = 64
 
@@ -73,28 +77,68 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(((rare << np.uint64(58)) | (code >> np.uint64(6))).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, width: int, num: int, den: int, whole: bool) -> DataFrame:
-    """doc_id, row (text hash), n, cls (64-bit id of the set, null if empty), ids: the whole set, or if not ``whole``
-    its prefix, or the set where it has SMALL_MOST shingles or fewer."""
+def prefix_of(ids: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The prefix of a set in the global order: not frequent, then ascending id."""
+    size = prefix_size(len(ids), num, den)
+    if len(frequent):
+        spot = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
+        late = frequent[spot] == ids
+        if late.any():
+            ids = np.concatenate([ids[~late], ids[late]])
+    return ids[:size]
+
+
+def frequent_shingles(docs: DataFrame, width: int, num: int, den: int) -> np.ndarray:
+    """Sorted ids of shingles that stand in FREQUENT or more of the documents' leading shingles (half
+    as many again as a prefix has). Counted over all documents; only the frequent ones are fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                leads = [np.zeros(0, np.int64)]
+                for value in batch.column(0).slice(at, 1000):
+                    ids = shingle_set(value.as_py() or "", width)
+                    leads.append(ids[: 3 * prefix_size(len(ids), num, den) // 2])
+                keys, count = np.unique(np.concatenate(leads), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(count, pa.int64())], ["key", "c"])
+
+    counts = docs.select("text").mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    often = stored(counts.filter(F.col("c") >= FREQUENT).select("key"), "frequent")
+    if often.count() > MOST_FREQUENT:
+        return np.zeros(0, dtype=np.int64)
+    return np.sort(often.toPandas()["key"].to_numpy(np.int64))
+
+
+def shingle_sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """doc_id, row (text hash), n, cls (64-bit id of the set, null if empty), ids: the whole set, or if
+    ``frequent`` is given its prefix, and then ``small``: the set where it has SMALL_MOST or fewer."""
+    shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
+        none = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, cls, flat, ends = [], [], [], [0]
+                n, cls, kept, small = [], [], [], []
                 for value in part.column(2):
                     ids = shingle_set(value.as_py() or "", width)
                     n.append(len(ids))
                     cls.append(np.int64(xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)) if len(ids) else None)
-                    if not whole and len(ids) > SMALL_MOST:
-                        ids = ids[: prefix_size(len(ids), num, den)]
-                    flat.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), column], ["doc_id", "row", "n", "cls", "ids"])
+                    if shared is None:
+                        kept.append(ids)
+                    else:
+                        kept.append(prefix_of(ids, shared.value, num, den) if len(ids) else none)
+                        small.append(ids if len(ids) <= SMALL_MOST else none)
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists(kept)]
+                names = ["doc_id", "row", "n", "cls", "ids"]
+                if shared is not None:
+                    columns, names = [*columns, lists(small)], [*names, "small"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, row bigint, n bigint, cls bigint, ids array<bigint>")
+    more = "" if frequent is None else ", small array<bigint>"
+    return rows.mapInArrow(run, f"doc_id bigint, row bigint, n bigint, cls bigint, ids array<bigint>{more}")
 
 
 def subset_keys(small: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
@@ -119,7 +163,7 @@ def subset_keys(small: DataFrame, boundary: int, num: int, den: int) -> DataFram
                     hashes = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
                     yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["key", "n", "cls"])
 
-    return small.select("n", "cls", "ids").mapInArrow(run, "key bigint, n bigint, cls bigint")
+    return small.select("n", "cls", F.col("small").alias("ids")).mapInArrow(run, "key bigint, n bigint, cls bigint")
 
 
 def choose_boundary(tally: list[tuple[int, int, int]], num: int, den: int) -> int:
@@ -150,7 +194,7 @@ class _Join:
         right = self.sets.select(F.col("cls").alias("b"), F.col("ids").alias("y"))
         both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("x", "y"))
-        return both.filter(self.den * common >= self.num * (F.size("x") + F.size("y") - common)).select("a", "b")
+        return both.filter(self.den * common >= self.num * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
     def led(self, lists: DataFrame) -> DataFrame:
         """(a, b): each member of a list with the leader of its size band: the one whose prefix is
@@ -182,11 +226,11 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     """(sets, links): doc_id, row, n, cls of every row of ``docs`` (doc_id, text); and edges (a, b) between
     classes whose components are those of all links. Jaccard similarity num / den or more links."""
     step = _Join(num, den)
-    first = stored(shingle_sets(docs.select("doc_id", "text"), width, num, den, whole=False), "prefixes")
-    classes = first.filter("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("ids").alias("ids"), F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    cut = F.when(F.col("n") > SMALL_MOST, F.size("ids")).otherwise((F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
-    entries = classes.select("cls", "n", F.explode(F.slice("ids", 1, cut)).alias("key"))
+    frequent = frequent_shingles(docs, width, num, den)
+    first = stored(shingle_sets(docs, width, num, den, frequent), "prefixes")
+    alike = (F.first(c).alias(c) for c in ("n", "ids", "small"))
+    classes = stored(first.filter("n > 0").groupBy("cls").agg(*alike, F.min("doc_id").alias("rep")), "classes")
+    entries = classes.select("cls", "n", F.explode("ids").alias("key"))
     counts = entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     lists = entries.join(counts, "key")
     lists = stored(lists, "lists")
@@ -203,9 +247,9 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     wanted = lists.select("cls")
     if by_subset is not None:
         wanted = wanted.unionByName(by_subset.select(F.col("a").alias("cls"))).unionByName(by_subset.select(F.col("b").alias("cls")))
-    reps = classes.select("cls", "rep").join(wanted.distinct(), "cls").select(F.col("rep").alias("_rep")).distinct()
+    reps = stored(classes.select("cls", "rep").join(wanted.distinct(), "cls").select(F.col("rep").alias("_rep")).distinct(), "candidates")
     chosen = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    step.sets = stored(shingle_sets(chosen, width, num, den, whole=True).select("cls", "n", "ids").dropDuplicates(["cls"]), "sets")
+    step.sets = stored(shingle_sets(chosen, width, num, den).select("cls", "n", "ids"), "sets")
 
     pairs = step.led(lists)
     if by_subset is not None:
@@ -222,7 +266,7 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 
 def _rarest_first(step: _Join, crowded: DataFrame, links: DataFrame) -> DataFrame:
     """Links among ``crowded`` classes by prefixes in order of document frequency among them."""
-    own = step.sets.join(crowded, "cls", "left_semi")
+    own = step.sets.join(crowded, "cls", "left_semi").dropDuplicates(["cls"])
     all_entries = stored(own.select("cls", "n", F.explode("ids").alias("key")), "crowd-entries")
     counts = all_entries.groupBy("key").agg(F.count("*").alias("df"))
     order = Window.partitionBy("cls").orderBy("df", "key")
