@@ -28,8 +28,8 @@ from .common import stored
 from .rolling import code_points, mixed
 
 ORDER, PRIOR, QUANTILE, SLACK = 5, 100, 0.995, 1.1
-#: Rows of all orders that may be sent to every worker (12 bytes each, at a load of at most a half).
-MAX_BROADCAST = 3_000_000
+#: Rows of all orders that may be sent to every worker (12 bytes each; hash arrays there hold 24 to 48).
+MAX_BROADCAST = 8_000_000
 #: Fixed value: stands before the start of every text.
 PAD = "\x02" * (ORDER - 1)
 SLICE = 1 << 20
@@ -150,25 +150,52 @@ class Tables:
         return out
 
 
-def packed(grams: DataFrame, contexts: DataFrame) -> dict[str, tuple[Tables, Tables]]:
-    """Per language: tables of probabilities and of context masses, by gram code."""
-
-    def by_lang(rows: DataFrame, value: str) -> dict[str, Tables]:
-        frame = rows.toPandas()
-        out = {}
-        for lang, own in frame.groupby("lang"):
-            code = np.concatenate(
-                [
-                    gram_codes(code_points("".join(part["gram"])), n)[:: max(n, 1)] if n else EMPTY
-                    for n, part in own.groupby(own["gram"].str.len())
-                ]
-            )
-            values = np.concatenate([part[value].to_numpy(np.float32) for _, part in own.groupby(own["gram"].str.len())])
-            out[str(lang)] = Tables(code, values)
-        return out
+Arrays = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def coded(rows: DataFrame, value: str) -> DataFrame:
+    """lang, code, value: the n-grams as 64-bit codes, computed by the executors."""
 
-    p, g = by_lang(grams, "p"), by_lang(contexts, "g")
-    return {lang: (p[lang], g[lang]) for lang in p}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(1).to_pylist()
+            codes = np.empty(len(grams), dtype=np.uint64)
+            sizes = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+            for n in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == n)
+                codes[at] = gram_codes(code_points("".join(grams[i] for i in at)), n)[::n] if n else EMPTY
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64)), batch.column(2).cast(pa.float32())], ["lang", "code", "value"])
+
+    return rows.select("lang", "gram", F.col(value).alias("value")).mapInArrow(run, "lang string, code bigint, value float")
+
+
+def packed(grams: DataFrame, contexts: DataFrame) -> Arrays:
+    """Per language: codes and values of n-grams, codes and values of contexts; 12 bytes a row."""
+    out: Arrays = {}
+    tables = [coded(grams, "p").toArrow(), coded(contexts, "g").toArrow()]
+    langs = [np.array(t.column("lang").to_pandas(), dtype=object) for t in tables]
+    for lang in sorted(set(langs[0])):
+        parts: list[np.ndarray] = []
+        for t, own in zip(tables, langs):
+            at = np.flatnonzero(own == lang)
+            parts += [t.column("code").to_numpy()[at].view(np.uint64), t.column("value").to_numpy()[at]]
+        out[str(lang)] = (parts[0], parts[1], parts[2], parts[3])
+    return out
+
+
+_BUILT: dict[tuple[int, str], tuple[Tables, Tables]] = {}
+
+
+def built(number: int, model: Arrays, lang: str | None) -> tuple[Tables, Tables] | None:
+    """Hash arrays of one language of broadcast ``number``, made once in a worker."""
+    if lang is None or lang not in model:
+        return None
+    if any(n != number for n, _ in _BUILT):
+        _BUILT.clear()
+    if (number, lang) not in _BUILT:
+        codes, p, contexts, g = model[lang]
+        _BUILT[number, lang] = (Tables(codes, p), Tables(contexts, g))
+    return _BUILT[number, lang]
 
 
 def log_probabilities(points: np.ndarray, model: tuple[Tables, Tables]) -> np.ndarray:
@@ -199,13 +226,15 @@ def scored(docs: DataFrame, grams: DataFrame, contexts: DataFrame, max_broadcast
     """doc_id, lang, n_chars, nats (negative log probability of the whole text; null without model)."""
     if grams.count() + contexts.count() > max_broadcast:
         return scored_by_join(docs, grams, contexts)
-    model = docs.sparkSession.sparkContext.broadcast(packed(grams, contexts))
+    arrays = packed(grams, contexts)
+    number = hash((len(arrays), *(tuple(int(x[:64].sum()) for x in (a[0], a[2])) for a in arrays.values())))
+    model = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nats = []
             for lang, text in zip(batch["lang"], batch["text"]):
-                own = model.value.get(lang) if text else None
+                own = built(number, model.value, lang) if text else None
                 total = None
                 if own is not None:
                     total = 0.0
