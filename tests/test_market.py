@@ -1,5 +1,5 @@
 import pytest
-from conftest import normal
+from compare_rows import normal
 
 from tidemark.plans import market
 
