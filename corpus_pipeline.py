@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per taken copy, range-sorted by training position."""
-    return curriculum.by_position(curriculum.mix(docs)).select(docs.columns)
+    return curriculum.by_position(curriculum.mix(docs)).select("doc.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ schedule is inverted at the middle of each copy of a document to give its traini
 
 Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in
 order. Repeated rows are separate documents; rows alike in every read column are interchangeable.
-Empty tables give empty results. Extra columns are carried; added ones are documented below.
+Empty tables give empty results. All columns of a row are carried in one struct, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -79,14 +79,16 @@ def position(kind: Column, share: Column, schedules: Sequence[Schedule] = RAMPS)
 
 
 def mix(docs: DataFrame, schedules: Sequence[Schedule] = RAMPS, repeats: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with size, source_size, target, taken and ``positions`` (array of training times, one per copy).
+    """key, source, size, source_size, target, taken, ``positions`` (array of training times, one per
+    copy) and ``doc`` (struct of all columns) for each row of ``docs``.
 
     A copy is taken if its middle word lies within the source's target, so a source's taken words
     differ from its target by half a document at most. The order in a source is by MD5 of the key;
     hot sources are split into buckets of that order (about ROWS_PER_BUCKET rows each), and only
     bucket sums are scanned across buckets.
     """
-    own = docs.withColumn("size", word_count(F.col(text))).withColumn("_spot", F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")))
+    spot = F.coalesce(F.md5(F.col(key).cast("string")), F.lit(""))
+    own = docs.select(key, "source", word_count(F.col(text)).alias("size"), spot.alias("_spot"), F.struct("*").alias("doc"))
     place = F.conv(F.substring("_spot", 1, 8), 16, 10).cast("long")
     counts = stored(docs.groupBy("source").agg(F.ceil(F.count("*") / ROWS_PER_BUCKET).alias("_buckets")), "source-rows")
     bucketed = own.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, own["source"].eqNullSafe(counts["source"])).drop(counts["source"])
@@ -105,7 +107,7 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = RAMPS, repeats: int = 3
     chosen = F.when(F.col("size") > 0, F.filter(middles, lambda m: m <= F.col("target"))).otherwise(F.array().cast("array<double>"))
     out = out.withColumn("_middles", chosen).withColumn("taken", F.col("size") * F.size("_middles"))
     out = out.withColumn("positions", F.transform("_middles", lambda m: position(F.col("kind"), m / F.col("target"), schedules)))
-    return out.drop("_spot", "_buckets", "_bucket", "_in", "_off", "_s", "_middles", "source_rank", "kind")
+    return out.select(key, "source", "size", "source_size", "target", "taken", "positions", "doc")
 
 
 def by_position(mixed: DataFrame, partitions: int | None = None, key: str = "doc_id") -> DataFrame:

@@ -263,6 +263,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[R
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the base rule and the learned rules keep, columns unchanged."""
-    rules = learn(stored(labelled_stats(text_stats(docs.select("doc_id", "text")), labels), "labelled-stats"))
-    scored = text_stats(docs.select(F.struct("*").alias("_row"), F.col("text")))
-    return scored.filter(~base_failed() & verdict(rules)).select("_row.*")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("q_row"), "text")
+    stats = stored(text_stats(rows).drop("text"), "text-stats")
+    rules = learn(stored(labelled_stats(stats, labels), "labelled-stats"))
+    gone = stats.filter(base_failed() | ~verdict(rules)).select(F.col("doc_id").alias("q_id"), F.col("q_row").alias("q_text")).distinct()
+    gone = stored(gone, "rejected").select(F.struct("*").alias("q_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("q_gone.q_id")) & (F.xxhash64(docs["text"]) == F.col("q_gone.q_text")), "left_anti")

@@ -40,6 +40,8 @@ SMALL_MOST = 40
 #: more than MOST_FREQUENT of them exist (8 bytes each go to every worker), none is moved, which changes
 #: the cost and not the result.
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
+#: Bits of a set's parity bitmap, 64 to a word; ids of candidate documents that may be broadcast.
+BITS, MOST_CANDIDATES = 1024, 2_000_000
 #: Members a list may have to be expanded into pairs of different components in the first pass.
 SHORT_LIST = 64
 
@@ -88,6 +90,13 @@ def prefix_of(ids: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.n
     return ids[:size]
 
 
+def parity(ids: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: each shingle toggles one bit. Bits in which two bitmaps differ are at most as
+    many as shingles in which the sets differ, so a pair with too many differing bits cannot link."""
+    counts = np.bincount(ids & (BITS - 1), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def frequent_shingles(docs: DataFrame, width: int, num: int, den: int) -> np.ndarray:
     """Sorted ids of shingles that stand in FREQUENT or more of the documents' leading shingles (half
     as many again as a prefix has). Counted over all documents; only the frequent ones are fetched."""
@@ -111,7 +120,8 @@ def frequent_shingles(docs: DataFrame, width: int, num: int, den: int) -> np.nda
 
 def shingle_sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray | None = None) -> DataFrame:
     """doc_id, row (text hash), n, cls (64-bit id of the set, null if empty), ids: the whole set, or if
-    ``frequent`` is given its prefix, and then ``small``: the set where it has SMALL_MOST or fewer."""
+    ``frequent`` is given its prefix, and then ``small`` (the set where it has SMALL_MOST or fewer) and
+    ``marks`` (its parity bitmap)."""
     shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +130,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.n
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, cls, kept, small = [], [], [], []
+                n, cls, kept, small, marks = [], [], [], [], []
                 for value in part.column(2):
                     ids = shingle_set(value.as_py() or "", width)
                     n.append(len(ids))
@@ -130,14 +140,15 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int, frequent: np.n
                     else:
                         kept.append(prefix_of(ids, shared.value, num, den) if len(ids) else none)
                         small.append(ids if len(ids) <= SMALL_MOST else none)
+                        marks.append(parity(ids))
                 columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists(kept)]
                 names = ["doc_id", "row", "n", "cls", "ids"]
                 if shared is not None:
-                    columns, names = [*columns, lists(small)], [*names, "small"]
+                    columns, names = [*columns, lists(small), lists(marks)], [*names, "small", "marks"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    more = "" if frequent is None else ", small array<bigint>"
+    more = "" if frequent is None else ", small array<bigint>, marks array<bigint>"
     return rows.mapInArrow(run, f"doc_id bigint, row bigint, n bigint, cls bigint, ids array<bigint>{more}")
 
 
@@ -182,18 +193,30 @@ def choose_boundary(tally: list[tuple[int, int, int]], num: int, den: int) -> in
 
 
 class _Join:
-    """The steps that share a threshold and the stored sets of candidate classes."""
+    """The steps that share a threshold, the documents and the classes (cls, n, marks, rep)."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> None:
+        self.docs, self.classes, self.width, self.num, self.den = docs, classes, width, num, den
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
-        self.sets: DataFrame | None = None
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """cls, n, ids (whole sets) of classes ``wanted`` (cls), from their first documents' texts."""
+        reps = stored(self.classes.join(wanted.distinct(), "cls").select(F.col("rep").alias("_rep")).distinct(), "candidates")
+        few = F.broadcast(reps) if reps.count() <= MOST_CANDIDATES else reps
+        chosen = self.docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+        return stored(shingle_sets(chosen, self.width, self.num, self.den).filter("n > 0").select("cls", "n", "ids"), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of those pairs of classes that link."""
-        left = self.sets.select(F.col("cls").alias("a"), F.col("ids").alias("x"))
-        right = self.sets.select(F.col("cls").alias("b"), F.col("ids").alias("y"))
-        both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+        """(a, b) of those pairs of classes that link: bitmaps first, then whole sets."""
+        left = self.classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("marks").alias("x"))
+        right = self.classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("y"))
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        marked = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+        near = stored(marked.filter((self.den + self.num) * differ <= (self.den - self.num) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+        sets = self.sets_of(near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))))
+        left = sets.select(F.col("cls").alias("a"), F.col("ids").alias("x"))
+        right = sets.select(F.col("cls").alias("b"), F.col("ids").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
+        both = near.join(left, "a").join(right, "b")
         return both.filter(self.den * common >= self.num * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
     def led(self, lists: DataFrame) -> DataFrame:
@@ -225,11 +248,11 @@ def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(sets, links): doc_id, row, n, cls of every row of ``docs`` (doc_id, text); and edges (a, b) between
     classes whose components are those of all links. Jaccard similarity num / den or more links."""
-    step = _Join(num, den)
     frequent = frequent_shingles(docs, width, num, den)
     first = stored(shingle_sets(docs, width, num, den, frequent), "prefixes")
-    alike = (F.first(c).alias(c) for c in ("n", "ids", "small"))
+    alike = (F.first(c).alias(c) for c in ("n", "ids", "small", "marks"))
     classes = stored(first.filter("n > 0").groupBy("cls").agg(*alike, F.min("doc_id").alias("rep")), "classes")
+    step = _Join(docs, classes.select("cls", "n", "marks", "rep"), width, num, den)
     entries = classes.select("cls", "n", F.explode("ids").alias("key"))
     counts = entries.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     lists = entries.join(counts, "key")
@@ -244,13 +267,6 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
         by_subset = stored(keys.join(hubs, "key").filter("cls <> lead.cls").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct(), "subset-pairs")
         lists = lists.filter(F.col("n") * den > boundary * num)
     lists = stored(lists.join(shared, "cls"), "lists")
-    wanted = lists.select("cls")
-    if by_subset is not None:
-        wanted = wanted.unionByName(by_subset.select(F.col("a").alias("cls"))).unionByName(by_subset.select(F.col("b").alias("cls")))
-    reps = stored(classes.select("cls", "rep").join(wanted.distinct(), "cls").select(F.col("rep").alias("_rep")).distinct(), "candidates")
-    chosen = docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    step.sets = stored(shingle_sets(chosen, width, num, den).select("cls", "n", "ids"), "sets")
-
     pairs = step.led(lists)
     if by_subset is not None:
         pairs = pairs.unionByName(by_subset)
@@ -266,7 +282,7 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 
 def _rarest_first(step: _Join, crowded: DataFrame, links: DataFrame) -> DataFrame:
     """Links among ``crowded`` classes by prefixes in order of document frequency among them."""
-    own = step.sets.join(crowded, "cls", "left_semi").dropDuplicates(["cls"])
+    own = step.sets_of(crowded).join(crowded, "cls", "left_semi").dropDuplicates(["cls"])
     all_entries = stored(own.select("cls", "n", F.explode("ids").alias("key")), "crowd-entries")
     counts = all_entries.groupBy("key").agg(F.count("*").alias("df"))
     order = Window.partitionBy("cls").orderBy("df", "key")

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,9 +203,9 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     scan = stored(scanned(docs, key, text), "pii-scan")
     found = stored(found_spans(scan, key), "pii-found")
     spans = stored(_paired(scan.filter((F.size("base") > 0) | (F.size("marks") > 0)), found, key).select(key, "row", F.concat("base", "found").alias("found")).filter(F.size("found") > 0).dropDuplicates([key, "row"]), "pii-spans")
-    rows = docs.withColumn("row", F.xxhash64(key, text))
-    hit = _paired(rows, spans, key)
-    pieces = F.struct(F.col(text), F.col("found"))
+    named = spans.select(F.struct(key, "row", "found").alias("_found"))
+    hit = docs.join(named, docs[key].eqNullSafe(F.col(f"_found.{key}")) & (F.xxhash64(docs[key], docs[text]) == F.col("_found.row")), "left")
+    pieces = F.struct(F.col(text), F.col("_found.found").alias("found"))
 
     @F.pandas_udf("string")
     def replaced(frame):  # type: ignore[no-untyped-def]
@@ -218,9 +219,7 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 parts += [body[at:start], f"[{kind.upper()}]"]
                 at = end
             out.append("".join([*parts, body[at:]]))
-        import pandas as pd
-
         return pd.Series(out, dtype="object")
 
-    touched = hit.filter(F.size("found") > 0).withColumn(text, replaced(pieces))
-    return touched.select(docs.columns).unionByName(hit.filter(F.size("found") == 0).select(docs.columns))
+    touched = hit.filter(F.col("_found").isNotNull()).withColumn(text, replaced(pieces))
+    return touched.select(docs.columns).unionByName(hit.filter(F.col("_found").isNull()).select(docs.columns))
