@@ -95,3 +95,40 @@ def confidence(missing: Column) -> Column:
 def spread_bps(bid: Column, ask: Column, mid: Column) -> Column:
     """Rounded half up."""
     return F.floor(F.try_divide(ask - bid, mid) * 10000 + 0.5).cast("int")
+
+
+def human_usd(value: Column) -> Column:
+    """$1.2M, $3K or $45."""
+    size = F.abs(value)
+    millions = F.concat(F.lit("$"), F.format_number(value / 1e6, "0.0"), F.lit("M"))
+    thousands = F.concat(F.lit("$"), F.format_number(value / 1e3, "0"), F.lit("K"))
+    return F.when(size >= 1e6, millions).when(size >= 1e3, thousands).otherwise(F.concat(F.lit("$"), F.format_number(value, "0")))
+
+
+def rate_band(rate: Column, fair: Column, low: float = 1.003, high: float = 1.005) -> Column:
+    """Target rate where ``rate`` is outside [fair low, fair high], else null."""
+    return F.when((rate < fair * low) | (rate > fair * high), fair * low)
+
+
+def gas_cost(gwei: Column, native_usd: Column, age_ms: Column, units: int = 200_000, stale_ms: int = 300_000) -> Column:
+    return F.when(age_ms <= stale_ms, gwei * units / 1e9 * native_usd)
+
+
+def range_distance(price: Column, low: Column, high: Column) -> Column:
+    """Distance beyond the nearer bound in percent of it, 0 inside."""
+    return F.when(price < low, (low - price) / low * 100).when(price > high, (price - high) / high * 100).otherwise(0.0)
+
+
+def ladder_size(total: Column, levels: int, skew: Column, reserve: float = 0.01) -> Column:
+    """Size of one level: the total less a reserve, over the levels, moved by the inventory skew."""
+    return F.greatest(F.lit(0.0), total * (1 - reserve) / levels * skew)
+
+
+def short_address(text: Column) -> Column:
+    return F.when(F.length(text) > 12, F.concat(F.left(text, F.lit(6)), F.lit("..."), F.right(text, F.lit(4)))).otherwise(text)
+
+
+def age_text(age_ms: Column) -> Column:
+    seconds = F.floor(age_ms / 1000)
+    unit = lambda n, suffix: F.concat(F.floor(seconds / n).cast("string"), F.lit(suffix))
+    return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))

@@ -490,3 +490,115 @@ def refill_reasons(spark, sf):
 def swap_event_id(spark, sf):
     uid = F.when(F.col("user_id") % 7 != 0, F.concat(F.col("user_id").cast("string"), F.lit(":"), V.prop().cast("string")))
     return V.read(spark, sf, "events").select("event_id", uid.alias("uid"))
+
+
+@query("short_address", "SELECT p_partkey, CASE WHEN length(p_name)>12 THEN p_name[1:6]||'...'||right(p_name,4) ELSE p_name END AS short FROM part")
+def short_address(spark, sf):
+    return V.read(spark, sf, "part").select("p_partkey", K.short_address(F.col("p_name")).alias("short"))
+
+
+@query("relative_time", f"SELECT id, CASE WHEN s<60 THEN s||'s' WHEN s<3600 THEN (s//60)||'m' WHEN s<86400 THEN (s//3600)||'h' ELSE (s//86400)||'d' END AS age FROM (SELECT id, ({AS_OF}-ts_ms)//1000 AS s FROM quotes)", "quotes")
+def relative_time(spark, sf):
+    return V.quotes(spark, sf).select("id", K.age_text(F.lit(AS_OF) - F.col("ts_ms")).alias("age"))
+
+
+@query("utc_day", "SELECT ts_ms//86400000 AS day, count(*)::BIGINT AS n FROM quotes GROUP BY 1", "quotes")
+def utc_day(spark, sf):
+    return V.quotes(spark, sf).groupBy(F.floor(F.col("ts_ms") / K.DAY).alias("day")).agg(F.count("*").alias("n"))
+
+
+# --- filters and predicates over routes and positions ---------------------------------------------
+
+
+@query("freshness_filter", f"SELECT id FROM quotes WHERE {AS_OF}-ts_ms BETWEEN 0 AND 172800000", "quotes")
+def freshness_filter(spark, sf):
+    return V.quotes(spark, sf).filter((F.lit(AS_OF) - F.col("ts_ms")).between(0, 2 * K.DAY)).select("id")
+
+
+@query("exclude_set", "SELECT id, source FROM quotes WHERE source NOT IN ('error','view')", "quotes")
+def exclude_set(spark, sf):
+    return V.quotes(spark, sf).filter(~F.col("source").isin("error", "view")).select("id", "source")
+
+
+@query("source_to_venue", "SELECT id, CASE WHEN contains(lower(source),'sign') THEN 'ramp' WHEN contains(lower(source),'click') THEN 'pool' ELSE source END AS venue FROM quotes", "quotes")
+def source_to_venue(spark, sf):
+    low = F.lower("source")
+    return V.quotes(spark, sf).select("id", F.when(low.contains("sign"), "ramp").when(low.contains("click"), "pool").otherwise(F.col("source")).alias("venue"))
+
+
+@query("reputation_filter", "SELECT s_suppkey FROM supplier WHERE s_acctbal>=1000 AND s_nationkey<20 AND s_suppkey%10<>0")
+def reputation_filter(spark, sf):
+    return V.read(spark, sf, "supplier").filter((F.col("s_acctbal") >= 1000) & (F.col("s_nationkey") < 20) & (F.col("s_suppkey") % 10 != 0)).select("s_suppkey")
+
+
+@query("wallet_log_match", """SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON e.user_id=c.c_custkey WHERE e.event_type='click'
+  UNION SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON CAST(json_extract_string(e.props,'$.k') AS INT)=c.c_custkey WHERE e.event_type='click'""")
+def wallet_log_match(spark, sf):
+    """The or-condition as two equi-joins and a distinct: a nested loop would compare all pairs."""
+    logs = V.read(spark, sf, "events").filter("event_type = 'click'").select("event_id", "user_id", V.prop().cast("bigint").alias("to"))
+    wallets = V.read(spark, sf, "customer").select("c_custkey")
+    sent, got = (logs.join(wallets, F.col(c) == F.col("c_custkey")).select("event_id", "c_custkey") for c in ("user_id", "to"))
+    return sent.unionByName(got).distinct()
+
+
+@query("custom_order", "SELECT n_nationkey, row_number() OVER (ORDER BY CASE n_regionkey WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END, n_name)::INT AS place FROM nation")
+def custom_order(spark, sf):
+    order = Window.partitionBy().orderBy(F.when(F.col("n_regionkey") == 2, 0).when(F.col("n_regionkey") == 0, 1).otherwise(2), "n_name")
+    return V.read(spark, sf, "nation").select("n_nationkey", F.row_number().over(order).alias("place"))
+
+
+@query("set_dedupe", "SELECT pool, count(DISTINCT uid)::BIGINT AS ids FROM swaps GROUP BY 1", "swaps")
+def set_dedupe(spark, sf):
+    return V.swaps(spark, sf).groupBy("pool").agg(F.countDistinct("uid").alias("ids"))
+
+
+@query("incident_key", "SELECT venue, string_agg(id::VARCHAR, ',' ORDER BY id) AS key, count(*)::BIGINT AS n FROM positions WHERE value>400000 GROUP BY 1 HAVING count(*)>1", "positions")
+def incident_key(spark, sf):
+    big = V.positions(spark, sf).filter("value > 400000").groupBy("venue").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("key"), F.count("*").alias("n"))
+    return big.filter("n > 1")
+
+
+@query("rate_band", "SELECT p_partkey, round(CASE WHEN p_retailprice/1000<1.003 OR p_retailprice/1000>1.005 THEN 1.003 END,6)::DOUBLE AS target FROM part")
+def rate_band(spark, sf):
+    return V.read(spark, sf, "part").select("p_partkey", r(K.rate_band(F.col("p_retailprice") / 1000, F.lit(1.0))).alias("target"))
+
+
+@query("gas_cost_usd", "SELECT p_partkey, round(CASE WHEN p_size*10000<=300000 THEN p_size*200000/1e9::DOUBLE*p_retailprice END,6) AS gas FROM part")
+def gas_cost_usd(spark, sf):
+    return V.read(spark, sf, "part").select("p_partkey", r(K.gas_cost(F.col("p_size"), F.col("p_retailprice"), F.col("p_size") * 10000)).alias("gas"))
+
+
+@query("range_distance_pct", "SELECT p_partkey, round(CASE WHEN p_retailprice<1000 THEN (1000-p_retailprice)/1000*100 WHEN p_retailprice>1500 THEN (p_retailprice-1500)/1500*100 ELSE 0 END,6)::DOUBLE AS distance FROM part")
+def range_distance_pct(spark, sf):
+    return V.read(spark, sf, "part").select("p_partkey", r(K.range_distance(F.col("p_retailprice"), F.lit(1000.0), F.lit(1500.0))).alias("distance"))
+
+
+@query("lp_token_amounts", """SELECT p_partkey, round(1e4*(1/least(greatest(sqrt(p_retailprice),31::DOUBLE),36::DOUBLE)-1/36::DOUBLE),6) AS amount0,
+  round(1e4*(least(greatest(sqrt(p_retailprice),31::DOUBLE),36::DOUBLE)-31),6) AS amount1 FROM part""")
+def lp_token_amounts(spark, sf):
+    a0, a1 = K.position_amounts(F.lit(1e4), F.sqrt("p_retailprice"), F.lit(31.0), F.lit(36.0))
+    return V.read(spark, sf, "part").select("p_partkey", r(a0).alias("amount0"), r(a1).alias("amount1"))
+
+
+@query("can_trade", "SELECT c_custkey, CASE WHEN c_custkey%7=0 THEN 'breaker' WHEN c_acctbal*2>=10000 THEN 'volume' WHEN c_acctbal<-500 THEN 'daily_loss' WHEN c_acctbal<10 THEN 'low_inventory' END AS reason FROM customer")
+def can_trade(spark, sf):
+    reason = trades.can_trade(F.col("c_custkey") % 7 == 0, F.col("c_acctbal") * 2, -F.col("c_acctbal") - 0.000001, F.col("c_acctbal"), 10000, 500, 10)
+    return V.read(spark, sf, "customer").select("c_custkey", reason.alias("reason"))
+
+
+@query("source_valuation", "SELECT n_regionkey, round(sum(c_acctbal)*0.5,4) AS value, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1")
+def source_valuation(spark, sf):
+    joined = V.read(spark, sf, "customer").join(V.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_regionkey").agg(r(F.sum("c_acctbal") * 0.5, 4).alias("value"), F.count("*").alias("n"))
+
+
+@query("consecutive_failures", _STREAK + "SELECT desk, max(streak) AS longest FROM s GROUP BY 1", "trades")
+def consecutive_failures(spark, sf):
+    return trades.failure_streaks(V.trades(spark, sf)).groupBy("desk").agg(F.max("streak").alias("longest"))
+
+
+@query("union_live_tracked", "SELECT id, 'live' AS origin FROM attempts WHERE status='detected' UNION ALL SELECT DISTINCT attempt_id, 'tracked' FROM lifecycle WHERE attempt_id NOT IN (SELECT id FROM attempts WHERE status='detected')", "attempts", "lifecycle")
+def union_live_tracked(spark, sf):
+    live = V.attempts(spark, sf).filter("status = 'detected'").select("id", F.lit("live").alias("origin"))
+    tracked = V.lifecycle(spark, sf).select(F.col("attempt_id").alias("id")).distinct().join(live, "id", "left_anti")
+    return live.unionByName(tracked.withColumn("origin", F.lit("tracked")))
