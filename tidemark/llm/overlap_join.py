@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .rolling import mixed
+from .rolling import mixed, word_hashes
 
 #: Sets up to this size are kept whole in the first pass, so that the boundary can be chosen up to it.
 SMALL_MOST = 40
@@ -63,20 +63,20 @@ def largest_partner(s: int, num: int, den: int) -> int:
 def shingle_set(text: str, width: int) -> np.ndarray:
     """Sorted distinct shingle ids. The high bits hold (inverted) shingle length, so that ascending
     ids put long, rare shingles first: a fixed global order that needs no counting."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes, sizes = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(hashes):
         return np.zeros(0, dtype=np.int64)
-    width = min(width, len(words))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    n = len(words) - width + 1
+    width = min(width, len(hashes))
+    n = len(hashes) - width + 1
     with np.errstate(over="ignore"):
         code, total = np.full(n, width, dtype=np.uint64), np.zeros(n, dtype=np.int64)
         for i in range(width):
-            code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n])
+            code = code * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
             total += sizes[i : i + n]
+        code = mixed(code)
     rare = (31 - np.minimum(total // 2, 31)).astype(np.uint64)
-    return np.unique(((rare << np.uint64(58)) | (code >> np.uint64(6))).view(np.int64))
+    ids = np.sort(((rare << np.uint64(58)) | (code >> np.uint64(6))).view(np.int64))
+    return ids[np.append(True, ids[1:] != ids[:-1])]
 
 
 def prefix_of(ids: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
