@@ -21,6 +21,11 @@ def _starred(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges: a round that leaves it as it was has settled."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of (a, b) edges of longs; root is the least node reachable.
 
@@ -29,10 +34,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stored(edges, "edges")
-    seen = None
+    seen = _mark(edges)
     for _ in range(rounds):
         edges = stored(_starred(_starred(edges, small=False), small=True), "edges")
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        mark = _mark(edges)
         if mark == seen:
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
