@@ -130,3 +130,32 @@ def test_chunks_shift_and_planted_passages(spark, odd, none, odd_rows):
     left = cut.filter("doc_id = 8").first()["text"]
     assert len(left) == len(passage) - sum(r["n_chars"] for r in by[8])
     assert gear_chunks.repeated_spans(none).count() == 0
+
+
+def test_short_periodic_own_and_null_id_repeats(spark):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    short = " ".join(rng.choice(["a", "on", "to", "be", "it", "x"]) + rng.choice("abcdefgh") for _ in range(51))
+    tight = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51))
+    shared = [short, tight, *((x * 200)[:600] for x in ("na ", "yes no ", "| - | ", "x"))]
+    rows = []
+    for i, passage in enumerate(shared):
+        rows += [(10 * i, noise(300) + passage + noise(300)), (10 * i + 1, noise(90) + passage + noise(400))]
+    own, lone, same = noise(200), noise(200), noise(150)
+    rows += [(900, noise(80) + own + noise(70) + own), (None, noise(50) + lone), (None, noise(120) + lone), (950, same), (950, same)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = gear_chunks.repeated_spans(docs)
+    got = defaultdict(list)
+    for r in spans.collect():
+        got[r["doc_id"]].append(r)
+    texts = dict(rows)
+    for i, passage in enumerate(shared):
+        at = texts[10 * i + 1].index(passage)
+        covered = {p for r in got[10 * i + 1] for p in range(r["start"], r["end"])}
+        assert set(range(at, at + len(passage))) <= covered, passage
+        assert len(covered) <= len(passage) + 20 and [10 * i] == [x for r in got[10 * i + 1] for x in r["first_doc_ids"] if x != 10 * i + 1]
+    assert got[900][0]["end"] == 550 and abs(got[900][0]["start"] - 350) <= 8 and got[900][0]["first_doc_ids"] == [900]
+    assert len(got[None]) == 1 and got[None][0]["n_chars"] >= 200 and got[None][0]["first_doc_ids"] == [None]
+    assert [(r["start"], r["end"]) for r in got[950]] == [(0, 150)]
+    left = sorted(len(r["text"]) for r in gear_chunks.without_spans(docs, spans).filter("doc_id = 950").collect())
+    assert left == [0, 150]

@@ -1,14 +1,20 @@
-"""Substring dedup by content-defined chunking with a gear rolling hash.
-
-A boundary stands where the gear hash of the last 32 code points is a local peak (above REACH values
-on either side). Boundaries depend on near text only, so an insertion shifts none but those beside
-it, chunks are at least REACH + 1 long, and a passage shared by two documents is cut alike in both.
-Chunks are deduplicated by a 64-bit digest: the document with the smallest id keeps a chunk, every
-other document loses it where it belongs to a run of such chunks of MIN_RUN code points or more. A
-passage of over 50 words loses at its ends at most the hash window and a chunk, and stays above that.
-
-Null and empty texts have no chunks. Rows that share a document id count as one document; a null id
-comes last and is reported as null. Empty tables give empty results. Only the id and text are read.
+"""Substring dedup by content-defined boundaries of a gear rolling hash.
+
+A boundary stands at the greatest gear hash (the last one of equals) of every SPREAD positions, so
+boundaries depend on near text only and are never more than SPREAD apart, in periodic text too. A passage
+of MIN_RUN code points holds a boundary together with the 32 code points that its hash covers, wherever
+it stands, so copies of it meet on a 64-bit digest of these. The occurrence that comes first (by document
+id, row and start) is kept; every later one, in other documents or in the same text, is grown to both
+sides by comparing code points. Overlapping or adjacent grown matches make a run, and runs of MIN_RUN code
+points or more are reported.
+
+A boundary is compared with the first occurrence of its 32 code points only. Where that occurrence is a
+shorter match than a later one, a passage can be missed if none of its other boundaries leads to the
+longer match.
+
+Null and empty texts have no spans. Rows that share a document id are rows of their own; of rows equal in
+id and text, all but one are reported whole. Null ids come last and are reported as null. Empty tables
+give empty results. Only the id and text are read.
 """
 
 from __future__ import annotations
@@ -20,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import code_points, gear, peaks, piece_hashes
+from .rolling import code_points, gear, gram_hashes, last_maxima, peaks
 
 REACH, MIN_RUN = 16, 100
+#: Code points that a gear hash covers, and positions of which one is a boundary.
+GRAM = 32
+SPREAD = MIN_RUN - GRAM + 1
 LAST = 2**63 - 1
 
 
@@ -34,53 +43,152 @@ def cuts(points: np.ndarray, reach: int = REACH) -> np.ndarray:
     return found if len(found) and found[-1] == len(points) else np.append(found, len(points))
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
-    """doc, start, end (code points), digest of every chunk of every whole text."""
+def marks(points: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
+    """Starts of the GRAM code points before each boundary; every ``min_run`` code points hold one whole."""
+    if len(points) < min_run:
+        return np.zeros(0, dtype=np.int64)
+    return last_maxima(gear(points)[GRAM - 1 :], min_run - GRAM + 1)
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(key), F.lit(LAST)).alias("doc"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
+
+
+def boundaries(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """doc, row, start, digest of the code points at every boundary of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts, ends, digests = [], [], [], []
-            for key_, value in zip(batch.column(0), batch.column(1)):
+            docs, ids, starts, digests = [], [], [], []
+            for doc, row, value in zip(*(batch.column(i) for i in range(3))):
                 points = code_points(value.as_py() or "")
-                end = cuts(points, reach)
-                if len(end):
-                    keys.append(np.full(len(end), key_.as_py(), dtype=np.int64))
-                    ends.append(end)
-                    starts.append(np.concatenate([np.zeros(1, np.int64), end[:-1]]))
-                    digests.append(piece_hashes(points, end).view(np.int64))
-            if keys:
-                columns = [np.concatenate(x) for x in (keys, starts, ends, digests)]
-                whole = pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32, np.int64))], ["doc", "start", "end", "digest"])
+                at = marks(points, min_run)
+                if len(at):
+                    docs.append(np.full(len(at), doc.as_py(), dtype=np.int64))
+                    ids.append(np.full(len(at), row.as_py(), dtype=np.int64))
+                    starts.append(at)
+                    digests.append(gram_hashes(points, at, GRAM).view(np.int64))
+            if docs:
+                columns = [np.concatenate(x) for x in (docs, ids, starts, digests)]
+                whole = pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int64))], ["doc", "row", "start", "digest"])
                 for at in range(0, whole.num_rows, 100_000):
                     yield whole.slice(at, 100_000)
 
-    rows = docs.select(F.coalesce(F.col(key), F.lit(LAST)).alias("doc"), text)
-    return rows.mapInArrow(run, "doc bigint, start int, end int, digest bigint")
+    return rows.select("doc", "row", "text").mapInArrow(run, "doc bigint, row bigint, start int, digest bigint")
+
 
+_WINDOW = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("first_row", pa.int64()), ("at", pa.int32()), ("first_at", pa.int32()), ("near", pa.string())])
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, min_run: int = MIN_RUN) -> DataFrame:
-    """Spans that documents repeat from others: key, start, end, n_chars, first_doc_ids.
 
-    One row per maximal run of adjacent repeated chunks; ``first_doc_ids`` are the documents that
-    keep them. Digest counts are combined map-side; the join back is on the digest, where Spark can
-    split a digest that very many documents share. Runs are merged inside one document.
+def _aligned(row: int, text: str, pairs: list[dict], side: int) -> list[dict]:
+    """``pairs`` and, where the matched code points recur nearby, the first of each series also against
+    the later periods of the first occurrence: periodic passages can meet a few periods out of step."""
+    out, seen = list(pairs), {}
+    for p in sorted(pairs, key=lambda x: x["start"]):
+        start, first = p["start"], (p["first_row"], p["first_start"])
+        follows = start - seen.get(first, -1 - 2 * side) <= side
+        seen[first] = start
+        if follows:
+            continue
+        gram = text[start : start + GRAM]
+        after = text.find(gram, start + 1, start + side + GRAM)
+        before = text.rfind(gram, max(start - side, 0), start + GRAM - 1)
+        steps = [x for x in (after - start if after >= 0 else 0, start - before if before >= 0 else 0) if x]
+        for k in range(min(steps), side + 1, min(steps)) if steps else ():
+            if p["first_row"] != row or p["first_start"] + k < start:
+                out.append(p | {"first_start": p["first_start"] + k})
+    return out
+
+
+def _windows(needs: DataFrame, spread: int) -> DataFrame:
+    """Text around matched boundaries, one piece per first row and shift where the pieces overlap."""
+    side = spread - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for doc, row, text, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                pairs = _aligned(row, text, pairs, side)
+                pairs.sort(key=lambda x: (x["first_row"], x["start"] - x["first_start"], x["start"]))
+                i = 0
+                while i < len(pairs):
+                    p = pairs[i]
+                    left, last = min(side, p["start"], p["first_start"]), p["start"]
+                    i += 1
+                    while i < len(pairs) and pairs[i]["first_row"] == p["first_row"] and pairs[i]["start"] - pairs[i]["first_start"] == p["start"] - p["first_start"] and pairs[i]["start"] <= last + side + GRAM:
+                        last = pairs[i]["start"]
+                        i += 1
+                    at = p["start"] - left
+                    out.append({"doc": doc, "row": row, "first": p["first"], "first_row": p["first_row"], "at": at, "first_at": p["first_start"] - left, "near": text[at : last + GRAM + side]})
+                    if len(out) >= 5000:
+                        yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
+
+    return needs.select("doc", "row", "text", "pairs").mapInArrow(run, "doc bigint, row bigint, first bigint, first_row bigint, at int, first_at int, near string")
+
+
+def _grown(pieces: DataFrame) -> DataFrame:
+    """Maximal equal stretches of GRAM code points or more of ``near`` and ``there``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for doc, row, first, at, near, there in zip(*(c.to_pylist() for c in batch.columns)):
+                if near == there:
+                    stretches = [(0, len(near))]
+                else:
+                    a, b = code_points(near), code_points(there)
+                    n = min(len(a), len(b))
+                    same = np.zeros(n + 2, dtype=bool)
+                    same[1:-1] = a[:n] == b[:n]
+                    edges = np.flatnonzero(same[1:] != same[:-1])
+                    stretches = [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= GRAM]
+                for s, e in stretches:
+                    for column, value in zip(out, (doc, row, first, at + s, at + e)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "row", "first", "start", "end"])
+
+    return pieces.select("doc", "row", "first", "at", "near", "there").mapInArrow(run, "doc bigint, row bigint, first bigint, start int, end int")
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """Spans that occur before: key, row (hash of key and text), copy, start, end, n_chars, first_doc_ids.
+
+    One row per maximal run of grown matches; ``first_doc_ids`` are the documents that keep them. ``copy``
+    numbers rows equal in key and text. The join on the digest and the one on the first row are inner
+    joins, which Spark can split where very many rows share one. Texts move once by their row, and pieces
+    of them around matched boundaries to the first row. Runs are merged inside one row.
     """
-    made = chunks(docs, key, text, reach)
-    shared = made.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
-    lost = made.join(shared, "digest").filter("doc > first").drop("digest")
-    along = Window.partitionBy("doc").orderBy("start", "end")
+    rows = _rows(docs, key, text)
+    made = boundaries(rows, min_run)
+    here = F.struct("doc", "row", "start")
+    shared = made.groupBy("digest").agg(F.min(here).alias("f"), F.max(here).alias("l")).filter("f < l").drop("l")
+    later = made.join(shared, "digest").filter(here > F.col("f"))
+    pair = F.struct("start", F.col("f.doc").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
+    needs = later.groupBy("row").agg(F.collect_set(pair).alias("pairs"))
+    pieces = _windows(rows.join(needs, "row"), min_run - GRAM + 1)
+    theirs = rows.select(F.col("row").alias("first_row"), F.col("text").alias("_theirs")).filter(F.length("_theirs") >= min_run)
+    pieces = pieces.join(theirs, "first_row").withColumn("there", F.substring("_theirs", F.col("first_at") + 1, F.length("near")))
+    lost = _grown(pieces)
+    along = Window.partitionBy("doc", "row").orderBy("start", "end")
     lost = lost.withColumn("_new", F.when(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1))
     lost = lost.withColumn("_run", F.sum("_new").over(along))
-    spans = lost.groupBy("doc", "_run").agg(
+    spans = lost.groupBy("doc", "row", "_run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first")).alias("first_doc_ids")
     )
-    spans = spans.withColumn("n_chars", F.col("end") - F.col("start")).filter(F.col("n_chars") >= min_run)
-    return spans.select(F.when(F.col("doc") < LAST, F.col("doc")).alias(key), "start", "end", "n_chars", "first_doc_ids")
+    spans = spans.withColumn("copy", F.lit(0)).select("doc", "row", "copy", "start", "end", "first_doc_ids")
+    equal = rows.groupBy("doc", "row").agg(F.count("*").cast("int").alias("n"), F.max(F.length("text")).alias("end")).filter("n > 1")
+    equal = equal.select("doc", "row", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("copy"), F.lit(0).alias("start"), "end", F.array("doc").alias("first_doc_ids"))
+    spans = spans.unionByName(equal).withColumn("n_chars", F.col("end") - F.col("start")).filter(F.col("n_chars") >= min_run)
+    named = lambda x: F.when(x < LAST, x)
+    return spans.select(named(F.col("doc")).alias(key), "row", "copy", "start", "end", "n_chars", F.transform("first_doc_ids", named).alias("first_doc_ids"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of their texts; other columns unchanged."""
-    own = spans.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    own = spans.groupBy(F.col("row").alias("_row"), F.col("copy").alias("_copy")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     pieces = F.transform(
         F.sequence(F.lit(0), F.size("_spans")),
         lambda i: F.substring(
@@ -89,5 +197,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
             F.coalesce(F.get("_spans", i)["start"], F.length(text)) - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)),
         ),
     )
-    joined = docs.join(own, key, "left")
+    numbered = docs.withColumn("_row", F.xxhash64(key, text))
+    numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))) - 1)
+    joined = numbered.join(own, ["_row", "_copy"], "left")
     return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))).select(docs.columns)

@@ -72,7 +72,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gear_chunks.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return gear_chunks.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "copy")
 
 
 QUERIES: dict[str, Query] = {

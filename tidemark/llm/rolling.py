@@ -108,3 +108,26 @@ def peaks(h: np.ndarray, reach: int) -> np.ndarray:
     most = np.maximum(best[: n - reach + 1], best[reach - span :][: n - reach + 1]) if reach > span else best  # most[i]: of h[i : i + reach]
     at = np.arange(reach, n - reach)
     return at[(h[at] > most[at - reach]) & (h[at] >= most[at + 1])]
+
+
+def last_maxima(h: np.ndarray, width: int) -> np.ndarray:
+    """Positions of the greatest value, the last one of equals, of every ``width`` neighbouring values."""
+    if len(h) < width:
+        return np.zeros(0, dtype=np.int64)
+    best, span = (h.astype(np.uint64) << U64(32)) | np.arange(len(h), dtype=np.uint64), 1
+    while span * 2 <= width:
+        best = np.maximum(best[:-span], best[span:])
+        span *= 2
+    if width > span:
+        best = np.maximum(best[: len(h) - width + 1], best[width - span :])
+    at = (best & U64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+
+
+def gram_hashes(points: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width`` code points from each of ``starts``."""
+    own = np.zeros(len(starts), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            own = own * _MULTIPLIER + points[starts + i].astype(np.uint64) + U64(1)
+    return mixed(own)
