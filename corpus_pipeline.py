@@ -1,7 +1,7 @@
 """Corpus pipeline: filter by quality rules, drop near copies, redact personal data, mix sources, encode.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns
-of ``documents``; the last one returns token ids. ``run`` writes each stage as Parquet in the shared
+of ``documents``; the last one returns token ids and the training order. ``run`` writes each stage as Parquet in the shared
 folder and reads it as the next stage's docs. Nulls, empty tables, ties, repeated rows and extra
 columns are treated as the operators' docstrings state.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,21 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of each row."""
-    made = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens, ids and place of each row.
+
+    ``place`` ascends in the order of the rows as stored: number of the part file, then row in it. After
+    ``source_mix``, which writes range-sorted rows, that is the training order. It is null where ``docs``
+    is not read from part files.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).try_cast("long")
+    place = F.shiftleft(part, 40) + F.col("_metadata.row_index")
+    try:
+        placed = docs.select("doc_id", "lang", "source", "text", place.alias("place"))
+        placed.schema  # noqa: B018
+    except AnalysisException:
+        placed = docs.select("doc_id", "lang", "source", "text", F.lit(None).cast("long").alias("place"))
+    made = bpe.encode(placed, public_tokenizers.path("word_bpe_49k.json"))
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

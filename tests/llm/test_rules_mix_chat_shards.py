@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 from compare_rows import normal
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import chat, curriculum, decision_list, label_shards
+from tidemark.llm.common import stored
 from tidemark.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +75,22 @@ def test_mix_edges(odd, none):
     assert out.select("doc.*").columns == odd.columns and curriculum.mix(none).count() == 0
 
 
+def test_mix_query_comes_in_training_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    first = {r["doc_id"]: r["positions"][0] if r["positions"] else 2.0 for r in curriculum.mix(docs).select("doc_id", "positions").collect()}
+    got = [first[r["doc_id"]] for r in QUERIES["op4_mix_sources"](spark, sf).collect()]
+    assert len(set(got)) > 2 and got == sorted(got)
+
+
+def test_pipeline_rows_carry_the_training_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = [r["doc_id"] for r in curriculum.by_position(curriculum.mix(docs)).select("doc_id").collect()]
+    mixed = stored(corpus_pipeline.source_mix(spark, docs, sf), "mixed")
+    rows = corpus_pipeline.token_ids(spark, mixed, sf).select("doc_id", "place").collect()
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["place"])] == want
+    assert corpus_pipeline.token_ids(spark, docs.cache(), sf).columns[-1] == "place"
+
+
 def test_position_inverts_the_schedule(spark):
     ramp = ((0.0, 1.0), (0.5, 3.0), (1.0, 0.0))
     whole = curriculum.integral(ramp)

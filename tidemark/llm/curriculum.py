@@ -116,3 +116,10 @@ def by_position(mixed: DataFrame, partitions: int | None = None, key: str = "doc
     order = ["position", key, "copy"]
     ranged = copies.repartitionByRange(*([partitions] if partitions else []), *order)
     return ranged.sortWithinPartitions(*order)
+
+
+def by_first_position(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every row once, range-sorted by the training position of its first copy (ties: key); rows that
+    are not taken come last."""
+    order = [F.get("positions", F.lit(0)).asc_nulls_last(), F.col(key).asc_nulls_first()]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -39,7 +39,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum.by_first_position(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
