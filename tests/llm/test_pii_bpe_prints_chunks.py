@@ -159,3 +159,14 @@ def test_short_periodic_own_and_null_id_repeats(spark):
     assert [(r["start"], r["end"]) for r in got[950]] == [(0, 150)]
     left = sorted(len(r["text"]) for r in gear_chunks.without_spans(docs, spans).filter("doc_id = 950").collect())
     assert left == [0, 150]
+
+
+def test_trust_runs_to_its_end_and_keys_are_whole(spark):
+    rows = [(f"s{i}", True, ["p0"]) for i in range(30)]
+    rows += [(f"v{step}-{i}", False, [f"p{step}", f"p{step + 1}"]) for step in range(6) for i in range(5)]
+    marks = spark.createDataFrame(rows, "value string, seed boolean, patterns array<string>")
+    assert pii.trusted_values(marks, min_trust=0.4).count() == 30
+    text = "to a.b@example.com,c.d@example.com now " + "7" * 250 + "x and " + "7" * 250 + "y"
+    made = pii.instances(text, pii.base_spans(text))
+    assert [text[s:e] for s, e, _, seed, _ in made if seed] == ["a.b@example.com", "c.d@example.com"]
+    assert len({value for _, _, value, seed, _ in made if not seed}) == 2

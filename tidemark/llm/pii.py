@@ -13,6 +13,8 @@ result. Extra columns are not read by ``personal_spans``; ``redacted`` keeps the
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,7 +30,9 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
 #: A pattern is trusted from this share of trusted instances (with one pseudo-instance against it),
 #: an instance from this score; patterns need so many distinct trusted instances.
-MIN_TRUST, MIN_SUPPORT, ROUNDS = 0.8, 5, 3
+MIN_TRUST, MIN_SUPPORT = 0.8, 5
+#: Rounds run until no new value is trusted; beyond so many the query fails rather than stop short.
+MOST_ROUNDS = 100
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,24 +97,19 @@ def instances(text: str, base: list[Span]) -> list[tuple[int, int, str, bool, li
     if not base and not _DIGIT.search(text):
         return []
     words = [m.span() for m in _TOKEN.finditer(text)]
-    taken = sorted((s, e) for _, s, e in base)
-    marks = []
-    at = 0
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    marks, covered = [], set()
+    for s, e in sorted({(s, e) for _, s, e in base}):
+        i, upto = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e) - 1
+        covered.update(range(i, upto + 1))
+        marks.append((s, e, True, i, upto))
     for i, (s, e) in enumerate(words):
-        while at < len(taken) and taken[at][1] <= s:
-            at += 1
-        if at < len(taken) and taken[at][0] < e:
-            if taken[at][0] >= s:
-                upto = i
-                while upto + 1 < len(words) and words[upto + 1][0] < taken[at][1]:
-                    upto += 1
-                marks.append((taken[at][0], taken[at][1], True, i, upto))
-            continue
         token = text[s:e]
         bare = token.strip(_EDGE)
-        if len(bare) >= 5 and _DIGIT.search(bare):
+        if i not in covered and len(bare) >= 5 and _DIGIT.search(bare):
             start = s + token.index(bare)
             marks.append((start, start + len(bare), False, i, i))
+    marks.sort()
     word = lambda i: text[words[i][0] : words[i][1]].strip(_EDGE).lower()[:40] if 0 <= i < len(words) else ""
     out = []
     for start, end, seed, i, j in marks:
@@ -119,7 +118,9 @@ def instances(text: str, base: list[Span]) -> list[tuple[int, int, str, bool, li
         if not seed:
             key = re.match(r"[^0-9=:]{2,}[=:]|[A-Z]{4}", value)
             patterns += [f"s:{shape(value)}"] + ([f"p:{key.group()[:20]}"] if key else [])
-        out.append((start, end, value[:200], seed, patterns))
+        if len(value) > 200:
+            value = value[:200] + hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
+        out.append((start, end, value, seed, patterns))
     return out
 
 
@@ -145,14 +146,16 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.mapInArrow(run, f"{key} bigint, row bigint, base array<{_SPAN}>, marks array<struct<start:int,end:int,value:string,seed:boolean,patterns:array<string>>>")
 
 
-def trusted_values(marks: DataFrame, rounds: int = ROUNDS, min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Values (not seeds) that the graph of ``marks`` (value, seed, patterns) trusts at the end.
+def trusted_values(marks: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Values (not seeds) that the graph of ``marks`` (value, seed, patterns) trusts once a round adds none;
+    an error if that takes more than ``rounds``. Trust only grows, so rounds come to an end.
 
     Edges are distinct, so copies of a document count once. Sums by pattern are combined map-side;
     the joins back are inner joins on the pattern, which Spark can split where one is frequent.
     """
     edges = stored(marks.select("value", "seed", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
-    trusted = edges.filter("seed").select("value").distinct()
+    trusted = stored(edges.filter("seed").select("value").distinct(), "trusted")
+    size = trusted.count()
     for _ in range(rounds):
         known = edges.join(trusted.withColumn("known", F.lit(1)), "value", "left").withColumn("known", F.coalesce("known", F.lit(0)))
         score = F.sum("known") / (F.count("*") + 1)
@@ -160,6 +163,11 @@ def trusted_values(marks: DataFrame, rounds: int = ROUNDS, min_trust: float = MI
         good = patterns.filter((F.col("support") >= min_support) & (F.col("trust") >= min_trust)).select("pattern")
         reached = edges.filter(~F.col("seed")).join(good, "pattern").select("value").distinct()
         trusted = stored(trusted.unionByName(reached).distinct(), "trusted")
+        before, size = size, trusted.count()
+        if size == before:
+            break
+    else:
+        raise RuntimeError(f"values are still being trusted after {rounds} rounds")
     return trusted.join(edges.filter("seed").select("value").distinct(), "value", "left_anti")
 
 
