@@ -61,8 +61,40 @@ def test_join_of_small_sets_chains_and_crowds(spark):
 
 
 def test_boundary_follows_cost():
-    assert overlap_join.choose_boundary([(10, 100, 10_000_000)], 90, 100) == 10
-    assert overlap_join.choose_boundary([(30, 100, 5)], 90, 100) == 0
+    boundary, lists_only, best = overlap_join.choose_boundary([(10, 100, 10_000_000)], 90, 100)
+    assert boundary == 10 and best < lists_only
+    assert overlap_join.choose_boundary([(30, 100, 5)], 90, 100)[0] == 0
+    assert overlap_join.choose_boundary([(45, 10, 10**12)], 90, 100)[0] == 45
+
+
+def test_near_copies_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    """Twice as many copies of one text, each edited in its own places, make about twice as many pairs."""
+    monkeypatch.setattr(overlap_join, "SHORT_LIST", 8)
+    monkeypatch.setattr(overlap_join, "LONG_LIST", 40)
+    made = []
+    placed = overlap_join._Join.placed
+    counted = []
+
+    def watched(self, lists):
+        pairs = placed(self, lists)
+        counted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(overlap_join._Join, "placed", watched)
+    for m in (150, 300):
+        random.seed(3)
+        rows = []
+        for i in range(m):
+            words = [f"t{j}" for j in range(120)]
+            for _ in range(random.choice([1, 2, 3, 4, 5])):
+                words[random.randrange(120)] = f"e{random.randrange(10**9)}"
+            rows.append((i, " ".join(words)))
+        counted.clear()
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in overlap_join.near_copies(docs).collect()}
+        assert got == plain_components(rows, 3, 90)
+        made.append(sum(counted))
+    assert made[1] <= 3 * made[0] + 100 and made[1] < 300 * 299 / 2 / 4
 
 
 def test_join_edges(spark, odd, none):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,24 +22,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of the scratch tables of the operator at work; those of operators within it go there too.
+_FOLDER: ContextVar[str | None] = ContextVar("_FOLDER", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return context.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary folder if
+    driver and executors are one process, and one in the warehouse otherwise."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+        return _local_folder()
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: a cut in the lineage
     that survives lost executors and is smaller than serialized checkpoint rows."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or _FOLDER.get() or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote; to be called once all that reads them is stored itself."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside the block are removed at its end. What it yields stores results, which stay
+    (until an enclosing block ends)."""
+    outer = _FOLDER.get() or scratch_dir(spark)
+    own = f"{outer}/work-{uuid.uuid4().hex}"
+    token = _FOLDER.set(own)
+    try:
+        yield lambda df, name: stored(df, name, outer)
+    finally:
+        _FOLDER.reset(token)
+        _delete(spark, own)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 #: Characters that separate words, besides the space.
 GAPS = "\t\n\x0b\x0c\r"
@@ -262,10 +262,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[R
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base rule and the learned rules keep, columns unchanged."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("q_row"), "text")
-    stats = stored(text_stats(rows).drop("text"), "text-stats")
-    rules = learn(stored(labelled_stats(stats, labels), "labelled-stats"))
-    gone = stats.filter(base_failed() | ~verdict(rules)).select(F.col("doc_id").alias("q_id"), F.col("q_row").alias("q_text")).distinct()
-    gone = stored(gone, "rejected").select(F.struct("*").alias("q_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("q_gone.q_id")) & (F.xxhash64(docs["text"]) == F.col("q_gone.q_text")), "left_anti")
+    """The rows of ``docs`` that the base rule and the learned rules keep, columns unchanged.
+
+    Texts are read twice, for the statistics of labelled rows and for the verdict, and never moved. The
+    statistics pass through a generator, so that the optimizer does not repeat them in every condition.
+    """
+    with scratch(docs.sparkSession):
+        stats = stored(text_stats(docs.select("doc_id", "text")).drop("text"), "text-stats")
+        rules = learn(stored(labelled_stats(stats, labels), "labelled-stats"))
+    own = text_stats(docs.select(F.struct("*").alias("doc"), "text")).select("doc", F.inline(F.array(F.struct(*STATS))))
+    return own.filter(~base_failed() & verdict(rules)).select("doc.*")
