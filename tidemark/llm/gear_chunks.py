@@ -1,16 +1,18 @@
-"""Substring dedup by content-defined boundaries of a gear rolling hash.
+"""Substring dedup by content-defined chunks of a gear rolling hash.
 
 A boundary stands at the greatest gear hash (the last one of equals) of every SPREAD positions, so
 boundaries depend on near text only and are never more than SPREAD apart, in periodic text too. A passage
-of MIN_RUN code points holds a boundary together with the 32 code points that its hash covers, wherever
-it stands, so copies of it meet on a 64-bit digest of these. The occurrence that comes first (by document
-id, row and start) is kept; every later one, in other documents or in the same text, is grown to both
-sides by comparing code points. Overlapping or adjacent grown matches make a run, and runs of MIN_RUN code
-points or more are reported.
-
-A boundary is compared with the first occurrence of its 32 code points only. Where that occurrence is a
+of MIN_RUN code points holds a boundary together with the GRAM code points that its hash covers, wherever
+it stands, so copies of it meet on a digest of these. A chunk reaches from one boundary's code points to
+the next one's. The occurrence that comes first (by document id, row and start) is kept; every later one,
+in other documents or in the same text, is a repeat. Repeats whose chunks have the digest of the first
+occurrence's chunk join into runs without reading text. Only the two ends of a run are compared code
+point by code point with the text around their first occurrence, so that spans end where the texts part.
+Overlapping or adjacent runs are merged, and those of MIN_RUN code points or more are reported.
+
+A boundary is compared with the first occurrence of its code points only. Where that occurrence is a
 shorter match than a later one, a passage can be missed if none of its other boundaries leads to the
-longer match.
+longer match. Inside a run a chunk is taken as equal by two 64-bit digests.
 
 Null and empty texts have no spans. Rows that share a document id are rows of their own; of rows equal in
 id and text, all but one are reported whole. Null ids come last and are reported as null. Empty tables
@@ -26,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import code_points, gear, gram_hashes, last_maxima, peaks
+from .common import scratch, stored
+from .rolling import code_points, gear, gram_hashes, last_maxima, peaks, piece_hashes
 
 REACH, MIN_RUN = 16, 100
 #: Code points that a gear hash covers, and positions of which one is a boundary.
@@ -55,149 +58,173 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def boundaries(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """doc, row, start, digest of the code points at every boundary of every whole text."""
+    """doc, row, start, next, digest, link: every boundary of every whole text with the digests of its GRAM
+    code points (from ``start``) and of what lies from there to the next boundary (``next``, or -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc", "row", "start", "next", "digest", "link"], (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
         for batch in batches:
-            docs, ids, starts, digests = [], [], [], []
+            parts: list[list[np.ndarray]] = [[] for _ in names]
             for doc, row, value in zip(*(batch.column(i) for i in range(3))):
                 points = code_points(value.as_py() or "")
                 at = marks(points, min_run)
                 if len(at):
-                    docs.append(np.full(len(at), doc.as_py(), dtype=np.int64))
-                    ids.append(np.full(len(at), row.as_py(), dtype=np.int64))
-                    starts.append(at)
-                    digests.append(gram_hashes(points, at, GRAM).view(np.int64))
-            if docs:
-                columns = [np.concatenate(x) for x in (docs, ids, starts, digests)]
-                whole = pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int64))], ["doc", "row", "start", "digest"])
+                    following = np.append(at[1:], -1)
+                    between = np.append(piece_hashes(points[: at[-1]], at)[1:], 0)
+                    made = (np.full(len(at), doc.as_py()), np.full(len(at), row.as_py()), at, following, gram_hashes(points, at, GRAM).view(np.int64), between.view(np.int64))
+                    for part, x, kind in zip(parts, made, kinds):
+                        part.append(x.astype(kind))
+            if parts[0]:
+                whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in parts], names)
                 for at in range(0, whole.num_rows, 100_000):
                     yield whole.slice(at, 100_000)
 
-    return rows.select("doc", "row", "text").mapInArrow(run, "doc bigint, row bigint, start int, digest bigint")
-
-
-_WINDOW = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("first_row", pa.int64()), ("at", pa.int32()), ("first_at", pa.int32()), ("near", pa.string())])
+    return rows.select("doc", "row", "text").mapInArrow(run, "doc bigint, row bigint, start int, next int, digest bigint, link bigint")
 
 
-def _aligned(row: int, text: str, pairs: list[dict], side: int) -> list[dict]:
-    """``pairs`` and, where the matched code points recur nearby, the first of each series also against
-    the later periods of the first occurrence: periodic passages can meet a few periods out of step."""
-    out, seen = list(pairs), {}
-    for p in sorted(pairs, key=lambda x: x["start"]):
-        start, first = p["start"], (p["first_row"], p["first_start"])
-        follows = start - seen.get(first, -1 - 2 * side) <= side
-        seen[first] = start
-        if follows:
-            continue
-        gram = text[start : start + GRAM]
-        after = text.find(gram, start + 1, start + side + GRAM)
-        before = text.rfind(gram, max(start - side, 0), start + GRAM - 1)
-        steps = [x for x in (after - start if after >= 0 else 0, start - before if before >= 0 else 0) if x]
-        for k in range(min(steps), side + 1, min(steps)) if steps else ():
-            if p["first_row"] != row or p["first_start"] + k < start:
-                out.append(p | {"first_start": p["first_start"] + k})
-    return out
+_RUN = "row bigint, s int, l int, firsts array<bigint>, s_row bigint, s_at int, l_row bigint, l_at int"
 
 
-def _windows(needs: DataFrame, spread: int) -> DataFrame:
-    """Text around matched boundaries, one piece per first row and shift where the pieces overlap."""
-    side = spread - 1
+def _runs(matched: DataFrame) -> DataFrame:
+    """Runs of each row from its matched boundaries: first and last start (``s``, ``l``), and where the code
+    points of each occur first. ``matched`` has row and pairs (one per matched boundary of the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            for doc, row, text, pairs in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs = _aligned(row, text, pairs, side)
-                pairs.sort(key=lambda x: (x["first_row"], x["start"] - x["first_start"], x["start"]))
+            out: list[list] = [[] for _ in range(8)]
+            for row, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                pairs.sort(key=lambda p: p["start"])
                 i = 0
                 while i < len(pairs):
-                    p = pairs[i]
-                    left, last = min(side, p["start"], p["first_start"]), p["start"]
+                    first = last = pairs[i]
+                    firsts = {first["first"]}
                     i += 1
-                    while i < len(pairs) and pairs[i]["first_row"] == p["first_row"] and pairs[i]["start"] - pairs[i]["first_start"] == p["start"] - p["first_start"] and pairs[i]["start"] <= last + side + GRAM:
-                        last = pairs[i]["start"]
+                    while last["linked"] and i < len(pairs) and pairs[i]["start"] == last["next"]:
+                        last = pairs[i]
+                        firsts.add(last["first"])
                         i += 1
-                    at = p["start"] - left
-                    out.append({"doc": doc, "row": row, "first": p["first"], "first_row": p["first_row"], "at": at, "first_at": p["first_start"] - left, "near": text[at : last + GRAM + side]})
-                    if len(out) >= 5000:
-                        yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
+                    made = (row, first["start"], last["start"], sorted(firsts), first["first_row"], first["first_start"], last["first_row"], last["first_start"])
+                    for column, value in zip(out, made):
+                        column.append(value)
+            long, short = pa.int64(), pa.int32()
+            kinds = (long, short, short, pa.list_(long), long, short, long, short)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "s", "l", "firsts", "s_row", "s_at", "l_row", "l_at"])
 
-    return needs.select("doc", "row", "text", "pairs").mapInArrow(run, "doc bigint, row bigint, first bigint, first_row bigint, at int, first_at int, near string")
+    return matched.select("row", "pairs").mapInArrow(run, _RUN)
 
 
-def _grown(pieces: DataFrame) -> DataFrame:
-    """Maximal equal stretches of GRAM code points or more of ``near`` and ``there``."""
+def _slices(wanted: DataFrame, side: int) -> DataFrame:
+    """doc, row, at, lead, near: the text around each of ``spots`` of a row; its code points stand at ``lead``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc", "row", "at", "lead", "near"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, row, first, at, near, there in zip(*(c.to_pylist() for c in batch.columns)):
-                if near == there:
-                    stretches = [(0, len(near))]
-                else:
-                    a, b = code_points(near), code_points(there)
-                    n = min(len(a), len(b))
-                    same = np.zeros(n + 2, dtype=bool)
-                    same[1:-1] = a[:n] == b[:n]
-                    edges = np.flatnonzero(same[1:] != same[:-1])
-                    stretches = [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= GRAM]
-                for s, e in stretches:
-                    for column, value in zip(out, (doc, row, first, at + s, at + e)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "row", "first", "start", "end"])
+            out: list[list] = [[] for _ in names]
+            for doc, row, text, spots in zip(*batch.columns):
+                body, at = text.as_py(), spots.as_py()
+                made = ([doc.as_py()] * len(at), [row.as_py()] * len(at), at, [min(x, side) for x in at], [body[max(0, x - side) : x + GRAM + side] for x in at])
+                for column, values in zip(out, made):
+                    column += values
+                if len(out[0]) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                    out = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    return wanted.select("doc", "row", "text", "spots").mapInArrow(run, "doc bigint, row bigint, at int, lead int, near string")
+
+
+def _alike(a: str, b: str) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
+def grown(own: str, lead: int, theirs: str, lead_there: int) -> tuple[int, int]:
+    """How far two texts agree to the left and to the right of the GRAM code points at ``lead`` and
+    ``lead_there``; (-1, -1) if these differ. Where they recur in ``theirs``, as in periodic text, the
+    furthest counts: boundaries of periodic passages can meet a few periods out of step."""
+    gram = own[lead : lead + GRAM]
+    if theirs[lead_there : lead_there + GRAM] != gram:
+        return -1, -1
+    before, after, left, right, at = own[:lead][::-1], own[lead + GRAM :], 0, 0, lead_there
+    while at >= 0:
+        left = max(left, _alike(before, theirs[:at][::-1]))
+        right = max(right, _alike(after, theirs[at + GRAM :]))
+        at = theirs.find(gram, at + 1)
+    return left, right
+
+
+def _ended(ends: DataFrame) -> DataFrame:
+    """doc, row, s, firsts, start (of left ends) or end (of right ends) where the texts part."""
 
-    return pieces.select("doc", "row", "first", "at", "near", "there").mapInArrow(run, "doc bigint, row bigint, first bigint, start int, end int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["at", "left", "lead", "near", "lead_there", "there"]).to_pydict()
+            start, end = [], []
+            for at, is_left, lead, near, lead_there, there in zip(*rows.values()):
+                left, right = grown(near, lead, there, lead_there)
+                start.append(at - left if is_left and left >= 0 else None)
+                end.append(at + GRAM + right if not is_left and right >= 0 else None)
+            kept = [batch.column(n) for n in ("doc", "row", "s", "firsts")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc", "row", "s", "firsts", "start", "end"])
+
+    return ends.mapInArrow(run, "doc bigint, row bigint, s int, firsts array<bigint>, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """Spans that occur before: key, row (hash of key and text), copy, start, end, n_chars, first_doc_ids.
 
-    One row per maximal run of grown matches; ``first_doc_ids`` are the documents that keep them. ``copy``
-    numbers rows equal in key and text. The join on the digest and the one on the first row are inner
-    joins, which Spark can split where very many rows share one. Texts move once by their row, and pieces
-    of them around matched boundaries to the first row. Runs are merged inside one row.
+    One row per maximal run; ``first_doc_ids`` are the documents that keep its parts. ``copy`` numbers rows
+    equal in key and text. The joins on the digest and on the first occurrence are inner joins, which
+    Spark can split where very many rows share one. Texts move once, by their row; the text around each
+    wanted boundary is cut out once, however many runs ask for it. Runs are merged inside one row.
     """
-    rows = _rows(docs, key, text)
-    made = boundaries(rows, min_run)
-    here = F.struct("doc", "row", "start")
-    shared = made.groupBy("digest").agg(F.min(here).alias("f"), F.max(here).alias("l")).filter("f < l").drop("l")
-    later = made.join(shared, "digest").filter(here > F.col("f"))
-    pair = F.struct("start", F.col("f.doc").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
-    needs = later.groupBy("row").agg(F.collect_set(pair).alias("pairs"))
-    pieces = _windows(rows.join(needs, "row"), min_run - GRAM + 1)
-    theirs = rows.select(F.col("row").alias("first_row"), F.col("text").alias("_theirs")).filter(F.length("_theirs") >= min_run)
-    pieces = pieces.join(theirs, "first_row").withColumn("there", F.substring("_theirs", F.col("first_at") + 1, F.length("near")))
-    lost = _grown(pieces)
-    along = Window.partitionBy("doc", "row").orderBy("start", "end")
-    lost = lost.withColumn("_new", F.when(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1))
-    lost = lost.withColumn("_run", F.sum("_new").over(along))
-    spans = lost.groupBy("doc", "row", "_run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first")).alias("first_doc_ids")
-    )
-    spans = spans.withColumn("copy", F.lit(0)).select("doc", "row", "copy", "start", "end", "first_doc_ids")
-    equal = rows.groupBy("doc", "row").agg(F.count("*").cast("int").alias("n"), F.max(F.length("text")).alias("end")).filter("n > 1")
-    equal = equal.select("doc", "row", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("copy"), F.lit(0).alias("start"), "end", F.array("doc").alias("first_doc_ids"))
-    spans = spans.unionByName(equal).withColumn("n_chars", F.col("end") - F.col("start")).filter(F.col("n_chars") >= min_run)
-    named = lambda x: F.when(x < LAST, x)
-    return spans.select(named(F.col("doc")).alias(key), "row", "copy", "start", "end", "n_chars", F.transform("first_doc_ids", named).alias("first_doc_ids"))
+    with scratch(docs.sparkSession) as kept:
+        rows = _rows(docs, key, text)
+        made = boundaries(rows, min_run)
+        side = min_run - GRAM
+        shared = made.groupBy("digest").agg(F.min(F.struct("doc", "row", "start", "link")).alias("f"), F.count("*").alias("many")).filter("many > 1")
+        later = made.select("digest", "row", "start", "next", "link").join(shared, "digest").filter((F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
+        linked = (F.col("next") >= 0) & (F.col("link") == F.col("f.link"))
+        pair = F.struct("start", "next", linked.alias("linked"), F.col("f.doc").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
+        runs = stored(_runs(later.groupBy("row").agg(F.collect_set(pair).alias("pairs"))), "runs")
+        spots = F.array(*(F.struct(F.col(r).alias("row"), F.col(a).alias("at")) for r, a in (("row", "s"), ("row", "l"), ("s_row", "s_at"), ("l_row", "l_at"))))
+        wanted = runs.select(F.inline(spots)).distinct().groupBy("row").agg(F.collect_list("at").alias("spots"))
+        slices = stored(_slices(rows.join(wanted, "row"), side), "slices").dropDuplicates(["row", "at"])
+        end = lambda left, at, r, a: F.struct(F.lit(left).alias("left"), F.col(at).alias("at"), F.col(r).alias("there_row"), F.col(a).alias("there_at"))
+        ends = runs.select("row", "s", "firsts", F.inline(F.array(end(True, "s", "s_row", "s_at"), end(False, "l", "l_row", "l_at"))))
+        there = slices.select(F.col("row").alias("there_row"), F.col("at").alias("there_at"), F.col("lead").alias("lead_there"), F.col("near").alias("there"))
+        lost = _ended(ends.join(slices, ["row", "at"]).join(there, ["there_row", "there_at"]))
+        lost = lost.groupBy("doc", "row", "s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("firsts").alias("firsts")).filter("start is not null and end is not null")
+        along = Window.partitionBy("doc", "row").orderBy("start", "end")
+        lost = lost.withColumn("_new", F.when(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1))
+        lost = lost.withColumn("_run", F.sum("_new").over(along))
+        spans = lost.groupBy("doc", "row", "_run").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_doc_ids")
+        )
+        spans = spans.withColumn("copy", F.lit(0)).select("doc", "row", "copy", "start", "end", "first_doc_ids")
+        equal = rows.groupBy("doc", "row").agg(F.count("*").cast("int").alias("n"), F.max(F.length("text")).alias("end")).filter("n > 1")
+        equal = equal.select("doc", "row", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("copy"), F.lit(0).alias("start"), "end", F.array("doc").alias("first_doc_ids"))
+        spans = spans.unionByName(equal).withColumn("n_chars", F.col("end") - F.col("start")).filter(F.col("n_chars") >= min_run)
+        named = lambda x: F.when(x < LAST, x)
+        return kept(spans.select(named(F.col("doc")).alias(key), "row", "copy", "start", "end", "n_chars", F.transform("first_doc_ids", named).alias("first_doc_ids")), "spans")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of their texts; other columns unchanged."""
-    own = spans.groupBy(F.col("row").alias("_row"), F.col("copy").alias("_copy")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    own = spans.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    body = F.col(f"doc.{text}")
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("_spans")),
+        F.sequence(F.lit(0), F.size("spans")),
         lambda i: F.substring(
-            F.col(text),
-            F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)) + 1,
-            F.coalesce(F.get("_spans", i)["start"], F.length(text)) - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)),
+            body,
+            F.coalesce(F.get("spans", i - 1)["end"], F.lit(0)) + 1,
+            F.coalesce(F.get("spans", i)["start"], F.length(body)) - F.coalesce(F.get("spans", i - 1)["end"], F.lit(0)),
         ),
     )
-    numbered = docs.withColumn("_row", F.xxhash64(key, text))
-    numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))) - 1)
-    joined = numbered.join(own, ["_row", "_copy"], "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))).select(docs.columns)
+    numbered = docs.select(F.xxhash64(key, text).alias("row"), F.struct("*").alias("doc"))
+    numbered = numbered.withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy(F.lit(0))) - 1)
+    left = F.when(F.col("spans").isNull(), body).otherwise(F.array_join(pieces, ""))
+    return numbered.join(own, ["row", "copy"], "left").withColumn("doc", F.col("doc").withField(text, left)).select("doc.*")
