@@ -91,46 +91,55 @@ def _runs(matched: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for row, pairs in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs.sort(key=lambda p: p["start"])
-                i = 0
-                while i < len(pairs):
-                    first = last = pairs[i]
-                    firsts = {first["first"]}
-                    i += 1
-                    while last["linked"] and i < len(pairs) and pairs[i]["start"] == last["next"]:
-                        last = pairs[i]
-                        firsts.add(last["first"])
-                        i += 1
-                    made = (row, first["start"], last["start"], sorted(firsts), first["first_row"], first["first_start"], last["first_row"], last["first_start"])
-                    for column, value in zip(out, made):
-                        column.append(value)
-            long, short = pa.int64(), pa.int32()
-            kinds = (long, short, short, pa.list_(long), long, short, long, short)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "s", "l", "firsts", "s_row", "s_at", "l_row", "l_at"])
+            lists = batch.column(1)
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            start, after, linked, first, first_row, first_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            by = np.lexsort((start, owner))
+            owner, start, after, linked, first, first_row, first_start = (x[by] for x in (owner, start, after, linked, first, first_row, first_start))
+            goes_on = linked[:-1] & (owner[1:] == owner[:-1]) & (start[1:] == after[:-1])
+            heads = np.flatnonzero(np.append(True, ~goes_on))
+            tails = np.append(heads[1:] - 1, len(start) - 1)
+            number = np.cumsum(np.append(0, ~goes_on))
+            sets = np.lexsort((first, number))
+            number, first = number[sets], first[sets]
+            new = np.append(True, (number[1:] != number[:-1]) | (first[1:] != first[:-1]))
+            ends = np.append(0, np.cumsum(np.bincount(number[new], minlength=len(heads))))
+            firsts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first[new], pa.int64()))
+            rows = batch.column(0).take(pa.array(owner[heads]))
+            columns = (start[heads], start[tails], first_row[heads], first_start[heads], first_row[tails], first_start[tails])
+            s, l, s_row, s_at, l_row, l_at = map(pa.array, columns)  # noqa: E741
+            yield pa.RecordBatch.from_arrays([rows, s, l, firsts, s_row, s_at, l_row, l_at], ["row", "s", "l", "firsts", "s_row", "s_at", "l_row", "l_at"])
 
     return matched.select("row", "pairs").mapInArrow(run, _RUN)
 
 
-def _slices(wanted: DataFrame, side: int) -> DataFrame:
-    """doc, row, at, lead, near: the text around each of ``spots`` of a row; its code points stand at ``lead``."""
+_PIECE = "own boolean, doc bigint, row bigint, s int, firsts array<bigint>, left boolean, there_row bigint, there_at int, at int, lead int, near string"
+
+
+def _pieces(wanted: DataFrame, side: int) -> DataFrame:
+    """Text around places of rows, whose code points stand at ``lead`` of ``near``: one piece for every
+    end of a run of the row (``own``), and one for every place that ends of any row are compared with
+    (then ``there_row`` and ``there_at`` are that place)."""
+    schema = pa.schema([("own", pa.bool_()), ("doc", pa.int64()), ("row", pa.int64()), ("s", pa.int32()), ("firsts", pa.list_(pa.int64())), ("left", pa.bool_()), ("there_row", pa.int64()), ("there_at", pa.int32()), ("at", pa.int32()), ("lead", pa.int32()), ("near", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc", "row", "at", "lead", "near"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, row, text, spots in zip(*batch.columns):
-                body, at = text.as_py(), spots.as_py()
-                made = ([doc.as_py()] * len(at), [row.as_py()] * len(at), at, [min(x, side) for x in at], [body[max(0, x - side) : x + GRAM + side] for x in at])
-                for column, values in zip(out, made):
-                    column += values
-                if len(out[0]) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-
-    return wanted.select("doc", "row", "text", "spots").mapInArrow(run, "doc bigint, row bigint, at int, lead int, near string")
+            out: list[dict] = []
+            for doc, row, text, ends, spots in zip(*batch.columns):
+                body, doc_, row_ = text.as_py(), doc.as_py(), row.as_py()
+                for e in ends.as_py() or []:
+                    near = body[max(0, e["at"] - side) : e["at"] + GRAM] if e["left"] else body[e["at"] : e["at"] + GRAM + side]
+                    out.append(e | {"own": True, "doc": doc_, "row": row_, "lead": min(e["at"], side) if e["left"] else 0, "near": near})
+                for at in spots.as_py() or []:
+                    out.append({"own": False, "there_row": row_, "there_at": at, "lead": min(at, side), "near": body[max(0, at - side) : at + GRAM + side]})
+                if len(out) >= 5000:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return wanted.select("doc", "row", "text", "ends", "spots").mapInArrow(run, _PIECE)
 
 
 def _alike(a: str, b: str) -> int:
@@ -183,20 +192,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """
     with scratch(docs.sparkSession) as kept:
         rows = _rows(docs, key, text)
-        made = boundaries(rows, min_run)
-        side = min_run - GRAM
-        shared = made.groupBy("digest").agg(F.min(F.struct("doc", "row", "start", "link")).alias("f"), F.count("*").alias("many")).filter("many > 1")
-        later = made.select("digest", "row", "start", "next", "link").join(shared, "digest").filter((F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
+        made = boundaries(rows, min_run).repartition("digest")
+        here = F.struct("doc", "row", "start", "next", "link")
+        shared = made.groupBy("digest").agg(F.min(here).alias("f"), F.count("*").alias("many")).filter("many > 1").select("digest", "f")
+        later = made.join(shared, "digest").filter((F.col("doc") != F.col("f.doc")) | (F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
         linked = (F.col("next") >= 0) & (F.col("link") == F.col("f.link"))
         pair = F.struct("start", "next", linked.alias("linked"), F.col("f.doc").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
         runs = stored(_runs(later.groupBy("row").agg(F.collect_set(pair).alias("pairs"))), "runs")
-        spots = F.array(*(F.struct(F.col(r).alias("row"), F.col(a).alias("at")) for r, a in (("row", "s"), ("row", "l"), ("s_row", "s_at"), ("l_row", "l_at"))))
-        wanted = runs.select(F.inline(spots)).distinct().groupBy("row").agg(F.collect_list("at").alias("spots"))
-        slices = stored(_slices(rows.join(wanted, "row"), side), "slices").dropDuplicates(["row", "at"])
-        end = lambda left, at, r, a: F.struct(F.lit(left).alias("left"), F.col(at).alias("at"), F.col(r).alias("there_row"), F.col(a).alias("there_at"))
-        ends = runs.select("row", "s", "firsts", F.inline(F.array(end(True, "s", "s_row", "s_at"), end(False, "l", "l_row", "l_at"))))
-        there = slices.select(F.col("row").alias("there_row"), F.col("at").alias("there_at"), F.col("lead").alias("lead_there"), F.col("near").alias("there"))
-        lost = _ended(ends.join(slices, ["row", "at"]).join(there, ["there_row", "there_at"]))
+        end = lambda left, at, r, a: F.struct(F.lit(left).alias("left"), F.col(at).alias("at"), "s", "firsts", F.col(r).alias("there_row"), F.col(a).alias("there_at"))
+        ends = runs.select("row", F.explode(F.array(end(True, "s", "s_row", "s_at"), end(False, "l", "l_row", "l_at"))).alias("end"))
+        spots = runs.select(F.inline(F.array(*(F.struct(F.col(f"{x}_row").alias("row"), F.col(f"{x}_at").alias("spot")) for x in "sl")))).distinct()
+        asked = ends.unionByName(spots, allowMissingColumns=True).groupBy("row").agg(F.collect_list("end").alias("ends"), F.collect_set("spot").alias("spots"))
+        pieces = stored(_pieces(rows.join(asked, "row"), min_run - GRAM), "pieces")
+        there = pieces.filter("not own").select("there_row", "there_at", F.col("lead").alias("lead_there"), F.col("near").alias("there"))
+        lost = _ended(pieces.filter("own").join(there, ["there_row", "there_at"]))
         lost = lost.groupBy("doc", "row", "s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("firsts").alias("firsts")).filter("start is not null and end is not null")
         along = Window.partitionBy("doc", "row").orderBy("start", "end")
         lost = lost.withColumn("_new", F.when(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1))
