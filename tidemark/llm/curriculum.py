@@ -78,9 +78,9 @@ def position(kind: Column, share: Column, schedules: Sequence[Schedule] = RAMPS)
     return out
 
 
-def mix(docs: DataFrame, schedules: Sequence[Schedule] = RAMPS, repeats: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, schedules: Sequence[Schedule] = RAMPS, repeats: int = 3, key: str = "doc_id", text: str = "text", carried: bool = True) -> DataFrame:
     """key, source, size, source_size, target, taken, ``positions`` (array of training times, one per
-    copy) and ``doc`` (struct of all columns) for each row of ``docs``.
+    copy) and, if ``carried``, ``doc`` (struct of all columns) for each row of ``docs``.
 
     A copy is taken if its middle word lies within the source's target, so a source's taken words
     differ from its target by half a document at most. The order in a source is by MD5 of the key;
@@ -88,7 +88,8 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = RAMPS, repeats: int = 3
     bucket sums are scanned across buckets.
     """
     spot = F.coalesce(F.md5(F.col(key).cast("string")), F.lit(""))
-    own = docs.select(key, "source", word_count(F.col(text)).alias("size"), spot.alias("_spot"), F.struct("*").alias("doc"))
+    doc = [F.struct("*").alias("doc")] if carried else []
+    own = docs.select(key, "source", word_count(F.col(text)).alias("size"), spot.alias("_spot"), *doc)
     place = F.conv(F.substring("_spot", 1, 8), 16, 10).cast("long")
     counts = stored(docs.groupBy("source").agg(F.ceil(F.count("*") / ROWS_PER_BUCKET).alias("_buckets")), "source-rows")
     bucketed = own.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, own["source"].eqNullSafe(counts["source"])).drop(counts["source"])
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = RAMPS, repeats: int = 3
     chosen = F.when(F.col("size") > 0, F.filter(middles, lambda m: m <= F.col("target"))).otherwise(F.array().cast("array<double>"))
     out = out.withColumn("_middles", chosen).withColumn("taken", F.col("size") * F.size("_middles"))
     out = out.withColumn("positions", F.transform("_middles", lambda m: position(F.col("kind"), m / F.col("target"), schedules)))
-    return out.select(key, "source", "size", "source_size", "target", "taken", "positions", "doc")
+    return out.select(key, "source", "size", "source_size", "target", "taken", "positions", *(["doc"] if carried else []))
 
 
 def by_position(mixed: DataFrame, partitions: int | None = None, key: str = "doc_id") -> DataFrame:

@@ -38,8 +38,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return curriculum.by_first_position(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = curriculum.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carried=False)
+    place = lambda copy: F.round(F.get("positions", F.lit(copy)), 9).alias(f"position_{copy + 1}")
+    return curriculum.by_first_position(mixed).select("doc_id", "size", "source_size", "target", "taken", *map(place, range(3)))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,16 +106,22 @@ filling AS (
             / sum(weight) OVER (ORDER BY ceiling / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed),
 leveled AS (SELECT min_by(level, ceiling / weight) AS level FROM filling WHERE level * weight <= ceiling),
-targets AS (SELECT w.source, w.source_size, least(w.ceiling::DOUBLE, l.level * w.weight) AS target FROM weighed w, leveled l),
+targets AS (SELECT w.source, w.source_size, w.source_rank, least(w.ceiling::DOUBLE, l.level * w.weight) AS target FROM weighed w, leveled l),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.source_rank,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.spot, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT *, CASE WHEN size > 0 AND start + size / 2 <= target THEN (start + size / 2) / target END AS share_1,
+         CASE WHEN size > 0 AND source_size + start + size / 2 <= target THEN (source_size + start + size / 2) / target END AS share_2,
+         CASE WHEN size > 0 AND 2 * source_size + start + size / 2 <= target THEN (2 * source_size + start + size / 2) / target END AS share_3
+  FROM placed)
 SELECT doc_id, size, source_size, target,
-       (size * ((CASE WHEN size > 0 AND start + size / 2 <= target THEN 1 ELSE 0 END)
-              + (CASE WHEN size > 0 AND source_size + start + size / 2 <= target THEN 1 ELSE 0 END)
-              + (CASE WHEN size > 0 AND 2 * source_size + start + size / 2 <= target THEN 1 ELSE 0 END)))::BIGINT AS taken
-FROM placed""",
+       (size * ((share_1 IS NOT NULL)::INT + (share_2 IS NOT NULL)::INT + (share_3 IS NOT NULL)::INT))::BIGINT AS taken,
+       round(CASE source_rank % 3 WHEN 0 THEN (7 - sqrt(49 - 40 * share_1)) / 4 WHEN 1 THEN share_1 ELSE (sqrt(0.36 + 1.6 * share_1) - 0.6) / 0.8 END, 9)::DOUBLE AS position_1,
+       round(CASE source_rank % 3 WHEN 0 THEN (7 - sqrt(49 - 40 * share_2)) / 4 WHEN 1 THEN share_2 ELSE (sqrt(0.36 + 1.6 * share_2) - 0.6) / 0.8 END, 9)::DOUBLE AS position_2,
+       round(CASE source_rank % 3 WHEN 0 THEN (7 - sqrt(49 - 40 * share_3)) / 4 WHEN 1 THEN share_3 ELSE (sqrt(0.36 + 1.6 * share_3) - 0.6) / 0.8 END, 9)::DOUBLE AS position_3
+FROM copies""",
     "op5_chat_format": r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
