@@ -89,7 +89,12 @@ def base_spans(text: str) -> list[Span]:
 def shape(token: str) -> str:
     """Classes of characters in a token, runs folded, and its length on a log scale."""
     folded = re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "9", token)))
-    return "".join(sorted(set(folded)))[:12] + str(len(token).bit_length())
+    return whole("".join(sorted(set(folded)))) + str(len(token).bit_length())
+
+
+def whole(text: str, most: int = 200) -> str:
+    """``text``, or where it is long its start with a hash of all of it: unequal texts stay unequal."""
+    return text if len(text) <= most else text[:most] + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def instances(text: str, base: list[Span]) -> list[tuple[int, int, str, bool, list[str]]]:
@@ -110,17 +115,15 @@ def instances(text: str, base: list[Span]) -> list[tuple[int, int, str, bool, li
             start = s + token.index(bare)
             marks.append((start, start + len(bare), False, i, i))
     marks.sort()
-    word = lambda i: text[words[i][0] : words[i][1]].strip(_EDGE).lower()[:40] if 0 <= i < len(words) else ""
+    word = lambda i: text[words[i][0] : words[i][1]].strip(_EDGE).lower() if 0 <= i < len(words) else ""
     out = []
     for start, end, seed, i, j in marks:
         value = text[start:end]
-        patterns = [f"l:{word(i - 1)}", f"r:{word(j + 1)}", f"ll:{word(i - 2)} {word(i - 1)}", f"lr:{word(i - 1)} {word(j + 1)}"]
+        patterns = [whole(p) for p in (f"l:{word(i - 1)}", f"r:{word(j + 1)}", f"ll:{word(i - 2)} {word(i - 1)}", f"lr:{word(i - 1)} {word(j + 1)}")]
         if not seed:
             key = re.match(r"[^0-9=:]{2,}[=:]|[A-Z]{4}", value)
-            patterns += [f"s:{shape(value)}"] + ([f"p:{key.group()[:20]}"] if key else [])
-        if len(value) > 200:
-            value = value[:200] + hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((start, end, value, seed, patterns))
+            patterns += [f"s:{shape(value)}"] + ([whole(f"p:{key.group()}")] if key else [])
+        out.append((start, end, whole(value), seed, patterns))
     return out
 
 
@@ -160,8 +163,9 @@ def trusted_values(marks: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float
         known = edges.join(trusted.withColumn("known", F.lit(1)), "value", "left").withColumn("known", F.coalesce("known", F.lit(0)))
         score = F.sum("known") / (F.count("*") + 1)
         patterns = known.groupBy("pattern").agg(F.sum("known").alias("support"), score.alias("trust"))
-        good = patterns.filter((F.col("support") >= min_support) & (F.col("trust") >= min_trust)).select("pattern")
-        reached = edges.filter(~F.col("seed")).join(good, "pattern").select("value").distinct()
+        good = patterns.filter((F.col("support") >= min_support) & (F.col("trust") >= min_trust)).select("pattern", "trust")
+        scores = edges.filter(~F.col("seed")).join(good, "pattern").groupBy("value").agg(F.max("trust").alias("score"))
+        reached = scores.filter(F.col("score") >= min_trust).select("value")
         trusted = stored(trusted.unionByName(reached).distinct(), "trusted")
         before, size = size, trusted.count()
         if size == before:
