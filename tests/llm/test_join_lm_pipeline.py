@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -132,7 +133,59 @@ def test_model_sums_to_one_and_both_scorers_agree(spark, sf):
     odd = docs.unionByName(spark.createDataFrame([(50, "en", None), (51, "en", ""), (52, "xx", "abc"), (53, None, "abc"), (54, "en", "unseen Ωé"), (54, "en", "unseen Ωé")], docs.schema))
     a = sorted((r["doc_id"], r["nats"] or 0.0) for r in kneser_ney.scored(odd, grams, contexts).collect())
     b = sorted((r["doc_id"], r["nats"] or 0.0) for r in kneser_ney.scored_by_join(odd, grams, contexts).collect())
-    assert len(a) == len(b) and all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-3 * max(1, x[1]) for x, y in zip(a, b))
+    assert len(a) == len(b) and all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 * max(1, x[1]) for x, y in zip(a, b))
+
+
+def plain_nats(train, text, order=5):
+    """Interpolated modified Kneser-Ney in plain Python: recursive, by the textbook's counts."""
+    top = defaultdict(int)
+    for t in train:
+        padded = "\x02" * (order - 1) + t
+        for i in range(len(t)):
+            top[padded[i : i + order]] += 1
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = defaultdict(int)
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] += 1
+    cuts, mass, left = {}, {}, {}
+    for n, own in counts.items():
+        k = [0, *(sum(1 for c in own.values() if c == j) for j in (1, 2, 3, 4))]
+        ratio = k[1] / (k[1] + 2 * k[2]) if k[1] + 2 * k[2] else None
+        cuts[n] = [min(j, max(0.05, j - (j + 1) * ratio * k[j + 1] / k[j])) if ratio is not None and k[j] else 0.5 * j for j in (1, 2, 3)]
+        mass[n], left[n] = defaultdict(int), defaultdict(float)
+        for gram, c in own.items():
+            mass[n][gram[:-1]] += c
+            left[n][gram[:-1]] += cuts[n][min(c, 3) - 1]
+
+    def chance(gram):
+        n, context = len(gram), gram[:-1]
+        below = chance(gram[1:]) if n > 1 else 1 / (len(counts[1]) + 1)
+        if not mass[n][context]:
+            return below
+        c = counts[n].get(gram, 0)
+        return ((c - cuts[n][min(c, 3) - 1]) if c else 0.0) / mass[n][context] + left[n][context] / mass[n][context] * below
+
+    padded = "\x02" * (order - 1) + text
+    return -sum(math.log(chance(padded[i : i + order])) for i in range(len(text)))
+
+
+def test_perplexity_by_brute_force(spark, sf, texts, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SLICE", 700)
+    train = [t for _, t in texts[:25] if t] + ["a\x02b " * 40]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(train)], "doc_id bigint, lang string, text string")
+    grams, contexts = kneser_ney.model_tables(kneser_ney.gram_counts(docs))
+    asked = [t for _, t in texts[25:40] if t] + ["", "unseen Ωé"]
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(asked)], docs.schema)
+    got = {r["doc_id"]: r["nats"] for r in kneser_ney.scored(rows, grams, contexts).collect()}
+    for i, t in enumerate(asked):
+        if t:
+            want = plain_nats(train, t)
+            assert abs(got[i] - want) < 1e-6 * max(1, want)
+    other, more = kneser_ney.model_tables(kneser_ney.gram_counts(docs.unionByName(docs.filter("doc_id < 5"))))
+    second = {r["doc_id"]: r["nats"] for r in kneser_ney.scored(rows, other, more).collect()}
+    want = plain_nats(train + train[:5], asked[0])
+    assert abs(second[0] - want) < 1e-6 * want  # not scored with the first model's tables
 
 
 def test_perplexity_accuracy_and_edges(spark, sf, odd, none, labels):

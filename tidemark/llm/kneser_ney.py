@@ -16,6 +16,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from .common import stored
 from .rolling import code_points, mixed
 
 ORDER, PRIOR, QUANTILE, SLACK = 5, 100, 0.995, 1.1
-#: Rows of all orders that may be sent to every worker (12 bytes each; hash arrays there hold 24 to 48).
+#: Rows of all orders that may be sent to every worker (16 bytes each; hash arrays there hold 32 to 64).
+#: Models with more rows are joined. Both ways add the same doubles, so this changes the cost only.
 MAX_BROADCAST = 8_000_000
 #: Fixed value: stands before the start of every text.
 PAD = "\x02" * (ORDER - 1)
@@ -51,36 +53,37 @@ def gram_codes(points: np.ndarray, order: int) -> np.ndarray:
 
 
 def gram_counts(trusted: DataFrame) -> DataFrame:
-    """lang, gram, c: counts of ORDER-grams; combined by slice, then by Spark map-side and by shard."""
+    """lang, gram, c: counts of ORDER-grams; combined by slice, then by Spark map-side and by shard. Every
+    code point of a text ends one gram, whose start is padding at the start of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(lang: str, texts: list[str]) -> pa.RecordBatch:
-            joined = PAD + PAD.join(texts)
-            codes = gram_codes(code_points(joined), ORDER)
-            _, at, count = np.unique(codes, return_index=True, return_counts=True)
-            grams = [joined[i : i + ORDER] for i in at.tolist()]
+        def counted(lang: str, parts: list[tuple[str, str]]) -> pa.RecordBatch:
+            joined = "".join(context + part for context, part in parts)
+            sizes = np.array([(ORDER - 1, len(part)) for _, part in parts]).ravel()
+            ends = np.repeat(np.tile([False, True], len(parts)), sizes)[ORDER - 1 :]
+            starts = np.flatnonzero(ends)
+            _, at, count = np.unique(gram_codes(code_points(joined), ORDER)[starts], return_index=True, return_counts=True)
+            grams = [joined[i : i + ORDER] for i in starts[at].tolist()]
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(count)], ["lang", "gram", "c"])
 
-        held: dict[str, list[str]] = {}
+        held: dict[str, list[tuple[str, str]]] = {}
         size: dict[str, int] = {}
         for batch in batches:
             for lang, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py()
-                for at in range(0, len(text), SLICE):  # long texts in slices that overlap by the context
-                    part = text[max(0, at - ORDER + 1) : at + SLICE] if at else text[:SLICE]
-                    held.setdefault(lang, []).append(part)
+                for at in range(0, len(text), SLICE):  # long texts in slices, each after its context
+                    part = text[at : at + SLICE]
+                    held.setdefault(lang, []).append(((PAD + text[max(0, at - ORDER + 1) : at])[-ORDER + 1 :], part))
                     size[lang] = size.get(lang, 0) + len(part)
                     if size[lang] >= SLICE:
                         yield counted(lang, held.pop(lang))
                         size[lang] = 0
-        for lang, texts in held.items():
-            if texts:
-                yield counted(lang, texts)
+        for lang, parts in held.items():
+            if parts:
+                yield counted(lang, parts)
 
     rows = trusted.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    counts = rows.mapInArrow(run, "lang string, gram string, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    # the last letter is what a gram predicts; text starts are context only
-    return counts.filter(F.substring("gram", ORDER, 1) != PAD[0])
+    return rows.mapInArrow(run, "lang string, gram string, c bigint").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +125,7 @@ class Tables:
         bits = max(8, int(2 * len(codes)).bit_length())
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.values = np.zeros(1 << bits, dtype=np.float32)
+        self.values = np.zeros(1 << bits, dtype=np.float64)
         codes, first = np.unique(codes, return_index=True)
         values = values[first]
         spot = codes.astype(np.int64) & self.mask
@@ -139,7 +142,7 @@ class Tables:
         """Values, NaN where absent."""
         spot = codes.astype(np.int64) & self.mask
         held = self.keys[spot]
-        out = np.where(held == codes, self.values[spot], np.float32(np.nan))
+        out = np.where(held == codes, self.values[spot], np.nan)
         open_ = np.flatnonzero((held != codes) & (held != 0))
         while len(open_):
             spot[open_] = (spot[open_] + 1) & self.mask
@@ -164,13 +167,13 @@ def coded(rows: DataFrame, value: str) -> DataFrame:
             for n in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == n)
                 codes[at] = gram_codes(code_points("".join(grams[i] for i in at)), n)[::n] if n else EMPTY
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64)), batch.column(2).cast(pa.float32())], ["lang", "code", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64)), batch.column(2)], ["lang", "code", "value"])
 
-    return rows.select("lang", "gram", F.col(value).alias("value")).mapInArrow(run, "lang string, code bigint, value float")
+    return rows.select("lang", "gram", F.col(value).alias("value")).mapInArrow(run, "lang string, code bigint, value double")
 
 
 def packed(grams: DataFrame, contexts: DataFrame) -> Arrays:
-    """Per language: codes and values of n-grams, codes and values of contexts; 12 bytes a row."""
+    """Per language: codes and values of n-grams, codes and values of contexts; 16 bytes a row."""
     out: Arrays = {}
     tables = [coded(grams, "p").toArrow(), coded(contexts, "g").toArrow()]
     langs = [np.array(t.column("lang").to_pandas(), dtype=object) for t in tables]
@@ -183,10 +186,10 @@ def packed(grams: DataFrame, contexts: DataFrame) -> Arrays:
     return out
 
 
-_BUILT: dict[tuple[int, str], tuple[Tables, Tables]] = {}
+_BUILT: dict[tuple[str, str], tuple[Tables, Tables]] = {}
 
 
-def built(number: int, model: Arrays, lang: str | None) -> tuple[Tables, Tables] | None:
+def built(number: str, model: Arrays, lang: str | None) -> tuple[Tables, Tables] | None:
     """Hash arrays of one language of broadcast ``number``, made once in a worker."""
     if lang is None or lang not in model:
         return None
@@ -207,16 +210,16 @@ def log_probabilities(points: np.ndarray, model: tuple[Tables, Tables]) -> np.nd
     todo = np.arange(n)
     for order in range(ORDER, 0, -1):
         codes = gram_codes(points[ORDER - order :], order)[todo]
-        found = p.find(codes).astype(np.float64)
+        found = p.find(codes)
         hit = ~np.isnan(found)
         out[todo[hit]] = scale[todo[hit]] * found[hit]
         todo = todo[~hit]
         if not len(todo):
             return np.log(out)
         if order > 1:
-            left = g.find(gram_codes(points[ORDER - order :], order - 1)[todo]).astype(np.float64)
+            left = g.find(gram_codes(points[ORDER - order :], order - 1)[todo])
         else:
-            left = g.find(np.repeat(EMPTY, len(todo))).astype(np.float64)
+            left = g.find(np.repeat(EMPTY, len(todo)))
         scale[todo] *= np.where(np.isnan(left), 1.0, left)
     out[todo] = scale[todo]
     return np.log(out)
@@ -227,7 +230,7 @@ def scored(docs: DataFrame, grams: DataFrame, contexts: DataFrame, max_broadcast
     if grams.count() + contexts.count() > max_broadcast:
         return scored_by_join(docs, grams, contexts)
     arrays = packed(grams, contexts)
-    number = hash((len(arrays), *(tuple(int(x[:64].sum()) for x in (a[0], a[2])) for a in arrays.values())))
+    number = uuid.uuid4().hex
     model = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +242,7 @@ def scored(docs: DataFrame, grams: DataFrame, contexts: DataFrame, max_broadcast
                 if own is not None:
                     total = 0.0
                     for at in range(0, len(text), SLICE):
-                        part = PAD + text[:SLICE] if not at else text[at - ORDER + 1 : at + SLICE]
+                        part = (PAD + text[max(0, at - ORDER + 1) : at])[-ORDER + 1 :] + text[at : at + SLICE]
                         total -= float(log_probabilities(code_points(part), own).sum())
                 nats.append(total)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang": batch["lang"], "n_chars": [len(t) if t else 0 for t in batch["text"]], "nats": pd.array(nats, dtype="Float64")})
