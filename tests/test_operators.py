@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.functions import payloads as P
 from tidemark.operators import books, prices, relations, trades
 
 
@@ -26,7 +27,7 @@ def test_position_amounts_at_the_bounds(spark):
 
 def test_epoch_millis(spark):
     rows = [("1700000000",), ("1700000000000",), ("2023-11-14T22:13:20Z",), ("x",), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(K.epoch_millis(F.col("t"))).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(P.time_ms(F.col("t"))).collect()]
     assert got == [1700000000000] * 3 + [None, None]
 
 

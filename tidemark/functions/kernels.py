@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000, 86_400_000
+#: Widths of price buckets by lookback; an hour beyond.
+WIDTHS = ((10 * 60_000, 30_000), (HOUR, 60_000), (DAY, 300_000), (7 * DAY, 1_800_000))
 
 
 def swap_0_for_1(x: Column, liquidity: Column, root: Column, fee: float = 0.0) -> Column:
@@ -53,12 +58,29 @@ def bucket(ts_ms: Column, width_ms: int) -> Column:
 
 def bucket_width(lookback_ms: int) -> int:
     """Width of a price bucket for a lookback."""
-    for limit, width in ((10 * 60_000, 30_000), (HOUR, 60_000), (DAY, 300_000), (7 * DAY, 1_800_000)):
+    for limit, width in WIDTHS:
         if lookback_ms <= limit:
             return width
     return HOUR
 
 
+def bucket_width_of(lookback_ms: Column) -> Column:
+    """``bucket_width`` of a column."""
+    out = F.lit(HOUR)
+    for limit, width in reversed(WIDTHS):
+        out = F.when(lookback_ms <= limit, width).otherwise(out)
+    return out.cast("bigint")
+
+
+def uptime_text(age_ms: Column) -> Column:
+    """The two largest units: days and hours, hours and minutes, or minutes."""
+    seconds = F.floor(age_ms / 1000)
+    part = lambda x, suffix: F.concat(F.floor(x).cast("string"), F.lit(suffix))
+    days = F.concat_ws(" ", part(seconds / 86400, "d"), part(seconds % 86400 / 3600, "h"))
+    hours = F.concat_ws(" ", part(seconds / 3600, "h"), part(seconds % 3600 / 60, "m"))
+    return F.when(seconds >= 86400, days).when(seconds >= 3600, hours).otherwise(part(seconds / 60, "m"))
+
+
 def market_id(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
@@ -69,25 +91,6 @@ def address(text: Column) -> Column:
     return F.when(F.length(bare) > 40, F.right(bare, F.lit(40))).otherwise(F.lpad(bare, 40, "0"))
 
 
-def epoch_millis(text: Column) -> Column:
-    """Milliseconds from seconds, milliseconds or an ISO time; null if it is none of them."""
-    number = text.try_cast("double")
-    iso = F.unix_millis(F.try_to_timestamp(text))
-    return F.when(number.isNotNull(), F.when(number <= 1e10, number * 1000).otherwise(number).cast("bigint")).otherwise(iso)
-
-
-def error_class(text: Column) -> Column:
-    """First matching class of an execution error."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike("rpc|timeout|connection|429"), "rpc")
-        .when(low.rlike("insufficient|balance"), "balance")
-        .when(low.rlike("permit2|allowance"), "permit2")
-        .when(low.rlike("paused"), "pool_paused")
-        .otherwise("unknown")
-    )
-
-
 def confidence(missing: Column) -> Column:
     return F.least(F.lit(0.9), F.greatest(F.lit(0.0), 0.9 - 0.2 * missing))
 
@@ -100,9 +103,8 @@ def spread_bps(bid: Column, ask: Column, mid: Column) -> Column:
 def human_usd(value: Column) -> Column:
     """$1.2M, $3K or $45."""
     size = F.abs(value)
-    millions = F.concat(F.lit("$"), F.format_number(value / 1e6, "0.0"), F.lit("M"))
-    thousands = F.concat(F.lit("$"), F.format_number(value / 1e3, "0"), F.lit("K"))
-    return F.when(size >= 1e6, millions).when(size >= 1e3, thousands).otherwise(F.concat(F.lit("$"), F.format_number(value, "0")))
+    text = lambda x, form, suffix: F.concat(F.lit("$"), F.format_string(form, x), F.lit(suffix))
+    return F.when(size >= 1e6, text(value / 1e6, "%.1f", "M")).when(size >= 1e3, text(value / 1e3, "%.0f", "K")).otherwise(text(value, "%.0f", ""))
 
 
 def rate_band(rate: Column, fair: Column, low: float = 1.003, high: float = 1.005) -> Column:
@@ -119,11 +121,6 @@ def range_distance(price: Column, low: Column, high: Column) -> Column:
     return F.when(price < low, (low - price) / low * 100).when(price > high, (price - high) / high * 100).otherwise(0.0)
 
 
-def ladder_size(total: Column, levels: int, skew: Column, reserve: float = 0.01) -> Column:
-    """Size of one level: the total less a reserve, over the levels, moved by the inventory skew."""
-    return F.greatest(F.lit(0.0), total * (1 - reserve) / levels * skew)
-
-
 def short_address(text: Column) -> Column:
     return F.when(F.length(text) > 12, F.concat(F.left(text, F.lit(6)), F.lit("..."), F.right(text, F.lit(4)))).otherwise(text)
 
@@ -132,3 +129,71 @@ def age_text(age_ms: Column) -> Column:
     seconds = F.floor(age_ms / 1000)
     unit = lambda n, suffix: F.concat(F.floor(seconds / n).cast("string"), F.lit(suffix))
     return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+# --- pools and positions: doubles; roots are square root prices --------------------------------------
+
+Q96 = float(1 << 96)
+
+
+def root_at(tick: Column) -> Column:
+    return F.pow(F.lit(1.0001), tick / 2)
+
+
+def root_x96(tick: Column) -> Column:
+    """Square root price of a tick times 2**96, null outside the ticks that pools allow."""
+    return F.when(F.abs(tick) <= 887272, root_at(tick) * Q96)
+
+
+def price_of_root(x96: Column, decimals0: int, decimals1: int) -> Column:
+    return (x96 / Q96) * (x96 / Q96) * 10.0 ** (decimals0 - decimals1)
+
+
+def required_ratio(root: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Amounts of both tokens for a unit of liquidity: below, inside and above the range."""
+    r0 = F.when(root <= low, (high - low) / (low * high)).when(root >= high, 0.0).otherwise((high - root) / (root * high))
+    r1 = F.when(root <= low, 0.0).when(root >= high, high - low).otherwise(root - low)
+    return r0, r1
+
+
+def liquidity_for(root: Column, low: Column, high: Column, amount0: Column, amount1: Column) -> Column:
+    """Liquidity that the amounts buy; inside the range the scarcer one decides, or the only one."""
+    l0, l1 = amount0 * root * high / (high - root), amount1 / (root - low)
+    inside = F.when((l0 > 0) & (l1 > 0), F.least(l0, l1)).otherwise(F.greatest(l0, l1))
+    return F.when(high <= low, 0.0).when(root <= low, amount0 * low * high / (high - low)).when(root >= high, amount1 / (high - low)).otherwise(inside)
+
+
+def snapped(tick: Column, spacing: int, up: bool) -> Column:
+    return (F.ceil(tick / spacing) if up else F.floor(tick / spacing)) * spacing
+
+
+def tick_range(mean: Column, deviation: Column, multiplier: float, skew: Column, spacing: int, least: int, most: int) -> tuple[Column, Column]:
+    """Ticks around an average price: the skew's share of the width lies below it; snapped to the
+    spacing, then widened or narrowed about the middle, and snapped again."""
+    total = deviation * multiplier * 2
+    low = snapped(price_tick(F.greatest(mean - total * skew, F.lit(0.0001))), spacing, False)
+    high = snapped(price_tick(mean + total * (1 - skew)), spacing, True)
+    middle, width = F.floor((low + high) / 2), high - low
+    fit = lambda edge, sign: F.when(width < least, middle + sign * (least // 2)).when(width > most, middle + sign * (most // 2)).otherwise(edge)
+    return snapped(fit(low, -1), spacing, False), snapped(fit(high, 1), spacing, True)
+
+
+def recovered_skew(skew: Column, price: Column, mean: Column, deviation: Column, multiplier: float) -> Column:
+    """Skew moved by how far a recovery price is from the mean, within 0.2 to 0.8."""
+    moved = F.greatest(F.lit(0.2), F.least(F.lit(0.8), skew + (price - mean) / (deviation * multiplier) * 0.15))
+    return F.when(price.isNotNull() & (deviation > 0), moved).otherwise(skew)
+
+
+def best_size(profit: Callable[[Column], Column], high: float, low: float = 1.0, tolerance: float = 0.5) -> Column:
+    """Size of the greatest profit of a unimodal function: thirds are cut off until ``tolerance`` remains;
+    of equal thirds the upper one goes."""
+    steps = math.ceil(math.log((high - low) / tolerance) / math.log(1.5))
+
+    def step(at: Column, _: Column) -> Column:
+        m1 = at["lo"] + (at["hi"] - at["lo"]) / 3
+        m2 = at["hi"] - (at["hi"] - at["lo"]) / 3
+        rises = profit(m1) < profit(m2)
+        return F.struct(F.when(rises, m1).otherwise(at["lo"]).alias("lo"), F.when(rises, at["hi"]).otherwise(m2).alias("hi"))
+
+    start = F.struct(F.lit(low).alias("lo"), F.lit(float(high)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda at: (at["lo"] + at["hi"]) / 2)

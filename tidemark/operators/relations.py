@@ -16,8 +16,20 @@ def optional_filters(df: DataFrame, time: str, status: str | None = None, from_t
     return df if to_ts is None else df.filter(F.col(time) <= to_ts)
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int, cap: int = 5000) -> DataFrame:
-    return df.orderBy(*order).limit(min(n, cap))
+#: Most rows that a request of a kind gets.
+LIMITS = {"prices": 5000, "actions": 200, "attempts": 200, "history": 200, "alerts": 100}
+
+
+def limit_of(kind: Column) -> Column:
+    """Cap of a kind of request, null for unknown kinds (no cap)."""
+    out = F.lit(None).cast("int")
+    for name, most in LIMITS.items():
+        out = F.when(kind == name, most).otherwise(out)
+    return out
+
+
+def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    return df.orderBy(*order).limit(n)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -57,3 +69,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Insert-or-ignore: the first row of each key."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*").select(df.columns)
+
+
+def struct_or_null(**parts: Column) -> Column:
+    """A struct of the parts, null if all of them are."""
+    return F.when(F.coalesce(*(F.when(c.isNotNull(), 1) for c in parts.values())).isNotNull(), F.struct(*(c.alias(n) for n, c in parts.items())))
+
+
+def lower_merged(held: Column) -> Column:
+    """A map with lower-case keys; values of keys that become equal are added."""
+    keys = F.array_distinct(F.transform(F.map_keys(held), lambda k: F.lower(k)))
+    total = lambda key: F.aggregate(F.filter(F.map_entries(held), lambda e: F.lower(e["key"]) == key), F.lit(0.0), lambda t, e: t + e["value"])
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, total(k))))

@@ -53,19 +53,39 @@ def daily_pnl(trades: DataFrame) -> DataFrame:
     return trades.groupBy("desk", F.floor(F.col("ts_ms") / DAY).alias("day")).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("profit"), F.coalesce(F.sum(loss), F.lit(0.0)).alias("loss"))
 
 
-def failure_streaks(trades: DataFrame) -> DataFrame:
-    """Length of the run of losing trades that ends at each trade; a profit of 0 or more resets."""
-    own = Window.partitionBy("desk").orderBy("ts_ms", "id")
-    out = trades.withColumn("_island", F.count_if(F.col("profit") >= 0).over(own))
-    inside = Window.partitionBy("desk", "_island").orderBy("ts_ms", "id")
-    return out.withColumn("streak", F.count_if(F.col("profit") < 0).over(inside)).drop("_island")
+def breaker(trades: DataFrame, most_failures: int = 3, daily_loss: float = 500.0) -> DataFrame:
+    """``streak`` of failed trades and ``active`` at each trade of a desk.
 
+    A failed trade lengthens the streak, a completed one with a profit of 0 or more ends it, a completed
+    loss leaves it. The breaker trips when the streak or the day's loss reaches its limit and stays until
+    the day ends; then it and the streak are reset, while a streak below the limit runs on. Trades are
+    scanned inside a desk's day; across days one row per day is folded.
+    """
+    day = F.floor(F.col("ts_ms") / DAY)
+    order = Window.partitionBy("desk", "day").orderBy("ts_ms", "id")
+    rows = trades.withColumn("day", day).withColumn("_island", F.count_if(~F.col("failed") & (F.col("profit") >= 0)).over(order))
+    inside = Window.partitionBy("desk", "day", "_island").orderBy("ts_ms", "id")
+    lost = F.sum(F.when(~F.col("failed") & (F.col("profit") < 0), -F.col("profit"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_own": F.count_if("failed").over(inside), "day_loss": F.coalesce(lost, F.lit(0.0))})
+    first = F.col("_island") == 0
+    days = rows.groupBy("desk", "day").agg(
+        F.coalesce(F.max(F.when(first, F.col("_own"))), F.lit(0)).alias("before"), (F.max("_island") > 0).alias("ended"), F.coalesce(F.max(F.when(~first, F.col("_own"))), F.lit(0)).alias("most"),
+        F.max_by("_own", F.struct("ts_ms", "id")).alias("last"), F.max("day_loss").alias("loss"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("day", "before", "ended", "most", "last", "loss")))
+    state = "struct<carried:bigint,days:array<struct<day:bigint,carried:bigint>>>"
 
-def breaker(trades: DataFrame, most_failures: int = 3, daily_loss: float = 500.0) -> DataFrame:
-    """``active`` where the streak or the day's loss so far is at its limit."""
-    day = Window.partitionBy("desk", F.floor(F.col("ts_ms") / DAY)).orderBy("ts_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
-    lost = F.coalesce(F.sum(F.when(F.col("profit") < 0, -F.col("profit"))).over(day), F.lit(0.0))
-    return failure_streaks(trades).withColumn("day_loss", lost).withColumn("active", (F.col("streak") >= most_failures) | (F.col("day_loss") >= daily_loss))
+    def step(at: Column, d: Column) -> Column:
+        reached = (at["carried"] + d["before"] >= most_failures) & (d["before"] > 0)
+        tripped = reached | (d["most"] >= most_failures) | (d["loss"] >= daily_loss)
+        left = F.when(tripped, F.lit(0)).when(d["ended"], d["last"]).otherwise(at["carried"] + d["last"])
+        return F.struct(left.cast("bigint").alias("carried"), F.concat(at["days"], F.array(F.struct(d["day"].alias("day"), at["carried"].alias("carried")))).alias("days")).cast(state)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("carried"), F.array().cast("array<struct<day:bigint,carried:bigint>>").alias("days")).cast(state)
+    carried = days.groupBy("desk").agg(listed.alias("ds")).select("desk", F.inline(F.aggregate("ds", start, step)["days"]))
+    out = rows.join(carried, ["desk", "day"]).withColumn("streak", F.col("_own") + F.when(first, F.col("carried")).otherwise(0))
+    trips = (F.col("failed") & (F.col("streak") >= most_failures)) | (F.col("day_loss") >= daily_loss)
+    return out.withColumn("active", F.max(trips).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_island", "_own", "carried", "day")
 
 
 def null_safe_totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -73,6 +93,6 @@ def null_safe_totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.when(F.count(value) == F.count("*"), F.sum(value)).alias("total"), F.count("*").alias("sources"))
 
 
-def can_trade(breaker_active: Column, volume: Column, loss: Column, balance: Column, max_volume: float, max_loss: float, min_balance: float) -> Column:
-    """First failing reason, null if none."""
-    return F.when(breaker_active, "breaker").when(volume >= max_volume, "volume").when(loss >= max_loss, "daily_loss").when(balance < min_balance, "low_inventory")
+def can_trade(breaker_active: Column, volume: Column, size: Column, loss: Column, balance: Column, max_volume: float, max_loss: float, min_balance: float) -> Column:
+    """First failing reason, null if none; ``volume`` is that of the last 24 hours without the trade."""
+    return F.when(breaker_active, "breaker").when(volume + size > max_volume, "volume").when(loss >= max_loss, "daily_loss").when(balance < min_balance, "low_inventory")

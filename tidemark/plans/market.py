@@ -41,11 +41,18 @@ def arb_stats(spark, sf):
     return trades.attempt_stats(V.attempts(spark, sf)).withColumns({"profit": r("profit", 2), "volume": r("volume", 2)})
 
 
-@query("arb_status", f"""SELECT count(*)::BIGINT AS detected, count(*) FILTER (WHERE detected_ms>={ORDERS_AS_OF - 31536000000})::BIGINT AS recent,
-  count(*) FILTER (WHERE status='completed')::BIGINT AS executed, count(*) FILTER (WHERE status='completed' AND detected_ms>={ORDERS_AS_OF - 31536000000})::BIGINT AS recent_executed FROM attempts""", "attempts")
+_YEAR = ORDERS_AS_OF - 31_536_000_000
+
+
+@query("arb_status", f"""SELECT count(*)::BIGINT AS detected, count(*) FILTER (WHERE detected_ms>={_YEAR})::BIGINT AS recent, count(*) FILTER (WHERE status='completed')::BIGINT AS executed, count(*) FILTER (WHERE status='completed' AND detected_ms>={_YEAR})::BIGINT AS recent_executed,
+  round(coalesce(sum(actual_profit) FILTER (WHERE status='completed'),0),2) AS profit, round(coalesce(sum(actual_profit) FILTER (WHERE status='completed' AND detected_ms>={_YEAR}),0),2) AS recent_profit,
+  round(coalesce(sum(executed_size) FILTER (WHERE status='completed'),0),2) AS volume, round(coalesce(sum(executed_size) FILTER (WHERE status='completed' AND detected_ms>={_YEAR}),0),2) AS recent_volume FROM attempts""", "attempts")
 def arb_status(spark, sf):
-    recent, done = F.col("detected_ms") >= ORDERS_AS_OF - 31536000000, F.col("status") == "completed"
-    return V.attempts(spark, sf).agg(F.count("*").alias("detected"), F.count_if(recent).alias("recent"), F.count_if(done).alias("executed"), F.count_if(done & recent).alias("recent_executed"))
+    """Counts, profit and volume of all time and of a recent span, in one pass."""
+    recent, done = F.col("detected_ms") >= _YEAR, F.col("status") == "completed"
+    total = lambda on, value: r(F.coalesce(F.sum(F.when(on, F.col(value))), F.lit(0.0)), 2)
+    sums = [total(on, value).alias(name) for value, names in (("actual_profit", ("profit", "recent_profit")), ("executed_size", ("volume", "recent_volume"))) for on, name in zip((done, done & recent), names)]
+    return V.attempts(spark, sf).agg(F.count("*").alias("detected"), F.count_if(recent).alias("recent"), F.count_if(done).alias("executed"), F.count_if(done & recent).alias("recent_executed"), *sums)
 
 
 @query("optional_filters", """SELECT id, status, detected_ms FROM attempts WHERE status='completed' AND detected_ms>=800000000000 ORDER BY detected_ms DESC, id DESC LIMIT 100""", "attempts")
@@ -200,15 +207,32 @@ def twap(spark, sf):
     return prices.twap(V.quotes(spark, sf), F.lit(AS_OF)).select(r("twap", 8).alias("twap"))
 
 
-@query("blended_price", _NORMAL + """, v AS (SELECT round(sum(price*volume)/sum(volume),8) AS vwap, count(DISTINCT source)::BIGINT AS sources FROM n WHERE source<>'error'),
-  k AS (SELECT (SELECT count(DISTINCT source) FROM quotes)-1 AS attempted)
-  SELECT vwap, sources, round(least(0.9,greatest(0,0.9-0.2*(attempted-sources))),6)::DOUBLE AS confidence, round(CASE WHEN vwap>0 THEN 1/vwap ELSE 0 END,6) AS inverse FROM v, k""", "quotes")
+_SPANS = {"twap_5m": 300_000, "twap_1h": K.HOUR}
+_TWAPS = ", w AS (SELECT *, greatest(coalesce(lead(ts_ms) OVER (ORDER BY ts_ms, id),(SELECT max(ts_ms) FROM quotes))-ts_ms,1) AS weight FROM quotes)" + "".join(
+    f""", {name}_ AS (SELECT coalesce(sum(CASE WHEN source='signup' THEN 1/mid ELSE mid END*weight)/sum(weight),0) AS x FROM w WHERE ts_ms>(SELECT max(ts_ms) FROM quotes)-{ms} AND source<>'error' AND ((source='signup' AND mid>0) OR (source<>'signup' AND mid>0 AND mid<1)))"""
+    for name, ms in _SPANS.items()
+)
+
+
+@query("blended_price", _NORMAL + """, v AS (SELECT sum(price*volume)/sum(volume) AS vwap, count(DISTINCT source)::BIGINT AS sources FROM n WHERE source<>'error'),
+  k AS (SELECT (SELECT count(DISTINCT source) FROM quotes)-1 AS attempted)""" + _TWAPS + """
+  SELECT round(vwap,8) AS vwap, round(CASE WHEN twap_5m_.x=0 THEN vwap ELSE twap_5m_.x END,8) AS twap_5m, round(CASE WHEN twap_1h_.x=0 THEN vwap ELSE twap_1h_.x END,8) AS twap_1h, sources, round(least(0.9,greatest(0,0.9-0.2*(attempted-sources))),6)::DOUBLE AS confidence,
+   round(CASE WHEN vwap>0 THEN 1/round(vwap,8) ELSE 0 END,6) AS inverse FROM v, k, twap_5m_, twap_1h_""", "quotes")
 def blended_price(spark, sf):
-    quotes = V.quotes(spark, sf).filter(~F.col("source").isin(*prices.EXCLUDED))
+    """Volume mean of now and time means of two spans before the newest quote; a span without quotes takes
+    the volume mean. All parts are single rows."""
+    every = V.quotes(spark, sf)
+    quotes = every.filter(~F.col("source").isin(*prices.EXCLUDED))
     attempted = quotes.agg(F.countDistinct("source").alias("attempted"))
-    blend = prices.normalised(quotes).agg(r(prices.weighted_mean(F.col("price"), F.col("volume")), 8).alias("vwap"), F.countDistinct("source").alias("sources"))
-    both = blend.crossJoin(attempted)  # one row each
-    return both.select("vwap", "sources", r(K.confidence(F.col("attempted") - F.col("sources"))).cast("double").alias("confidence"), r(F.when(F.col("vwap") > 0, 1 / F.col("vwap")).otherwise(0.0)).alias("inverse"))
+    out = prices.normalised(quotes).agg(prices.weighted_mean(F.col("price"), F.col("volume")).alias("vwap"), F.countDistinct("source").alias("sources")).join(attempted)
+    newest = every.agg(F.max("ts_ms").alias("newest"))
+    weighed = prices.time_weights(every.join(F.broadcast(newest)), F.col("newest"))
+    priced = prices.normalised(weighed).filter(~F.col("source").isin(*prices.EXCLUDED))
+    for name, span in _SPANS.items():
+        out = out.join(priced.filter(F.col("ts_ms") > F.col("newest") - span).agg(prices.weighted_mean(F.col("price"), F.col("weight")).alias(name)))
+    or_vwap = lambda name: r(F.when(F.col(name) == 0, F.col("vwap")).otherwise(F.col(name)), 8).alias(name)
+    vwap = F.round("vwap", 8)
+    return out.select(vwap.alias("vwap"), *map(or_vwap, _SPANS), "sources", r(K.confidence(F.col("attempted") - F.col("sources"))).cast("double").alias("confidence"), r(F.when(F.col("vwap") > 0, 1 / vwap).otherwise(0.0)).alias("inverse"))
 
 
 @query("upper_median", _NORMAL + """SELECT source, round(price,9) AS median FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY price, id) AS k, count(*) OVER (PARTITION BY source) AS c FROM n) WHERE k=c//2+1""", "quotes")
@@ -333,13 +357,13 @@ def tick_to_price(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", r(K.tick_price(F.col("p_size")), 9).alias("price"), K.price_tick(F.col("p_retailprice")).alias("tick"))
 
 
-_CURVE = """, x AS (SELECT range AS size FROM range(1,5001)), p AS (SELECT p_partkey, sqrt(p_retailprice) AS q FROM part WHERE p_partkey<=5),
+_CURVE = """, x AS (SELECT range AS size FROM range(1,5001)), p AS (SELECT p_partkey, sqrt(p_retailprice) AS q FROM (SELECT min(p_partkey) AS p_partkey, avg(p_retailprice) AS p_retailprice FROM part GROUP BY p_brand)),
   c AS (SELECT p_partkey, size, (2e4::DOUBLE*q*(size*0.9995::DOUBLE*q))/(2e4::DOUBLE+size*0.9995::DOUBLE*q) - size*q*q*0.99::DOUBLE AS profit FROM p, x) """
 
 
 def _curve(spark, sf) -> DataFrame:
-    """Sizes 1 to 5000 for each of five pools: a grid by definition, of fixed size."""
-    pools = V.read(spark, sf, "part").filter("p_partkey <= 5").select("p_partkey", F.sqrt("p_retailprice").alias("q"))
+    """Sizes 1 to 5000, a grid by definition, for the pool of each brand at its parts' mean price."""
+    pools = V.read(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.sqrt(F.avg("p_retailprice")).alias("q"))
     grid = pools.select("p_partkey", "q", F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("size"))
     got = K.swap_0_for_1(F.col("size").cast("double"), F.lit(2e4), F.col("q"), 0.0005)
     return grid.select("p_partkey", F.col("size").cast("bigint").alias("size"), (got - F.col("size") * F.col("q") * F.col("q") * 0.99).alias("profit"))
@@ -350,20 +374,6 @@ def profit_curve(spark, sf):
     return _curve(spark, sf).select("p_partkey", "size", r("profit", 4).alias("profit"))
 
 
-@query("argmax_direction", "WITH" + _CURVE[1:] + "SELECT p_partkey, size FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY profit DESC, size)=1")
-def argmax_direction(spark, sf):
-    return _curve(spark, sf).groupBy("p_partkey").agg(F.max_by("size", F.struct("profit", -F.col("size"))).alias("size"))
-
-
-@query("route_score", """SELECT s_suppkey, n_name, round(s_acctbal*0.01-0.5 + 0.02*abs(s_acctbal-5000),4) AS score FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE s_acctbal>0
-  QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal*0.01-0.5 + 0.02*abs(s_acctbal-5000) DESC, s_suppkey)=1""")
-def route_score(spark, sf):
-    score = F.col("s_acctbal") * 0.01 - 0.5 + 0.02 * F.abs(F.col("s_acctbal") - 5000)
-    routes = V.read(spark, sf, "supplier").filter("s_acctbal > 0").join(V.read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("score", score)
-    best = routes.groupBy("n_name").agg(F.max_by(F.struct("s_suppkey", "score"), F.struct("score", -F.col("s_suppkey"))).alias("b"))
-    return best.select("b.s_suppkey", "n_name", r("b.score", 4).alias("score"))
-
-
 @query("inventory_projection", "SELECT c_custkey, round((c_acctbal+100)/(c_acctbal+1100)-0.5,6) AS deviation, round((c_acctbal+1100)*pow((c_acctbal+100)/(c_acctbal+1100)-0.5,2),4) AS cost FROM customer WHERE c_acctbal>0")
 def inventory_projection(spark, sf):
     deviation = (F.col("c_acctbal") + 100) / (F.col("c_acctbal") + 1100) - 0.5
@@ -383,15 +393,20 @@ def daily_pnl(spark, sf):
     return trades.daily_pnl(V.trades(spark, sf)).select("desk", "day", r("profit", 4).alias("profit"), r("loss", 4).alias("loss"))
 
 
-_STREAK = """, i AS (SELECT *, count(*) FILTER (WHERE profit>=0) OVER (PARTITION BY desk ORDER BY ts_ms, id) AS island FROM trades), s AS (SELECT *, count(*) FILTER (WHERE profit<0) OVER (PARTITION BY desk, island ORDER BY ts_ms, id) AS streak FROM i) """
+_STREAK = """WITH RECURSIVE trades AS (""" + V.SQL["trades"] + """), t AS (SELECT *, ts_ms//86400000 AS day FROM trades), i AS (SELECT *, count(*) FILTER (WHERE NOT failed AND profit>=0) OVER (PARTITION BY desk, day ORDER BY ts_ms, id) AS isl FROM t),
+  s AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY desk, day, isl ORDER BY ts_ms, id) AS own, coalesce(sum(CASE WHEN NOT failed AND profit<0 THEN -profit END) OVER (PARTITION BY desk, day ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING),0) AS loss FROM i),
+  g AS (SELECT desk, day, row_number() OVER (PARTITION BY desk ORDER BY day) AS k, coalesce(max(own) FILTER (WHERE isl=0),0) AS before, max(isl)>0 AS ended, coalesce(max(own) FILTER (WHERE isl>0),0) AS most, max_by(own, struct_pack(a:=ts_ms,b:=id)) AS last, max(loss) AS loss FROM s GROUP BY 1,2),
+  f AS (SELECT desk, k, day, 0::BIGINT AS carried, (CASE WHEN before>=2 OR most>=2 OR loss>=60 THEN 0 ELSE last END)::BIGINT AS onward FROM g WHERE k=1
+   UNION ALL SELECT g.desk, g.k, g.day, f.onward, (CASE WHEN (f.onward+g.before>=2 AND g.before>0) OR g.most>=2 OR g.loss>=60 THEN 0 WHEN g.ended THEN g.last ELSE f.onward+g.last END)::BIGINT FROM f JOIN g ON g.desk=f.desk AND g.k=f.k+1),
+  x AS (SELECT s.*, own + CASE WHEN isl=0 THEN carried ELSE 0 END AS streak FROM s JOIN f USING (desk, day)) """
 
 
-@query("failure_streak", _STREAK + "SELECT id, desk, streak FROM s", "trades")
+@query("failure_streak", _STREAK + "SELECT id, desk, streak::BIGINT AS streak FROM x")
 def failure_streak(spark, sf):
-    return trades.failure_streaks(V.trades(spark, sf)).select("id", "desk", "streak")
+    return trades.breaker(V.trades(spark, sf), 2, 60.0).select("id", "desk", "streak")
 
 
-@query("breaker_state", _STREAK + ", d AS (SELECT *, coalesce(sum(CASE WHEN profit<0 THEN -profit END) OVER (PARTITION BY desk, ts_ms//86400000 ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING),0) AS loss FROM s) SELECT id, streak>=2 OR loss>=60 AS active FROM d", "trades")
+@query("breaker_state", _STREAK + "SELECT id, bool_or((failed AND streak>=2) OR loss>=60) OVER (PARTITION BY desk, day ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING) AS active FROM x")
 def breaker_state(spark, sf):
     return trades.breaker(V.trades(spark, sf), 2, 60.0).select("id", "active")
 
@@ -413,17 +428,17 @@ def allocation_share(spark, sf):
     return by.select("venue", r("v", 2).alias("value"), r(F.col("v") / F.sum("v").over(Window.partitionBy()) * 100).alias("share"))
 
 
-@query("join_full_outer_status", "SELECT coalesce(u.user_id, c.c_custkey) AS venue, u.user_id IS NOT NULL AS priced, c.c_custkey IS NOT NULL AS configured FROM (SELECT DISTINCT user_id FROM events) u FULL OUTER JOIN (SELECT c_custkey FROM customer WHERE c_custkey>=50) c ON u.user_id=c.c_custkey")
+@query("join_full_outer_status", "SELECT coalesce(u.user_id, c.c_custkey) AS venue, u.user_id IS NOT NULL AS priced, c.c_custkey IS NOT NULL AS configured FROM (SELECT DISTINCT user_id FROM events) u FULL OUTER JOIN (SELECT c_custkey FROM customer WHERE c_acctbal>=0) c ON u.user_id=c.c_custkey")
 def join_full_outer_status(spark, sf):
     users = V.read(spark, sf, "events").select("user_id").distinct()
-    configured = V.read(spark, sf, "customer").filter("c_custkey >= 50").select("c_custkey")
+    configured = V.read(spark, sf, "customer").filter("c_acctbal >= 0").select("c_custkey")
     out = users.join(configured, F.col("user_id") == F.col("c_custkey"), "full_outer")
     return out.select(F.coalesce("user_id", "c_custkey").alias("venue"), F.col("user_id").isNotNull().alias("priced"), F.col("c_custkey").isNotNull().alias("configured"))
 
 
-@query("antijoin_missing_accounts", "SELECT c_custkey AS role, 'not read' AS error FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("antijoin_missing_accounts", "SELECT c_custkey AS role, 'not read' AS error FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='P')")
 def antijoin_missing_accounts(spark, sf):
-    return V.read(spark, sf, "customer").join(V.read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("role"), F.lit("not read").alias("error"))
+    return V.read(spark, sf, "customer").join(V.read(spark, sf, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("role"), F.lit("not read").alias("error"))
 
 
 @query("join_in_keys", "SELECT attempt_id, count(*)::BIGINT AS n FROM lifecycle WHERE attempt_id IN (SELECT id FROM attempts WHERE status='half_open') GROUP BY 1", "lifecycle", "attempts")
@@ -439,36 +454,25 @@ def reconcile_orders(spark, sf):
     return V.attempts(spark, sf).join(remote, "id", "left").select("id", action.alias("action"))
 
 
-@query("ladder_zip_compare", """, a AS (SELECT book_id, price, row_number() OVER (PARTITION BY book_id ORDER BY price, level_id, part) AS k FROM levels WHERE side='ask'), b AS (SELECT book_id, price, row_number() OVER (PARTITION BY book_id ORDER BY price DESC, level_id, part) AS k FROM levels WHERE side='bid')
-  SELECT book_id, k::INT AS rank, round((b.price-a.price)/a.price*10000,3) AS drift FROM a JOIN b USING (book_id, k) WHERE k<=5""", "levels")
-def ladder_zip_compare(spark, sf):
-    a = books.depth(V.levels(spark, sf), "ask", 5).select("book_id", "rank", F.col("price").alias("a"))
-    b = books.depth(V.levels(spark, sf), "bid", 5).select("book_id", "rank", F.col("price").alias("b"))
-    return a.join(b, ["book_id", "rank"]).select("book_id", "rank", r((F.col("b") - F.col("a")) / F.col("a") * 10000, 3).alias("drift"))
-
-
 @query("pnl_realised", "SELECT attempt_id, round(sum(CASE WHEN event_type='executed' THEN expected ELSE -expected END),4) AS pnl FROM lifecycle WHERE event_type<>'routed' GROUP BY 1", "lifecycle")
 def pnl_realised(spark, sf):
     signed = F.when(F.col("event_type") == "executed", F.col("expected")).otherwise(-F.col("expected"))
     return V.lifecycle(spark, sf).filter("event_type <> 'routed'").groupBy("attempt_id").agg(r(F.sum(signed), 4).alias("pnl"))
 
 
-@query("pool_volume_24h", "SELECT pool, round(sum(usd),4) AS usd, count(*)::BIGINT AS n FROM (SELECT * FROM swaps WHERE uid IS NULL UNION ALL SELECT * FROM (SELECT * FROM swaps WHERE uid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pool, uid ORDER BY ts_ms, id)=1)) GROUP BY 1", "swaps")
+@query("pool_volume_24h", "SELECT pool, round(sum(usd),4) AS usd, count(*)::BIGINT AS n FROM (SELECT * FROM swaps WHERE uid IS NULL UNION ALL SELECT * FROM (SELECT * FROM swaps WHERE uid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pool, uid ORDER BY ts_ms, id)=1)) WHERE ts_ms>(SELECT max(ts_ms) FROM swaps)-86400000 GROUP BY 1", "swaps")
 def pool_volume_24h(spark, sf):
     log = V.swaps(spark, sf)
     keyed = log.filter("uid is not null").withColumn("_at", F.struct("ts_ms", "id"))
     once = relations.first_per_key(keyed, ["pool", "uid"], "_at").drop("_at")
-    return log.filter("uid is null").unionByName(once).groupBy("pool").agg(r(F.sum("usd"), 4).alias("usd"), F.count("*").alias("n"))
+    newest = F.broadcast(log.agg(F.max("ts_ms").alias("newest")))  # one row
+    fresh = log.filter("uid is null").unionByName(once).join(newest).filter(F.col("ts_ms") > F.col("newest") - K.DAY)
+    return fresh.groupBy("pool").agg(r(F.sum("usd"), 4).alias("usd"), F.count("*").alias("n"))
 
 
 # --- text ----------------------------------------------------------------------------------------
 
 
-@query("classify_error", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name),'rpc|timeout|connection|429') THEN 'rpc' WHEN regexp_matches(lower(p_name),'insufficient|balance') THEN 'balance' WHEN regexp_matches(lower(p_name),'permit2|allowance') THEN 'permit2' WHEN regexp_matches(lower(p_name),'paused') THEN 'pool_paused' ELSE 'unknown' END AS class FROM part")
-def classify_error(spark, sf):
-    return V.read(spark, sf, "part").select("p_partkey", K.error_class(F.col("p_name")).alias("class"))
-
-
 @query("market_match", "SELECT p_partkey, regexp_replace(lower(p_brand),'[^a-z0-9]','','g') AS market FROM part")
 def market_match(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", K.market_id(F.col("p_brand")).alias("market"))
@@ -526,9 +530,9 @@ def source_to_venue(spark, sf):
     return V.quotes(spark, sf).select("id", F.when(low.contains("sign"), "ramp").when(low.contains("click"), "pool").otherwise(F.col("source")).alias("venue"))
 
 
-@query("reputation_filter", "SELECT s_suppkey FROM supplier WHERE s_acctbal>=1000 AND s_nationkey<20 AND s_suppkey%10<>0")
+@query("reputation_filter", "SELECT s_suppkey FROM supplier WHERE s_acctbal>=1000 AND s_nationkey<20 AND s_nationkey%10<>0")
 def reputation_filter(spark, sf):
-    return V.read(spark, sf, "supplier").filter((F.col("s_acctbal") >= 1000) & (F.col("s_nationkey") < 20) & (F.col("s_suppkey") % 10 != 0)).select("s_suppkey")
+    return V.read(spark, sf, "supplier").filter((F.col("s_acctbal") >= 1000) & (F.col("s_nationkey") < 20) & (F.col("s_nationkey") % 10 != 0)).select("s_suppkey")
 
 
 @query("wallet_log_match", """SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON e.user_id=c.c_custkey WHERE e.event_type='click'
@@ -580,9 +584,9 @@ def lp_token_amounts(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", r(a0).alias("amount0"), r(a1).alias("amount1"))
 
 
-@query("can_trade", "SELECT c_custkey, CASE WHEN c_custkey%7=0 THEN 'breaker' WHEN c_acctbal*2>=10000 THEN 'volume' WHEN c_acctbal<-500 THEN 'daily_loss' WHEN c_acctbal<10 THEN 'low_inventory' END AS reason FROM customer")
+@query("can_trade", "SELECT c_custkey, CASE WHEN c_custkey%7=0 THEN 'breaker' WHEN c_acctbal*2+c_nationkey*10>10000 THEN 'volume' WHEN c_acctbal<-500 THEN 'daily_loss' WHEN c_acctbal<10 THEN 'low_inventory' END AS reason FROM customer")
 def can_trade(spark, sf):
-    reason = trades.can_trade(F.col("c_custkey") % 7 == 0, F.col("c_acctbal") * 2, -F.col("c_acctbal") - 0.000001, F.col("c_acctbal"), 10000, 500, 10)
+    reason = trades.can_trade(F.col("c_custkey") % 7 == 0, F.col("c_acctbal") * 2, F.col("c_nationkey") * 10, -F.col("c_acctbal") - 0.000001, F.col("c_acctbal"), 10000, 500, 10)
     return V.read(spark, sf, "customer").select("c_custkey", reason.alias("reason"))
 
 
@@ -592,9 +596,9 @@ def source_valuation(spark, sf):
     return joined.groupBy("n_regionkey").agg(r(F.sum("c_acctbal") * 0.5, 4).alias("value"), F.count("*").alias("n"))
 
 
-@query("consecutive_failures", _STREAK + "SELECT desk, max(streak) AS longest FROM s GROUP BY 1", "trades")
+@query("consecutive_failures", _STREAK + "SELECT desk, max(streak)::BIGINT AS longest FROM x GROUP BY 1")
 def consecutive_failures(spark, sf):
-    return trades.failure_streaks(V.trades(spark, sf)).groupBy("desk").agg(F.max("streak").alias("longest"))
+    return trades.breaker(V.trades(spark, sf), 2, 60.0).groupBy("desk").agg(F.max("streak").alias("longest"))
 
 
 @query("union_live_tracked", "SELECT id, 'live' AS origin FROM attempts WHERE status='detected' UNION ALL SELECT DISTINCT attempt_id, 'tracked' FROM lifecycle WHERE attempt_id NOT IN (SELECT id FROM attempts WHERE status='detected')", "attempts", "lifecycle")

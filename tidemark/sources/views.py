@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").filter("event_type = 'purchase'").select(
-        F.col("event_id").alias("id"), millis("ts").alias("ts_ms"), (F.col("user_id") % 3).alias("desk"), F.col("value").alias("size"), (F.col("value") - 20).alias("profit"),
+        F.col("event_id").alias("id"), millis("ts").alias("ts_ms"), (F.col("user_id") % 3).alias("desk"), F.col("value").alias("size"), (F.col("value") - 20).alias("profit"), (F.col("value") < 8).alias("failed"),
     )
 
 
@@ -106,7 +108,7 @@ SQL = {
       value AS usd FROM events WHERE event_type='click'""",
     "actions": """SELECT event_id AS id, epoch_us(ts)//1000 AS ts_ms, CASE WHEN CAST(json_extract_string(props,'$.k') AS INT)%3<>0 THEN user_id||':'||CAST(json_extract_string(props,'$.k') AS INT) END AS idempotency_key,
       value AS amount FROM events WHERE event_type='purchase'""",
-    "trades": "SELECT event_id AS id, epoch_us(ts)//1000 AS ts_ms, user_id%3 AS desk, value AS size, value-20 AS profit FROM events WHERE event_type='purchase'",
+    "trades": "SELECT event_id AS id, epoch_us(ts)//1000 AS ts_ms, user_id%3 AS desk, value AS size, value-20 AS profit, value<8 AS failed FROM events WHERE event_type='purchase'",
     "positions": """SELECT o_orderkey AS id, n_name AS venue, epoch_us(o_orderdate)//1000 AS ts_ms, CASE WHEN o_orderstatus<>'P' THEN o_totalprice END AS value
       FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey""",
 }
@@ -115,3 +117,89 @@ SQL = {
 def with_views(sql: str, *names: str) -> str:
     """``sql`` after the named relations; SQL that starts with a comma adds its own before its SELECT."""
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " " + sql
+
+
+def _mutual(text: str, table: str):
+    """A relation whose projection reads alike in both dialects: (DataFrame maker, SQL)."""
+    return (lambda spark, sf_dir: read(spark, sf_dir, table).selectExpr(*_columns(text))), f"SELECT {text} FROM {table}"
+
+
+def _columns(text: str) -> list[str]:
+    """Columns stand on lines of their own; lines that go on are indented."""
+    return re.split(r",\n(?! )", text)
+
+
+_MONEY = "CAST(CAST({} AS DECIMAL(18,2)) AS STRING)"
+_VOLUME = "CAST(o_custkey % 50 AS STRING)"
+
+#: Payloads as venues send them, made of the tables' columns.
+_PAYLOADS = {
+    "order_payloads": (
+        "o_orderkey AS id,\no_custkey % 40 AS venue,\n"
+        """concat('{"id":"', CAST(o_orderkey AS STRING), '","market":"USDT_', CASE WHEN o_custkey % 2 = 0 THEN 'CNGN' ELSE 'Cngn' END,
+          '","side":"', CASE WHEN o_custkey % 17 = 0 THEN 'hold' WHEN o_orderkey % 2 = 0 THEN 'Buy' ELSE 'sell' END,
+          '","', CASE WHEN o_custkey % 2 = 0 THEN 'state' ELSE 'status' END, '":"', CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'Wait' ELSE 'pending_cancel' END,
+          '","price":', CASE WHEN o_custkey % 3 = 0 THEN concat('{"amount":"', """ + _MONEY.format("o_totalprice") + """, '"}') WHEN o_custkey % 19 = 0 THEN '0' ELSE concat('"', """ + _MONEY.format("o_totalprice") + """, '"') END,
+          CASE WHEN o_custkey % 4 = 0 THEN '' ELSE concat(',"volume":"', """ + _VOLUME + """, '"') END,
+          CASE WHEN o_custkey % 5 = 0 THEN '' ELSE concat(',"remaining_volume":"', CAST(o_custkey % 7 AS STRING), '"') END,
+          ',"origin_volume":"', CAST(o_custkey % 30 AS STRING), '","executed_volume":{"value":"', CAST(o_custkey % 11 AS STRING), '"}',
+          ',"created_at":', CASE WHEN o_orderkey % 3 = 0 THEN CAST(1600000000 + o_orderkey AS STRING) WHEN o_orderkey % 3 = 1 THEN concat('"', CAST(1600000000000 + o_orderkey AS STRING), '"') ELSE 'null' END, '}') AS payload""",
+        "orders",
+    ),
+    "ticker_payloads": (
+        "event_id AS id,\nevent_type AS source,\n"
+        """concat('{"ticker":{"buy":"', CASE WHEN user_id % 5 = 0 THEN '0' ELSE CAST(CAST(1000 + value AS DECIMAL(18,2)) AS STRING) END, '"',
+          CASE WHEN user_id % 7 < 2 THEN '' ELSE concat(',"sell":"', CAST(CAST(1001 + value AS DECIMAL(18,2)) AS STRING), '"') END,
+          CASE WHEN user_id % 3 = 0 THEN '' ELSE concat(',"last":"', CAST(CAST(999 + value AS DECIMAL(18,2)) AS STRING), '"') END, '}}') AS payload""",
+        "events",
+    ),
+    "book_payloads": (
+        "p_partkey AS id,\n"
+        """concat('{"status":"', CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'success' END, '","data":{"bids":[["', """ + _MONEY.format("p_retailprice") + """, '","', CAST(p_size AS STRING), '"],["0","5"]],"asks":[["',
+          CAST(CAST(p_retailprice AS DECIMAL(18,2)) + 3 AS STRING), '","', CAST(p_size + 2 AS STRING), '"],["', CAST(CAST(p_retailprice AS DECIMAL(18,2)) + 4 AS STRING), '","1.5"]]}}') AS payload""",
+        "part",
+    ),
+    "ramp_payloads": (
+        "s_suppkey AS id,\n"
+        """concat('[{"side":"sell","rate":"', """ + _MONEY.format("s_acctbal") + """, '","balanceUsd":"', CAST(s_nationkey * 20 AS STRING), '"},{"side":"buy","rate":"', """ + _MONEY.format("s_acctbal") + """, '5","balanceUsd":"100"},',
+          '{"side":"sell","rate":"many","balanceUsd":"900"},{"side":"buy","balanceUsd":"900"},{"side":"sell","rate":"1500","balanceUsd":"', CASE WHEN s_nationkey % 2 = 0 THEN '250' ELSE '' END, '"}]') AS payload""",
+        "supplier",
+    ),
+    "chain_payloads": (
+        "p_partkey AS id,\n"
+        """concat('{"bids":[{"desired_amount":"', CAST(p_size + 1 AS STRING), '","filled_amount":"', CAST(p_size % 7 AS STRING), '","spot_contract":{"ui_intent":{"price":"', """ + _MONEY.format("p_retailprice") + """, '","size":"', CAST(p_size * 3 AS STRING), '"}}}],"asks":[{"desired_amount":"4","spot_contract":{"ui_intent":{"price":"',
+          CAST(CAST(p_retailprice AS DECIMAL(18,2)) + 2 AS STRING), '","size":"40"}}}]}') AS payload""",
+        "part",
+    ),
+    "ad_payloads": (
+        "c_custkey AS id,\n"
+        """concat('{"result":{"count":', CAST(c_nationkey * 10 + 2 AS STRING), ',"items":[{"price":"', """ + _MONEY.format("c_acctbal") + """, '","recentOrderNum":', CAST(c_nationkey * 9 AS STRING), ',"recentExecuteRate":', CAST(c_custkey % 101 AS STRING), ',"isOnline":true,"lastQuantity":"12.5"},{"price":"',
+          CAST(CAST(c_acctbal AS DECIMAL(18,2)) + 1 AS STRING), '","lastQuantity":"7.25"}]}}') AS payload""",
+        "customer",
+    ),
+    "kv_payloads": (
+        "c_custkey AS id,\n"
+        """CASE c_custkey % 5 WHEN 0 THEN concat('{"rate":"', CAST(c_nationkey AS STRING), '"}') WHEN 1 THEN concat('{"value":', CAST(c_nationkey AS STRING), ',"price":7}') WHEN 2 THEN concat('{"price":', CAST(c_nationkey AS STRING), '.5}')
+          WHEN 3 THEN CAST(c_nationkey AS STRING) ELSE 'not {json' END AS payload""",
+        "customer",
+    ),
+    "raw_times": (
+        "event_id AS id,\n"
+        """CASE user_id % 5 WHEN 0 THEN CAST(1700000000 + event_id AS STRING) WHEN 1 THEN CAST(1700000000000 + event_id AS STRING) WHEN 2 THEN concat('2024-01-0', CAST(1 + event_id % 9 AS STRING), 'T00:00:0', CAST(event_id % 10 AS STRING), 'Z') WHEN 3 THEN '' ELSE 'soon' END AS raw""",
+        "events",
+    ),
+    "raw_errors": (
+        "l_orderkey AS id,\nl_linenumber AS line,\n"
+        """concat(CASE (l_partkey + l_suppkey) % 13 WHEN 0 THEN 'HTTPSConnectionPool: Read timed out' WHEN 1 THEN 'ConnectionRefusedError' WHEN 2 THEN 'ERC20: transfer amount exceeds balance' WHEN 3 THEN 'Insufficient balance' WHEN 4 THEN 'InsufficientAllowance(1)'
+          WHEN 5 THEN 'AllowanceExpired' WHEN 6 THEN 'LOK' WHEN 7 THEN 'PoolNotInitialized()' WHEN 8 THEN 'Paused' WHEN 9 THEN 'Broken pipe' WHEN 10 THEN 'balance too odd' WHEN 11 THEN '' ELSE 'slippage' END, CASE WHEN l_suppkey % 2 = 0 THEN ': 0x08c379a0ff' ELSE '' END) AS error""",
+        "lineitem",
+    ),
+    "swap_logs": (
+        "event_id AS id,\nuser_id % 3 AS pool,\nevent_id * 7 AS block,\n"
+        """concat('0x', CASE WHEN user_id % 11 = 0 THEN '00ff' ELSE concat(lpad(lower(hex(user_id * 1000)), 64, '0'), CASE WHEN user_id % 2 = 0 THEN lpad(lower(hex(event_id)), 64, '0') ELSE concat(repeat('f', 52), lpad(lower(hex(281474976710656 - 1000 - event_id)), 12, '0')) END, repeat('0', 256)) END) AS data""",
+        "events",
+    ),
+}
+RELATIONS = {}
+for _name, (_text, _table) in _PAYLOADS.items():
+    RELATIONS[_name], SQL[_name] = _mutual(_text, _table)
