@@ -305,11 +305,11 @@ def cex_balance_alerts(spark, sf):
     return low.select(F.col("n_name").alias("venue"), F.concat_ws(":", F.lit("low"), "n_name", "token").alias("dedupe_key"), r("b", 2).alias("balance"))
 
 
-@query("normalize_ngn_usd", "SELECT id, round(CASE WHEN bid<1 THEN 1/ask ELSE bid END,4) AS bid, round(CASE WHEN ask<1 THEN 1/bid ELSE ask END,4) AS ask, round(CASE WHEN mid<1 THEN 1/mid ELSE mid END,4) AS mid FROM (SELECT id, mid*0.999::DOUBLE AS bid, mid*1.001::DOUBLE AS ask, mid, source FROM quotes) WHERE mid>0 AND bid<>0 AND ask<>0 AND source<>'error'", "quotes")
+@query("normalize_ngn_usd", "SELECT id, round(CASE WHEN bid<1 THEN 1/ask ELSE bid END,5) AS bid, round(CASE WHEN ask<1 THEN 1/bid ELSE ask END,5) AS ask, round(CASE WHEN mid<1 THEN 1/mid ELSE mid END,5) AS mid FROM (SELECT id, mid*0.999::DOUBLE AS bid, mid*1.001::DOUBLE AS ask, mid, source FROM quotes) WHERE mid>0 AND bid<>0 AND ask<>0 AND source<>'error'", "quotes")
 def normalize_ngn_usd(spark, sf):
     """Quotes of a convertible pair per dollar: below 1 the pair is inverted and the sides change places."""
     valid = V.quotes(spark, sf).filter("source <> 'error'").select("id", "bid", "ask", "mid").filter("mid > 0 and bid <> 0 and ask <> 0")
-    flip = lambda value, by: r(F.when(F.col(value) < 1, 1 / F.col(by)).otherwise(F.col(value)), 4).alias(value)
+    flip = lambda value, by: r(F.when(F.col(value) < 1, 1 / F.col(by)).otherwise(F.col(value)), 5).alias(value)
     return valid.select("id", flip("bid", "ask"), flip("ask", "bid"), flip("mid", "mid"))
 
 
