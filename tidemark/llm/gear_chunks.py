@@ -58,11 +58,13 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def boundaries(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """doc, row, start, next, digest, link: every boundary of every whole text with the digests of its GRAM
-    code points (from ``start``) and of what lies from there to the next boundary (``next``, or -1)."""
+    """doc, row, start, next, digest, link, own: every boundary of every whole text with the digests of its
+    GRAM code points (from ``start``) and of what lies from there to the next boundary (``next``, or -1).
+    Where the digest stands earlier in the same text, ``own`` is its first start there (else -1), and
+    ``link`` says whether what follows is the same (1 or 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc", "row", "start", "next", "digest", "link"], (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
+        names, kinds = ["doc", "row", "start", "next", "digest", "link", "own"], (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32)
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in names]
             for doc, row, value in zip(*(batch.column(i) for i in range(3))):
@@ -71,7 +73,12 @@ def boundaries(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 if len(at):
                     following = np.append(at[1:], -1)
                     between = np.append(piece_hashes(points[: at[-1]], at)[1:], 0)
-                    made = (np.full(len(at), doc.as_py()), np.full(len(at), row.as_py()), at, following, gram_hashes(points, at, GRAM).view(np.int64), between.view(np.int64))
+                    digest, link = gram_hashes(points, at, GRAM).view(np.int64), between.view(np.int64)
+                    _, heads, which = np.unique(digest, return_index=True, return_inverse=True)
+                    first = heads[which]
+                    again = first != np.arange(len(at))
+                    link = np.where(again, (link == link[first]) & (following >= 0), link)
+                    made = (np.full(len(at), doc.as_py()), np.full(len(at), row.as_py()), at, following, digest, link, np.where(again, at[first], -1))
                     for part, x, kind in zip(parts, made, kinds):
                         part.append(x.astype(kind))
             if parts[0]:
@@ -79,7 +86,7 @@ def boundaries(rows: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 for at in range(0, whole.num_rows, 100_000):
                     yield whole.slice(at, 100_000)
 
-    return rows.select("doc", "row", "text").mapInArrow(run, "doc bigint, row bigint, start int, next int, digest bigint, link bigint")
+    return rows.select("doc", "row", "text").mapInArrow(run, "doc bigint, row bigint, start int, next int, digest bigint, link bigint, own int")
 
 
 _RUN = "row bigint, s int, l int, firsts array<bigint>, s_row bigint, s_at int, l_row bigint, l_at int"
@@ -192,12 +199,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """
     with scratch(docs.sparkSession) as kept:
         rows = _rows(docs, key, text)
-        made = boundaries(rows, min_run).repartition("digest")
-        here = F.struct("doc", "row", "start", "next", "link")
-        shared = made.groupBy("digest").agg(F.min(here).alias("f"), F.count("*").alias("many")).filter("many > 1").select("digest", "f")
-        later = made.join(shared, "digest").filter((F.col("doc") != F.col("f.doc")) | (F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
-        linked = (F.col("next") >= 0) & (F.col("link") == F.col("f.link"))
-        pair = F.struct("start", "next", linked.alias("linked"), F.col("f.doc").alias("first"), F.col("f.row").alias("first_row"), F.col("f.start").alias("first_start"))
+        # repeats inside one text need no partner: they are spread, so that a digest has one row a text at most
+        spread = F.when(F.col("own") >= 0, F.col("start")).otherwise(-1)
+        made = boundaries(rows, min_run).withColumn("spread", spread).repartition("digest", "spread")
+        here, again = F.struct("doc", "row", "start", "next", "link", "own"), F.col("own") >= 0
+        shared = made.groupBy("digest", "spread").agg(F.min(here).alias("f"), F.count("*").alias("many")).filter("many > 1 or spread >= 0").select("digest", "spread", "f")
+        later = made.join(shared, ["digest", "spread"]).filter(again | (F.col("doc") != F.col("f.doc")) | (F.col("row") != F.col("f.row")) | (F.col("start") != F.col("f.start")))
+        linked = F.when(again, F.col("link") == 1).otherwise((F.col("next") >= 0) & (F.col("link") == F.col("f.link")))
+        first = lambda own, other, name: F.when(again, F.col(own)).otherwise(F.col(other)).alias(name)
+        pair = F.struct("start", "next", linked.alias("linked"), first("doc", "f.doc", "first"), first("row", "f.row", "first_row"), first("own", "f.start", "first_start"))
         runs = stored(_runs(later.groupBy("row").agg(F.collect_set(pair).alias("pairs"))), "runs")
         end = lambda left, at, r, a: F.struct(F.lit(left).alias("left"), F.col(at).alias("at"), "s", "firsts", F.col(r).alias("there_row"), F.col(a).alias("there_at"))
         ends = runs.select("row", F.explode(F.array(end(True, "s", "s_row", "s_at"), end(False, "l", "l_row", "l_at"))).alias("end"))
