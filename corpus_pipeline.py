@@ -67,7 +67,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 #: No SQL: learned rules, bootstrapped extraction and byte pairs are not SQL expressions. The tests
-#: compare each stage with a brute-force version.
+#: compare near_copies with a brute-force version and check what the other stages keep and return.
 ORACLE_SQL = None
 
 
