@@ -165,13 +165,13 @@ def positive_profit_filter(spark, sf):
 
 
 _DEX_CURVE = "WITH RECURSIVE" + _BRAND[1:] + _TWO + _search("15000") + f""", top AS (SELECT p_brand, max(greatest(5000, trunc(1.5*size)))::INT AS upto FROM best GROUP BY 1), g AS (SELECT z.*, unnest(range(1, upto+1)) AS size FROM z JOIN top USING (p_brand)),
-  c AS (SELECT p_brand, size, round({_pair_sql('size', 'qa', 'qb')}-size,4) AS a_to_b, round({_pair_sql('size', 'qb', 'qa')}-size,4) AS b_to_a FROM g) """
+  c AS (SELECT p_brand, size, round({_pair_sql('size', 'qa', 'qb')}-size,2) AS a_to_b, round({_pair_sql('size', 'qb', 'qa')}-size,2) AS b_to_a FROM g) """
 
 
 @query("profit_curve_dex_dex", _DEX_CURVE + "SELECT p_brand, size::BIGINT AS size, a_to_b, b_to_a FROM c")
 def profit_curve_dex_dex(spark, sf):
     """Profit of both directions at every size up to 5,000 or one and a half times the best one."""
-    return D.pool_curve(_pools(spark, sf)).select("p_brand", "size", r("a_to_b", 4).alias("a_to_b"), r("b_to_a", 4).alias("b_to_a"))
+    return D.pool_curve(_pools(spark, sf)).select("p_brand", "size", r("a_to_b", 2).alias("a_to_b"), r("b_to_a", 2).alias("b_to_a"))
 
 
 # A book per supplier and a pool priced at its mid: levels with the amount before each.

@@ -169,11 +169,11 @@ def existing_anchor(spark, sf):
     return O.anchors(O.resting(_rows(spark, sf, "order_payloads")), "venue")
 
 
-_REFERENCE = ", f AS (SELECT c_custkey%40 AS venue, round(avg(c_acctbal)+1000,2) AS ref, sum(greatest(c_acctbal,0)) AS ngn, count(*)*10.0::DOUBLE AS usd FROM customer GROUP BY 1) "
+_REFERENCE = ", f AS (SELECT c_custkey%40 AS venue, floor(avg(c_acctbal))+1000.25::DOUBLE AS ref, sum(greatest(c_acctbal,0)) AS ngn, count(*)*10.0::DOUBLE AS usd FROM customer GROUP BY 1) "
 
 
 def _references(spark, sf) -> DataFrame:
-    return V.read(spark, sf, "customer").groupBy((F.col("c_custkey") % 40).alias("venue")).agg(F.round(F.avg("c_acctbal") + 1000, 2).alias("ref"), F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("ngn"), (F.count("*") * 10.0).alias("usd"))
+    return V.read(spark, sf, "customer").groupBy((F.col("c_custkey") % 40).alias("venue")).agg((F.floor(F.avg("c_acctbal")) + 1000.25).alias("ref"), F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("ngn"), (F.count("*") * 10.0).alias("usd"))
 
 
 _SIZES = _REFERENCE + """, s AS (SELECT *, ngn/ref+usd AS worth, least(30000.0::DOUBLE, 25.0::DOUBLE*ref) AS base FROM f), z AS (SELECT *, CASE WHEN worth>0 THEN (usd-ngn/ref)/worth ELSE 0 END AS tilt FROM s),
