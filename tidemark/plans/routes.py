@@ -82,12 +82,12 @@ def topup_trigger(spark, sf):
     return _parts(spark, sf).select("p_partkey", ((F.col("a0") >= 100) | (F.col("a1") >= 10)).alias("topup"))
 
 
-_BRAND = ", h AS (SELECT p_brand, count(*) AS n, avg(p_retailprice/1000) AS mean, coalesce(stddev_pop(p_retailprice/1000),0) AS sd FROM part GROUP BY 1) "
+_BRAND = ", h AS (SELECT p_brand, count(*) AS n, round(avg(p_retailprice/1000),6) AS mean, coalesce(stddev_pop(p_retailprice/1000),0) AS sd FROM part GROUP BY 1) "
 
 
 def _brands(spark, sf) -> DataFrame:
     price = F.col("p_retailprice") / 1000
-    return V.read(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.avg(price).alias("mean"), F.coalesce(F.stddev_pop(price), F.lit(0.0)).alias("sd"))
+    return V.read(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg(price), 6).alias("mean"), F.coalesce(F.stddev_pop(price), F.lit(0.0)).alias("sd"))
 
 
 @query("tick_range", "WITH" + _BRAND[1:] + """, s AS (SELECT *, CASE WHEN sd>0 THEN greatest(0.2,least(0.8,0.6+(1.5-mean)/(sd*2.0::DOUBLE)*0.15)) ELSE 0.6 END AS skew FROM h), b AS (SELECT *, greatest(mean-sd*4*skew,0.0001) AS lo, mean+sd*4*(1-skew) AS hi FROM s),
@@ -165,13 +165,13 @@ def positive_profit_filter(spark, sf):
 
 
 _DEX_CURVE = "WITH RECURSIVE" + _BRAND[1:] + _TWO + _search("15000") + f""", top AS (SELECT p_brand, max(greatest(5000, trunc(1.5*size)))::INT AS upto FROM best GROUP BY 1), g AS (SELECT z.*, unnest(range(1, upto+1)) AS size FROM z JOIN top USING (p_brand)),
-  c AS (SELECT p_brand, size, round({_pair_sql('size', 'qa', 'qb')}-size,2) AS a_to_b, round({_pair_sql('size', 'qb', 'qa')}-size,2) AS b_to_a FROM g) """
+  c AS (SELECT p_brand, size, round({_pair_sql('size', 'qa', 'qb')}-size,7) AS a_to_b, round({_pair_sql('size', 'qb', 'qa')}-size,7) AS b_to_a FROM g) """
 
 
 @query("profit_curve_dex_dex", _DEX_CURVE + "SELECT p_brand, size::BIGINT AS size, a_to_b, b_to_a FROM c")
 def profit_curve_dex_dex(spark, sf):
     """Profit of both directions at every size up to 5,000 or one and a half times the best one."""
-    return D.pool_curve(_pools(spark, sf)).select("p_brand", "size", r("a_to_b", 2).alias("a_to_b"), r("b_to_a", 2).alias("b_to_a"))
+    return D.pool_curve(_pools(spark, sf)).select("p_brand", "size", r("a_to_b", 7).alias("a_to_b"), r("b_to_a", 7).alias("b_to_a"))
 
 
 # A book per supplier and a pool priced at its mid: levels with the amount before each.
