@@ -73,3 +73,46 @@ def test_history_provenance(spark):
 def test_null_safe_totals(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0)], "k string, v double")
     assert {r["k"]: r["total"] for r in trades.null_safe_totals(df, ["k"], "v").collect()} == {"a": None, "b": 2.0}
+
+
+def test_ewma_over_blocks_equals_one_fold(spark):
+    import random
+
+    dice, rows, want = random.Random(3), [], {}
+    for source, gaps in (("a", (1, 400_000)), ("b", (1, 20_000_000)), ("c", (0, 1))):
+        at, mean, var = 0, None, 0.0
+        for i in range(60):
+            at += dice.randint(*gaps)
+            x = dice.uniform(0.2, 0.9)
+            rows.append((source, at, i, x))
+            if mean is None:
+                mean = x
+            else:
+                mean, var = 0.9 * mean + 0.1 * x, 0.9 * var + 0.1 * (x - mean) ** 2
+        want[source] = (mean, var)
+    dice.shuffle(rows)
+    got = prices.ewma(spark.createDataFrame(rows, "source string, ts_ms long, id int, price double"), 0.9).collect()
+    assert {r["source"] for r in got} == set(want)
+    for r in got:
+        assert math.isclose(r["mean"], want[r["source"]][0], rel_tol=1e-12) and math.isclose(r["var"], want[r["source"]][1], rel_tol=1e-9)
+
+
+def test_upper_median_by_bounds(spark):
+    import random
+
+    dice = random.Random(5)
+    held = {"one": [3.0], "two": [2.0, 1.0], "ties": [1.0] * 700 + [2.0] * 700, "many": [dice.lognormvariate(0, 9) for _ in range(30001)], "even": [float(i) for i in range(50000)]}
+    rows = [(k, v) for k, values in held.items() for v in values]
+    got = {r["k"]: r["median"] for r in prices.upper_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in held.items()}
+
+
+def test_rolling_sum_across_spans(spark):
+    import random
+
+    dice = random.Random(7)
+    rows = [(i, dice.choice("ab"), dice.randint(0, 500), float(dice.randint(1, 9))) for i in range(200)]
+    out = relations.rolling_sum(spark.createDataFrame(rows, "id int, k string, t long, v double"), "k", "t", "v", 50, "total")
+    assert out.columns == ["id", "k", "t", "v", "total"]
+    want = {i: sum(v2 for _, k2, t2, v2 in rows if k2 == k and t - 50 < t2 <= t) for i, k, t, v in rows}
+    assert {r["id"]: r["total"] for r in out.collect()} == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import DAY, bucket
+from ..functions.kernels import DAY, HOUR, bucket
 
 INVERTED, EXCLUDED = ("signup",), ("error",)
 
@@ -45,9 +45,19 @@ def twap(quotes: DataFrame, as_of: Column) -> DataFrame:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(value, "id")
-    ranked = df.withColumns({"_n": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy(*keys))})
-    return ranked.filter(F.col("_n") == F.floor(F.col("_all") / 2) + 1).select(*keys, F.col(value).alias("median"))
+    """The value at place floor(n / 2) + 1 in ascending order, per key.
+
+    Approximate quantiles (off by a ten-thousandth of the rows at most) on both sides of the middle bound
+    it; rows below are counted, and only the distinct values between are put in order, with their counts.
+    """
+    bounds = F.percentile_approx(value, F.array(F.lit(0.499), F.lit(0.501)), 10000)
+    sides = df.groupBy(*keys).agg(bounds.alias("_q"), F.count(value).alias("_all"))
+    near = df.select(*keys, F.col(value).alias("_v")).join(sides, keys).filter(F.col("_v") <= F.get("_q", F.lit(1)))
+    low = F.get("_q", F.lit(0))
+    counts = near.groupBy(*keys, F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_all").alias("_all"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
+    placed = counts.withColumn("_upto", upto).filter(F.col("_v").isNotNull() & (F.col("_upto") > F.floor(F.col("_all") / 2)))
+    return placed.groupBy(*keys).agg(F.min("_v").alias("median"))
 
 
 def modal(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -60,7 +70,7 @@ def within_deviation(df: DataFrame, key: str, value: str, limit: float) -> DataF
     """Rows within ``limit`` of their key's upper median; keys with fewer than two such rows keep all."""
     medians = upper_median(df, [key], value)
     joined = df.join(medians, key).withColumn("_in", F.abs(F.col(value) - F.col("median")) / F.col("median") <= limit)
-    joined = joined.withColumn("_ins", F.count_if("_in").over(Window.partitionBy(key)))
+    joined = joined.join(joined.groupBy(key).agg(F.count_if("_in").alias("_ins")), key)
     return joined.filter(F.col("_in") | (F.col("_ins") < 2)).drop("_in", "_ins", "median")
 
 
@@ -70,19 +80,36 @@ def bucketed(quotes: DataFrame, width_ms: int, value: str, latest: bool = True)
     return quotes.groupBy(bucket(F.col("ts_ms"), width_ms).alias("bucket"), "source").agg(pick(value, F.struct("ts_ms", "id")).alias(value))
 
 
-def ewma(quotes: DataFrame, decay: float = 0.975) -> DataFrame:
+def ewma(quotes: DataFrame, decay: float = 0.975, block_ms: int = HOUR) -> DataFrame:
     """Recursive mean and variance per source, in time order; the difference is to the previous mean.
 
-    A fold is sequential in one source by definition; a source's values meet in one row.
+    Quotes are folded inside blocks of time. With m the mean before a block less the block's first price
+    p, and v the variance before it, the block leaves a mean of p + w m + c and a variance of
+    w v + a + b m + e m^2. Only these numbers of each block meet in one row per source.
     """
     lam = F.lit(decay).cast("double")
+    gain = 1 - lam
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "id", "price"))), lambda x: x["price"])
-    rows = quotes.groupBy("source").agg(ordered.alias("xs"))
-    start = F.struct(F.get("xs", F.lit(0)).alias("mean"), F.lit(0.0).alias("var"))
-
-    def step(acc: Column, x: Column) -> Column:
-        delta = x - acc["mean"]
-        return F.struct((lam * acc["mean"] + (1 - lam) * x).alias("mean"), (lam * acc["var"] + (1 - lam) * delta * delta).alias("var"))
-
-    folded = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs"), F.lit(1))), start, step)
-    return rows.select("source", folded["mean"].alias("mean"), folded["var"].alias("var"))
+    blocks = quotes.groupBy("source", bucket(F.col("ts_ms"), block_ms).alias("at")).agg(ordered.alias("xs")).withColumn("p", F.get("xs", F.lit(0)))
+
+    def inside(acc: Column, x: Column) -> Column:
+        w, y = acc["w"], x - F.col("p")
+        delta = y - acc["c"]
+        return F.struct(
+            (lam * w).alias("w"),
+            (lam * acc["c"] + gain * y).alias("c"),
+            (lam * acc["a"] + gain * delta * delta).alias("a"),
+            (lam * acc["b"] - 2 * gain * delta * w).alias("b"),
+            (lam * acc["e"] + gain * w * w).alias("e"),
+        )
+
+    none = F.struct(F.lit(1.0).alias("w"), *(F.lit(0.0).alias(x) for x in "cabe"))
+    folded = blocks.select("source", "at", "p", F.aggregate("xs", none, inside).alias("f")).select("source", "at", "p", "f.*")
+    rows = folded.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("at", "p", *"wcabe"))).alias("blocks"))
+
+    def across(acc: Column, k: Column) -> Column:
+        m = acc["mean"] - k["p"]
+        return F.struct((k["p"] + k["w"] * m + k["c"]).alias("mean"), (k["w"] * acc["var"] + k["a"] + k["b"] * m + k["e"] * m * m).alias("var"))
+
+    start = F.struct(F.get("blocks", F.lit(0))["p"].alias("mean"), F.lit(0.0).alias("var"))
+    return rows.select("source", F.inline(F.array(F.aggregate("blocks", start, across))))

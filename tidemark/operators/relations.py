@@ -61,8 +61,17 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def rolling_sum(df: DataFrame, key: str, time: str, value: str, span_ms: int) -> Column:
-    return F.sum(value).over(Window.partitionBy(key).orderBy(time).rangeBetween(-span_ms + 1, 0))
+def rolling_sum(df: DataFrame, key: str, time: str, value: str, span_ms: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the key's rows of the last ``span_ms``, own time included.
+
+    Windows are inside one span of time: a row stands in its own span and, to be seen by it, in the next one.
+    """
+    span = F.floor(F.col(time) / span_ms)
+    both = F.array(F.struct(span.alias("_span"), F.lit(True).alias("_own")), F.struct((span + 1).alias("_span"), F.lit(False).alias("_own")))
+    spread = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(time).alias("_time"), F.col(value).alias("_value"), F.inline(both))
+    spread = spread.withColumn("_row", F.when(F.col("_own"), F.col("_row")))
+    last = Window.partitionBy("_key", "_span").orderBy("_time").rangeBetween(-span_ms + 1, 0)
+    return spread.withColumn(name, F.sum("_value").over(last)).filter("_own").select("_row.*", name)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -385,7 +385,8 @@ def inventory_projection(spark, sf):
 
 @query("rolling_24h", "SELECT id, desk, round(sum(size) OVER (PARTITION BY desk ORDER BY ts_ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW),4) AS volume FROM trades", "trades")
 def rolling_24h(spark, sf):
-    return V.trades(spark, sf).select("id", "desk", r(relations.rolling_sum(V.trades(spark, sf), "desk", "ts_ms", "size", K.DAY), 4).alias("volume"))
+    summed = relations.rolling_sum(V.trades(spark, sf), "desk", "ts_ms", "size", K.DAY, "volume")
+    return summed.select("id", "desk", r("volume", 4).alias("volume"))
 
 
 @query("daily_pnl", "SELECT desk, ts_ms//86400000 AS day, round(coalesce(sum(profit) FILTER (WHERE profit>=0),0),4) AS profit, round(coalesce(sum(-profit) FILTER (WHERE profit<0),0),4) AS loss FROM trades GROUP BY 1,2", "trades")
