@@ -232,6 +232,8 @@ class _Join:
         differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         marked = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
         near = stored(marked.filter((self.den + self.num) * differ <= (self.den - self.num) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+        if near.isEmpty():
+            return near
         own = self.sets_of(near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls")))) if sets is None else sets
         left = own.select(F.col("cls").alias("a"), F.col("ids").alias("x"))
         right = own.select(F.col("cls").alias("b"), F.col("ids").alias("y"))
@@ -291,9 +293,17 @@ class _Join:
         return made, beside
 
 
-def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of what ``roots`` has joined and ``links`` join further."""
+    return roots if links.isEmpty() else components(_edges(roots).unionByName(links))
+
+
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Lists with each member's root; lists within one component are left out."""
-    roots = components(links)
     out = lists.join(roots, lists["cls"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
     mixed_lists = out.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
     return out.join(mixed_lists, "key")
@@ -329,19 +339,19 @@ def linked_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     pairs = step.led(lists)
     if by_subset is not None:
         pairs = pairs.unionByName(by_subset)
-    links = step.verified(pairs)
-    open_lists = stored(_rooted(lists, links), "open-lists")
+    roots = components(step.verified(pairs))
+    open_lists = stored(_rooted(lists, roots), "open-lists")
     dropped(lists, all_lists)
-    links = stored(links.unionByName(step.verified(step.placed(open_lists.filter(F.col("df") <= SHORT_LIST)))), "links")
+    links = step.verified(step.placed(open_lists.filter(F.col("df") <= SHORT_LIST)))
 
     crowded = open_lists.filter(F.col("df") > SHORT_LIST).select("cls").distinct()
-    if not crowded.isEmpty():
-        links = _rarest_first(step, crowded, links)
-    return members, links
+    if crowded.isEmpty():
+        return members, _edges(roots).unionByName(links)
+    return members, _rarest_first(step, crowded, roots, links)
 
 
-def _rarest_first(step: _Join, crowded: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those among ``crowded`` classes, by prefixes in order of document frequency among
+def _rarest_first(step: _Join, crowded: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of ``roots``, ``links`` and the links among ``crowded`` classes, by prefixes in order of document frequency among
     them and, where lists stay long, by differences from leaders."""
     own = stored(step.sets_of(crowded).join(crowded, "cls", "left_semi"), "crowd")
     all_entries = own.select("cls", "n", F.explode("ids").alias("key"))
@@ -354,18 +364,17 @@ def _rarest_first(step: _Join, crowded: DataFrame, links: DataFrame) -> DataFram
     most = SHORT_LIST
     for turn in range(ROUNDS + 1):
         lists = stored(lists, "crowd-lists")
-        links = stored(links.unionByName(step.verified(step.led(lists), own)), "links")
-        rest = stored(_rooted(lists, links), "crowd-open")
-        if turn == ROUNDS:
-            return links.unionByName(step.verified(step.placed(rest), own))
-        links = stored(links.unionByName(step.verified(step.placed(rest.filter(F.col("df") <= most)), own)), "links")
+        roots = _merged(roots, links.unionByName(step.verified(step.led(lists), own)))
+        rest = stored(_rooted(lists, roots), "crowd-open")
+        small = rest if turn == ROUNDS else rest.filter(F.col("df") <= most)
+        links = step.verified(step.placed(small), own)
         rest = rest.filter(F.col("df") > most)
-        if rest.isEmpty():
-            return links
+        if turn == ROUNDS or rest.isEmpty():
+            break
         lists, beside = step.differences(rest, own)
-        links = stored(links.unionByName(step.verified(beside, own)), "links")
+        links = links.unionByName(step.verified(beside, own))
         most = LONG_LIST
-    return links
+    return _edges(roots).unionByName(links)
 
 
 def membership(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
