@@ -112,3 +112,28 @@ def running_totals(
     on = [out[c].eqNullSafe(offsets[f"_at_{c}"]) for c in bucket]
     out = out.join(offsets, on, "left").withColumns({k: F.col(f"_off_{k}") + F.col(f"_in_{k}") for k in totals})
     return out.drop(*(f"_at_{c}" for c in bucket), *(f"{p}{k}" for k in totals for p in ("_off_", "_in_")))
+
+
+#: A key is hot beyond this part of all rows, so that there are at most as many hot keys.
+HOT_PART = 1000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, on: Sequence[str], values: Sequence[str], n: str = "n") -> DataFrame:
+    """``rows`` with the ``values`` of ``facts``, which has one row per key and ``n``, the key's number of rows.
+
+    Spark does not split a join with an aggregate on the same key, so rows of a hot key would meet in one
+    task. Keys with more than 1 / HOT_PART of all rows, of which there are at most HOT_PART, are broadcast
+    instead, and their rows are dealt out evenly; the others are joined by key. Null keys are keys.
+    """
+    facts = stored(facts.select(*on, *values, n), "facts")
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    named = lambda p, also: facts.select(*(F.col(c).alias(f"{p}{c}") for c in (*on, *values)), *also)
+    hot = named("_h_", [F.lit(1).alias("_hot")]).where(facts[n] * HOT_PART > total)
+    same = lambda p, left: [left[c].eqNullSafe(F.col(f"{p}{c}")) for c in on]
+    out = rows.join(F.broadcast(hot), same("_h_", rows), "left")
+    spot = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PART)))
+    out = out.withColumn("_spot", spot.cast("int"))
+    cold = named("_c_", [F.lit(0).alias("_at")]).where(facts[n] * HOT_PART <= total)
+    out = out.join(cold, [*same("_c_", out), out["_spot"] == F.col("_at")], "left")
+    made = {v: F.when(F.col("_hot").isNull(), F.col(f"_c_{v}")).otherwise(F.col(f"_h_{v}")) for v in values}
+    return out.select(*(rows[c] for c in rows.columns), *(c.alias(v) for v, c in made.items()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, ctph, curriculum, decision_list, gear_chunks, kneser_ney, label_shards, overlap_join, pii
+from . import bpe, centroid_lang, chat, ctph, curriculum, decision_list, gear_chunks, gnat_codes, kneser_ney, label_shards, overlap_join, pii, turn_repair
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear_chunks.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "copy")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_lang.identified(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digests(turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_personal_data": op1_personal_data,
     "op2_perplexity": op2_perplexity,
@@ -87,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_shards": op8_shards,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language": op11_language,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -139,4 +154,94 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(upto) FILTER (WHERE role = 'assistant' OR k = n)::BIGINT AS formatted_chars
 FROM prefixed GROUP BY conv_id""",
+    "op12_vector_codes": r"""
+WITH kept AS (
+  SELECT vec_id, label, embedding AS v, len(embedding) // 16 AS width, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comps AS (
+  SELECT k, (i - 1) // width AS p, (i - 1) % width AS c, floor(256 * x::DOUBLE)::BIGINT AS x
+  FROM (SELECT k, width, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept)),
+books0 AS (SELECT p, k - 1 AS e, c, x FROM comps WHERE k <= 64),
+near0 AS (
+  SELECT k, p, m % 64 AS e, m // 64 AS d FROM (
+    SELECT k, p, min(d * 64 + e) AS m FROM (
+      SELECT v.k, v.p, b.e, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM comps v JOIN books0 b ON v.p = b.p AND v.c = b.c GROUP BY ALL) GROUP BY ALL)),
+books1 AS (
+  SELECT b.p, b.e, b.c, coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, b.x)::BIGINT AS x
+  FROM books0 b LEFT JOIN (
+    SELECT v.p, n.e, v.c, sum(v.x)::BIGINT AS total, count(*) AS n FROM comps v JOIN near0 n ON v.k = n.k AND v.p = n.p GROUP BY ALL) m
+  ON b.p = m.p AND b.e = m.e AND b.c = m.c),
+near1 AS (
+  SELECT k, p, m % 64 AS e, m // 64 AS d FROM (
+    SELECT k, p, min(d * 64 + e) AS m FROM (
+      SELECT v.k, v.p, b.e, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM comps v JOIN books1 b ON v.p = b.p AND v.c = b.c GROUP BY ALL) GROUP BY ALL)),
+books2 AS (
+  SELECT b.p, b.e, b.c, coalesce((m.total - ((m.total % m.n) + m.n) % m.n) // m.n, b.x)::BIGINT AS x
+  FROM books1 b LEFT JOIN (
+    SELECT v.p, n.e, v.c, sum(v.x)::BIGINT AS total, count(*) AS n FROM comps v JOIN near1 n ON v.k = n.k AND v.p = n.p GROUP BY ALL) m
+  ON b.p = m.p AND b.e = m.e AND b.c = m.c),
+near2 AS (
+  SELECT k, p, m % 64 AS e, m // 64 AS d FROM (
+    SELECT k, p, min(d * 64 + e) AS m FROM (
+      SELECT v.k, v.p, b.e, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM comps v JOIN books2 b ON v.p = b.p AND v.c = b.c GROUP BY ALL) GROUP BY ALL)),
+coded AS (
+  SELECT q.vec_id, q.label, string_agg(printf('%02x', n.e), '' ORDER BY n.p) AS code, sum(n.d)::BIGINT AS error
+  FROM kept q JOIN near2 n ON q.k = n.k GROUP BY q.k, q.vec_id, q.label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, c)) FROM books2) AS codebooks_sha256
+FROM coded""",
+    "op13_turn_repair": r"""
+WITH keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda crc, byte: list_reduce(range(8), lambda c, step: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)),
+    4294967295::BIGINT), 4294967295::BIGINT) % 20 AS fate FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM damaged),
+faulty AS (
+  SELECT *, left(role, 1) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS earlier FROM placed),
+marked AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM faulty),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (WHERE fault = 'blank')::BIGINT AS blank, count(*) FILTER (WHERE fault = 'duplicate')::BIGINT AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated')::BIGINT AS truncated,
+         count(*) FILTER (WHERE k > 1 AND earlier || i NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal,
+         list({'i': i, 'role': role, 'text': text, 'fault': fault} ORDER BY k DESC) AS rows_
+  FROM marked GROUP BY conv_id),
+solved AS (
+  SELECT *, list_reduce(rows_,
+    lambda node, x: list_transform([[
+        list_sort(list_filter([{'c': node[1].c + 3, 'a': 'D' || node[1].a, 't': node[1].t},
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') THEN {'c': node[3].c + 2 + (x.fault = 'truncated')::INT, 'a': 'R' || node[3].a, 't': list_prepend('user:' || x.text, node[3].t)} END,
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') AND x.i = 'u' THEN {'c': node[3].c + (x.fault = 'truncated')::INT, 'a': 'K' || node[3].a, 't': list_prepend(x.role || ':' || x.text, node[3].t)} END,
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') AND x.i = 's' THEN {'c': node[2].c + (x.fault = 'truncated')::INT, 'a': 'K' || node[2].a, 't': list_prepend(x.role || ':' || x.text, node[2].t)} END], lambda w: w IS NOT NULL))[1],
+        list_sort(list_filter([{'c': node[2].c + 3, 'a': 'D' || node[2].a, 't': node[2].t},
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') THEN {'c': node[3].c + 2 + (x.fault = 'truncated')::INT, 'a': 'R' || node[3].a, 't': list_prepend('user:' || x.text, node[3].t)} END,
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') AND x.i = 'u' THEN {'c': node[3].c + (x.fault = 'truncated')::INT, 'a': 'K' || node[3].a, 't': list_prepend(x.role || ':' || x.text, node[3].t)} END], lambda w: w IS NOT NULL))[1],
+        list_sort(list_filter([{'c': node[3].c + 3, 'a': 'D' || node[3].a, 't': node[3].t},
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') THEN {'c': node[4].c + 2 + (x.fault = 'truncated')::INT, 'a': 'R' || node[4].a, 't': list_prepend('assistant:' || x.text, node[4].t)} END,
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') AND x.i = 'a' THEN {'c': node[4].c + (x.fault = 'truncated')::INT, 'a': 'K' || node[4].a, 't': list_prepend(x.role || ':' || x.text, node[4].t)} END], lambda w: w IS NOT NULL))[1],
+        list_sort(list_filter([{'c': node[4].c + 3, 'a': 'D' || node[4].a, 't': node[4].t},
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') THEN {'c': node[3].c + 2 + (x.fault = 'truncated')::INT, 'a': 'R' || node[3].a, 't': list_prepend('user:' || x.text, node[3].t)} END,
+          CASE WHEN x.fault NOT IN ('blank', 'duplicate') AND x.i = 'u' THEN {'c': node[3].c + (x.fault = 'truncated')::INT, 'a': 'K' || node[3].a, 't': list_prepend(x.role || ':' || x.text, node[3].t)} END], lambda w: w IS NOT NULL))[1]]],
+      lambda e: [
+        list_sort([e[1], {'c': e[3].c + 2, 'a': 'I' || e[3].a, 't': list_prepend('user:', e[3].t)}, {'c': e[4].c + 4, 'a': 'II' || e[4].a, 't': list_prepend('user:', list_prepend('assistant:', e[4].t))}])[1],
+        list_sort([e[2], {'c': e[3].c + 2, 'a': 'I' || e[3].a, 't': list_prepend('user:', e[3].t)}, {'c': e[4].c + 4, 'a': 'II' || e[4].a, 't': list_prepend('user:', list_prepend('assistant:', e[4].t))}])[1],
+        list_sort([e[3], {'c': e[4].c + 2, 'a': 'I' || e[4].a, 't': list_prepend('assistant:', e[4].t)}, {'c': e[3].c + 4, 'a': 'II' || e[3].a, 't': list_prepend('assistant:', list_prepend('user:', e[3].t))}])[1],
+        list_sort([e[4], {'c': e[3].c + 2, 'a': 'I' || e[3].a, 't': list_prepend('user:', e[3].t)}, {'c': e[4].c + 4, 'a': 'II' || e[4].a, 't': list_prepend('user:', list_prepend('assistant:', e[4].t))}])[1]])[1],
+    [{'c': 0, 'a': '', 't': []::VARCHAR[]}, {'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}, {'c': 2, 'a': 'I', 't': ['assistant:']}, {'c': 0, 'a': '', 't': []::VARCHAR[]}])[1] AS best
+  FROM facts)
+SELECT a.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(s.best.c, 0)::BIGINT AS cost,
+       coalesce(s.best.a, '') AS audit, sha256(coalesce(array_to_string(s.best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN solved s ON a.conv_id IS NOT DISTINCT FROM s.conv_id""",
 }
