@@ -357,21 +357,21 @@ def tick_to_price(spark, sf):
     return V.read(spark, sf, "part").select("p_partkey", r(K.tick_price(F.col("p_size")), 9).alias("price"), K.price_tick(F.col("p_retailprice")).alias("tick"))
 
 
-_CURVE = """, x AS (SELECT range AS size FROM range(1,5001)), p AS (SELECT p_partkey, sqrt(p_retailprice) AS q FROM (SELECT min(p_partkey) AS p_partkey, avg(p_retailprice) AS p_retailprice FROM part GROUP BY p_brand)),
-  c AS (SELECT p_partkey, size, (2e4::DOUBLE*q*(size*0.9995::DOUBLE*q))/(2e4::DOUBLE+size*0.9995::DOUBLE*q) - size*q*q*0.99::DOUBLE AS profit FROM p, x) """
+_CURVE = """, x AS (SELECT range AS size FROM range(1,5001)), p AS (SELECT s_suppkey, sqrt(900+s_suppkey%97) AS q FROM supplier),
+  c AS (SELECT s_suppkey, size, (2e4::DOUBLE*q*(size*0.9995::DOUBLE*q))/(2e4::DOUBLE+size*0.9995::DOUBLE*q) - size*q*q*0.99::DOUBLE AS profit FROM p, x) """
 
 
 def _curve(spark, sf) -> DataFrame:
-    """Sizes 1 to 5000, a grid by definition, for the pool of each brand at its parts' mean price."""
-    pools = V.read(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.sqrt(F.avg("p_retailprice")).alias("q"))
-    grid = pools.select("p_partkey", "q", F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("size"))
+    """Sizes 1 to 5000, a grid by definition, for a pool of each supplier."""
+    pools = V.read(spark, sf, "supplier").select("s_suppkey", F.sqrt(900 + F.col("s_suppkey") % 97).alias("q"))
+    grid = pools.select("s_suppkey", "q", F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("size"))
     got = K.swap_0_for_1(F.col("size").cast("double"), F.lit(2e4), F.col("q"), 0.0005)
-    return grid.select("p_partkey", F.col("size").cast("bigint").alias("size"), (got - F.col("size") * F.col("q") * F.col("q") * 0.99).alias("profit"))
+    return grid.select("s_suppkey", F.col("size").cast("bigint").alias("size"), (got - F.col("size") * F.col("q") * F.col("q") * 0.99).alias("profit"))
 
 
-@query("profit_curve", "WITH" + _CURVE[1:] + "SELECT p_partkey, size, round(profit,4) AS profit FROM c")
+@query("profit_curve", "WITH" + _CURVE[1:] + "SELECT s_suppkey, size, round(profit,4) AS profit FROM c")
 def profit_curve(spark, sf):
-    return _curve(spark, sf).select("p_partkey", "size", r("profit", 4).alias("profit"))
+    return _curve(spark, sf).select("s_suppkey", "size", r("profit", 4).alias("profit"))
 
 
 @query("inventory_projection", "SELECT c_custkey, round((c_acctbal+100)/(c_acctbal+1100)-0.5,6) AS deviation, round((c_acctbal+1100)*pow((c_acctbal+100)/(c_acctbal+1100)-0.5,2),4) AS cost FROM customer WHERE c_acctbal>0")

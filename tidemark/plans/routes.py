@@ -108,9 +108,9 @@ def min_history_guard(spark, sf):
 
 
 # --- detection -------------------------------------------------------------------------------------
-# A pair of pools by brand: prices differ by the brand's spread; one liquidity.
+# A pair of pools by supplier with prices a little apart; one liquidity.
 
-_TWO = ", z AS (SELECT p_brand, sqrt(mean) AS qa, sqrt(mean*(1+(n%9-4)/500.0::DOUBLE)) AS qb FROM h) "
+_TWO = " z AS (SELECT s_suppkey AS pair, sqrt(1+(s_suppkey%13)/40.0::DOUBLE) AS qa, sqrt((1+(s_suppkey%13)/40.0::DOUBLE)*(1+(s_suppkey%9-4)/500.0::DOUBLE)) AS qb FROM supplier) "
 _BUY = "({0}*0.9995::DOUBLE)/({1}*({1}+{0}*0.9995::DOUBLE/2e4::DOUBLE))"
 _SELL = "(2e4::DOUBLE*{1}*(({0})*0.9995::DOUBLE*{1}))/(2e4::DOUBLE+({0})*0.9995::DOUBLE*{1})"
 
@@ -120,58 +120,59 @@ def _pair_sql(x: str, a: str, b: str) -> str:
 
 
 def _pools(spark, sf) -> DataFrame:
-    return _brands(spark, sf).select("p_brand", F.sqrt("mean").alias("qa"), F.sqrt(F.col("mean") * (1 + (F.col("n") % 9 - 4) / 500.0)).alias("qb"))
+    price = 1 + F.col("s_suppkey") % 13 / 40.0
+    return V.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("pair"), F.sqrt(price).alias("qa"), F.sqrt(price * (1 + (F.col("s_suppkey") % 9 - 4) / 500.0)).alias("qb"))
 
 
-@query("trade_estimate_dex_dex", "WITH" + _BRAND[1:] + _TWO + f"""SELECT p_brand, 'a to b' AS direction, round({_BUY.format('250.0::DOUBLE', 'qa')},6) AS moved, round({_pair_sql('250.0::DOUBLE', 'qa', 'qb')},6) AS usd_out, trunc(({_pair_sql('250.0::DOUBLE', 'qa', 'qb')}-250)/250*10000)::INT AS bps FROM z
-  UNION ALL SELECT p_brand, 'b to a', round({_BUY.format('250.0::DOUBLE', 'qb')},6), round({_pair_sql('250.0::DOUBLE', 'qb', 'qa')},6), trunc(({_pair_sql('250.0::DOUBLE', 'qb', 'qa')}-250)/250*10000)::INT FROM z""")
+@query("trade_estimate_dex_dex", "WITH" + _TWO + f"""SELECT pair, 'a to b' AS direction, round({_BUY.format('250.0::DOUBLE', 'qa')},6) AS moved, round({_pair_sql('250.0::DOUBLE', 'qa', 'qb')},6) AS usd_out, trunc(({_pair_sql('250.0::DOUBLE', 'qa', 'qb')}-250)/250*10000)::INT AS bps FROM z
+  UNION ALL SELECT pair, 'b to a', round({_BUY.format('250.0::DOUBLE', 'qb')},6), round({_pair_sql('250.0::DOUBLE', 'qb', 'qa')},6), trunc(({_pair_sql('250.0::DOUBLE', 'qb', 'qa')}-250)/250*10000)::INT FROM z""")
 def trade_estimate_dex_dex(spark, sf):
     out = D.pool_trades(_pools(spark, sf), F.lit(250.0))
-    return out.select("p_brand", "direction", r("moved").alias("moved"), r("usd_out").alias("usd_out"), ((F.col("usd_out") - 250) / 250 * 10000).cast("int").alias("bps"))
+    return out.select("pair", "direction", r("moved").alias("moved"), r("usd_out").alias("usd_out"), ((F.col("usd_out") - 250) / 250 * 10000).cast("int").alias("bps"))
 
 
 def _search(high: str) -> str:
-    """SQL of both directions' search by thirds, as rows (p_brand, d, lo, hi) of the last step."""
+    """SQL of both directions' search by thirds, as rows (pair, d, lo, hi) of the last step."""
     steps = 26 if high == "15000" else 23
     f = lambda m: f"(CASE d WHEN 0 THEN {_pair_sql(m, 'qa', 'qb')} ELSE {_pair_sql(m, 'qb', 'qa')} END - {m})"
     m1, m2 = "(lo+(hi-lo)/3)", "(hi-(hi-lo)/3)"
-    return f""", s AS (SELECT p_brand, qa, qb, d, 0 AS k, 1.0::DOUBLE AS lo, {high}.0::DOUBLE AS hi FROM z, (VALUES (0), (1)) v(d)
-      UNION ALL SELECT p_brand, qa, qb, d, k+1, CASE WHEN {f(m1)} < {f(m2)} THEN {m1} ELSE lo END, CASE WHEN {f(m1)} < {f(m2)} THEN hi ELSE {m2} END FROM s WHERE k<{steps}), best AS (SELECT p_brand, qa, qb, d, (lo+hi)/2 AS size FROM s WHERE k={steps}) """
+    return f""", s AS (SELECT pair, qa, qb, d, 0 AS k, 1.0::DOUBLE AS lo, {high}.0::DOUBLE AS hi FROM z, (VALUES (0), (1)) v(d)
+      UNION ALL SELECT pair, qa, qb, d, k+1, CASE WHEN {f(m1)} < {f(m2)} THEN {m1} ELSE lo END, CASE WHEN {f(m1)} < {f(m2)} THEN hi ELSE {m2} END FROM s WHERE k<{steps}), best AS (SELECT pair, qa, qb, d, (lo+hi)/2 AS size FROM s WHERE k={steps}) """
 
 
-_FOUND = "WITH RECURSIVE" + _BRAND[1:] + _TWO + _search("15000") + f", o AS (SELECT p_brand, d, size, CASE d WHEN 0 THEN {_pair_sql('size', 'qa', 'qb')} ELSE {_pair_sql('size', 'qb', 'qa')} END - size AS profit FROM best) "
+_FOUND = "WITH RECURSIVE" + _TWO + _search("15000") + f", o AS (SELECT pair, d, size, CASE d WHEN 0 THEN {_pair_sql('size', 'qa', 'qb')} ELSE {_pair_sql('size', 'qb', 'qa')} END - size AS profit FROM best) "
 
 
-@query("ternary_search", _FOUND + "SELECT p_brand, CASE d WHEN 0 THEN 'a to b' ELSE 'b to a' END AS direction, round(size,1) AS size FROM o")
+@query("ternary_search", _FOUND + "SELECT pair, CASE d WHEN 0 THEN 'a to b' ELSE 'b to a' END AS direction, round(size,1) AS size FROM o")
 def ternary_search(spark, sf):
-    return D.best_pool_trades(_pools(spark, sf)).select("p_brand", "direction", r("size", 1).alias("size"))
+    return D.best_pool_trades(_pools(spark, sf)).select("pair", "direction", r("size", 1).alias("size"))
 
 
-@query("find_optimal_dex_arb", _FOUND + "SELECT p_brand, CASE d WHEN 0 THEN 'a to b' ELSE 'b to a' END AS direction, round(size,1) AS size, round(profit,4) AS profit, trunc(profit/size*10000)::INT AS bps FROM o QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY profit DESC, d)=1")
+@query("find_optimal_dex_arb", _FOUND + "SELECT pair, CASE d WHEN 0 THEN 'a to b' ELSE 'b to a' END AS direction, round(size,1) AS size, round(profit,4) AS profit, trunc(profit/size*10000)::INT AS bps FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY profit DESC, d)=1")
 def find_optimal_dex_arb(spark, sf):
-    best = D.best_direction(D.best_pool_trades(_pools(spark, sf)), "p_brand")
-    return best.select("p_brand", "direction", r("size", 1).alias("size"), r("profit", 4).alias("profit"), (F.col("profit") / F.col("size") * 10000).cast("int").alias("bps"))
+    best = D.best_direction(D.best_pool_trades(_pools(spark, sf)), "pair")
+    return best.select("pair", "direction", r("size", 1).alias("size"), r("profit", 4).alias("profit"), (F.col("profit") / F.col("size") * 10000).cast("int").alias("bps"))
 
 
-@query("argmax_direction", _FOUND + "SELECT p_brand, CASE d WHEN 0 THEN 'a to b' ELSE 'b to a' END AS direction FROM o QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY profit DESC, d)=1")
+@query("argmax_direction", _FOUND + "SELECT pair, CASE d WHEN 0 THEN 'a to b' ELSE 'b to a' END AS direction FROM o QUALIFY row_number() OVER (PARTITION BY pair ORDER BY profit DESC, d)=1")
 def argmax_direction(spark, sf):
     """Most profitable direction; of equal ones the first listed."""
-    return D.best_direction(D.best_pool_trades(_pools(spark, sf)), "p_brand").select("p_brand", "direction")
+    return D.best_direction(D.best_pool_trades(_pools(spark, sf)), "pair").select("pair", "direction")
 
 
-@query("positive_profit_filter", _FOUND + "SELECT p_brand, d, round(profit,4) AS profit FROM o WHERE profit>0")
+@query("positive_profit_filter", _FOUND + "SELECT pair, d, round(profit,4) AS profit FROM o WHERE profit>0")
 def positive_profit_filter(spark, sf):
-    return D.best_pool_trades(_pools(spark, sf)).filter("profit > 0").select("p_brand", F.when(F.col("direction") == "a to b", 0).otherwise(1).alias("d"), r("profit", 4).alias("profit"))
+    return D.best_pool_trades(_pools(spark, sf)).filter("profit > 0").select("pair", F.when(F.col("direction") == "a to b", 0).otherwise(1).alias("d"), r("profit", 4).alias("profit"))
 
 
-_DEX_CURVE = "WITH RECURSIVE" + _BRAND[1:] + _TWO + _search("15000") + f""", top AS (SELECT p_brand, max(greatest(5000, trunc(1.5*size)))::INT AS upto FROM best GROUP BY 1), g AS (SELECT z.*, unnest(range(1, upto+1)) AS size FROM z JOIN top USING (p_brand)),
-  c AS (SELECT p_brand, size, round({_pair_sql('size', 'qa', 'qb')}-size,7) AS a_to_b, round({_pair_sql('size', 'qb', 'qa')}-size,7) AS b_to_a FROM g) """
+_DEX_CURVE = "WITH RECURSIVE" + _TWO + _search("15000") + f""", top AS (SELECT pair, max(greatest(5000, trunc(1.5*size)))::INT AS upto FROM best GROUP BY 1), g AS (SELECT z.*, unnest(range(1, upto+1)) AS size FROM z JOIN top USING (pair)),
+  c AS (SELECT pair, size, round({_pair_sql('size', 'qa', 'qb')}-size,7) AS a_to_b, round({_pair_sql('size', 'qb', 'qa')}-size,7) AS b_to_a FROM g) """
 
 
-@query("profit_curve_dex_dex", _DEX_CURVE + "SELECT p_brand, size::BIGINT AS size, a_to_b, b_to_a FROM c")
+@query("profit_curve_dex_dex", _DEX_CURVE + "SELECT pair, size::BIGINT AS size, a_to_b, b_to_a FROM c")
 def profit_curve_dex_dex(spark, sf):
     """Profit of both directions at every size up to 5,000 or one and a half times the best one."""
-    return D.pool_curve(_pools(spark, sf)).select("p_brand", "size", r("a_to_b", 7).alias("a_to_b"), r("b_to_a", 7).alias("b_to_a"))
+    return D.pool_curve(_pools(spark, sf)).select("pair", "size", r("a_to_b", 7).alias("a_to_b"), r("b_to_a", 7).alias("b_to_a"))
 
 
 # A book per supplier and a pool priced at its mid: levels with the amount before each.
@@ -181,44 +182,11 @@ _BOOK = """, k AS (SELECT book_id, side, price/1000 AS price, amount, sum(amount
 _WALK = "(list_sum(list_transform(bids, lambda l: greatest(0, least(l.a, {0}-l.b))*l.p))*0.999::DOUBLE)"
 
 
-@query("trade_estimate_cex_dex", _BOOK + f"SELECT book_id, round({_WALK.format('40.0::DOUBLE')},4) AS moved, round({_SELL.format(_WALK.format('40.0::DOUBLE'), 'q')},4) AS usd_out FROM t", "levels")
-def trade_estimate_cex_dex(spark, sf):
-    """40 of the quote token sold to a book's bids, and what the pool pays for the proceeds."""
-    made = D.book_trades(D.books_with_pools(V.levels(spark, sf)), F.lit(40.0))
-    return made.select("book_id", r("moved", 4).alias("moved"), r("usd_out", 4).alias("usd_out"))
-
-
 @query("book_buy_estimate", _BOOK + f"SELECT book_id, round({_WALK.format('75.0::DOUBLE')},4) AS bought FROM t", "levels")
 def book_buy_estimate(spark, sf):
     return D.book_trades(D.books_with_pools(V.levels(spark, sf)), F.lit(75.0)).select("book_id", r(F.coalesce("moved", F.lit(0.0)), 4).alias("bought"))
 
 
-@query("profit_curve_cex_dex", _BOOK + f", g AS (SELECT book_id, bids, q, unnest(range(10, 201, 10)) AS size FROM t) SELECT book_id, size::INT AS size, round({_SELL.format(_WALK.format('size'), 'q')}-size,3) AS profit, round({_SELL.format(_WALK.format('size'), 'q')}*0.999::DOUBLE,3) AS least_out FROM g", "levels")
-def profit_curve_cex_dex(spark, sf):
-    """Profit at each size of a grid and what is accepted at least with ten basis points of slippage."""
-    grid = D.books_with_pools(V.levels(spark, sf)).withColumn("size", F.explode(F.sequence(F.lit(10), F.lit(200), F.lit(10))))
-    made = D.book_trades(grid, F.col("size").cast("double"))
-    return made.select("book_id", "size", r(F.col("usd_out") - F.col("size"), 3).alias("profit"), r(F.col("usd_out") * 0.999, 3).alias("least_out"))
-
-
-@query("nearest_curve_point", _BOOK + f", g AS (SELECT book_id, bids, q, unnest(range(10, 201, 10)) AS size FROM t), c AS (SELECT book_id, size, {_SELL.format(_WALK.format('size'), 'q')}-size AS profit FROM g) SELECT book_id, coalesce(min(size) FILTER (WHERE size>=book_id%250), max(size))::INT AS size, round(coalesce(min_by(profit,size) FILTER (WHERE size>=book_id%250), max_by(profit,size)),3) AS profit FROM c GROUP BY 1", "levels")
-def nearest_curve_point(spark, sf):
-    """The first point of a curve at or beyond a size, else its last one."""
-    grid = D.books_with_pools(V.levels(spark, sf)).withColumn("size", F.explode(F.sequence(F.lit(10), F.lit(200), F.lit(10))))
-    curve = D.book_trades(grid, F.col("size").cast("double")).withColumn("profit", F.col("usd_out") - F.col("size"))
-    point, beyond = F.struct("size", "profit"), F.col("size") >= F.col("book_id") % 250
-    near = curve.groupBy("book_id").agg(F.coalesce(F.min_by(F.when(beyond, point), F.when(beyond, F.col("size"))), F.max_by(point, "size")).alias("p"))
-    return near.select("book_id", "p.size", r("p.profit", 3).alias("profit"))
-
-
-@query("find_optimal_arb", "WITH RECURSIVE" + _BOOK.replace(", k AS", " levels AS (" + V.SQL["levels"] + "), k AS", 1) + f""", s AS (SELECT book_id, bids, q, 0 AS k, 1.0::DOUBLE AS lo, 5000.0::DOUBLE AS hi FROM t WHERE {_SELL.format(_WALK.format('5.0::DOUBLE'), 'q')}-5>0
-  UNION ALL SELECT book_id, bids, q, k+1, CASE WHEN f1<f2 THEN m1 ELSE lo END, CASE WHEN f1<f2 THEN hi ELSE m2 END FROM (SELECT *, {_SELL.format(_WALK.format('m1'), 'q')}-m1 AS f1, {_SELL.format(_WALK.format('m2'), 'q')}-m2 AS f2 FROM (SELECT *, lo+(hi-lo)/3 AS m1, hi-(hi-lo)/3 AS m2 FROM s WHERE k<23))),
-  b AS (SELECT *, (lo+hi)/2 AS size FROM s WHERE k=23) SELECT book_id, round(size,1) AS size, round({_SELL.format(_WALK.format('size'), 'q')}-size,3) AS profit FROM b""")
-def find_optimal_arb(spark, sf):
-    """Best size of book-to-pool trades; books whose profit on 5 is not positive are not searched."""
-    return D.best_book_trades(D.books_with_pools(V.levels(spark, sf))).select("book_id", r("size", 1).alias("size"), r("profit", 3).alias("profit"))
-
-
 @query("holdings_value", _BOOK + f"SELECT book_id, round({_WALK.format('(10.0::DOUBLE+book_id%50)')},4) AS in_book, round({_SELL.format('(10.0::DOUBLE+book_id%50)', 'q')},4) AS in_pool FROM t", "levels")
 def holdings_value(spark, sf):
     held = 10.0 + F.col("book_id") % 50

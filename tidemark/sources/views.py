@@ -200,6 +200,15 @@ _PAYLOADS = {
         "events",
     ),
 }
+#: Two pools per book and the coins of a wallet: root prices, liquidity, fees and gas; some are not known.
+_COIN = "(3 + CAST(s_suppkey % 13 AS DOUBLE) / 4)"
+_PAYLOADS["pool_states"] = (
+    "s_suppkey AS book_id,\n"
+    f"CASE WHEN s_suppkey % 17 <> 16 THEN sqrt({_COIN}) END AS qa,\nsqrt((1 + (CAST(s_suppkey % 9 AS DOUBLE) - 4) / 100) / {_COIN}) AS qb,\n"
+    "20000 + abs(s_acctbal) * 5 AS la,\n15000 + abs(s_acctbal) * 3 AS lb,\nCAST(5 AS DOUBLE) / 10000 AS fee_a,\nCAST(3 AS DOUBLE) / 1000 AS fee_b,\n"
+    "CASE WHEN s_suppkey % 23 <> 22 THEN CAST(1 + s_nationkey % 5 AS DOUBLE) / 50 END AS gas_a,\nCAST(1 + s_nationkey % 3 AS DOUBLE) * 3 / 10 AS gas_b,\ns_acctbal AS wallet",
+    "supplier",
+)
 RELATIONS = {}
 for _name, (_text, _table) in _PAYLOADS.items():
     RELATIONS[_name], SQL[_name] = _mutual(_text, _table)
