@@ -535,14 +535,6 @@ def liquidation_value(spark, sf):
     return _holdings(spark, sf).select("c_nationkey", r(value, 4).alias("usd"))
 
 
-@query("seed_gate", ", c AS (SELECT pool, sum(usd) AS usd, count(*) AS n, max(id) AS last FROM swaps GROUP BY 1) SELECT pool, CASE WHEN n>=10 AND last%2=0 THEN round(usd,2) END AS usd FROM c", "swaps")
-def seed_gate(spark, sf):
-    """Sums stay hidden until their pool's backfill is complete."""
-    sums = V.swaps(spark, sf).groupBy("pool").agg(F.sum("usd").alias("usd"), F.count("*").alias("n"), F.max("id").alias("last"))
-    seeded = sums.select("pool", ((F.col("n") >= 10) & (F.col("last") % 2 == 0)).alias("seeded"))
-    return D.gated(sums, seeded, "pool", "usd").select("pool", r("usd", 2).alias("usd"))
-
-
 @query("stale_fallback", "SELECT desk, max(ts_ms) AS last, max(ts_ms) < (SELECT max(ts_ms) FROM trades)-60000 AS stale, min(CASE WHEN size>50 THEN 1 ELSE 0 END)=0 AND max(ts_ms) < (SELECT max(ts_ms) FROM trades)-60000 AS poll FROM trades GROUP BY 1", "trades")
 def stale_fallback(spark, sf):
     """Polling starts for a stream that has been silent for a minute and is not marked healthy."""

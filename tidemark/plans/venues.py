@@ -333,14 +333,6 @@ def topic_address(spark, sf):
     return _rows(spark, sf, "swap_logs").select("id", K.address(F.col("data")).alias("address"))
 
 
-@query("alert_dedupe_stream", "SELECT dedupe_key, id, row_number() OVER w AS occurrence, coalesce(ts_ms - lag(ts_ms) OVER w < 60000, false) AS cooling FROM alerts WINDOW w AS (PARTITION BY dedupe_key ORDER BY ts_ms, id)", "alerts")
-def alert_dedupe_stream(spark, sf):
-    """Each alert's number among its open key's, and whether the last one is less than a minute old."""
-    w = Window.partitionBy("dedupe_key").orderBy("ts_ms", "id")
-    cooling = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) < 60_000, F.lit(False))
-    return V.alerts(spark, sf).select("dedupe_key", "id", F.row_number().over(w).cast("bigint").alias("occurrence"), cooling.alias("cooling"))
-
-
 @query("wallet_activity", """, l AS (SELECT event_id, user_id AS wallet FROM events WHERE event_type='purchase' UNION ALL SELECT event_id, CAST(json_extract_string(props,'$.k') AS INT) FROM events WHERE event_type='purchase')
   SELECT n_name AS venue, count(DISTINCT event_id)::BIGINT AS logs FROM l JOIN customer ON wallet=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1""".replace(", l AS", "WITH l AS", 1))
 def wallet_activity(spark, sf):
