@@ -1,7 +1,7 @@
 import pytest
 from compare_rows import normal
 
-from tidemark.plans import detection, market, routes, streams, venues  # noqa: F401  they register with market
+from tidemark.plans import detection, exact, market, routes, streams, venues  # noqa: F401  they register with market
 
 
 @pytest.mark.parametrize("name", sorted(market.QUERIES))

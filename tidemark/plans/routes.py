@@ -30,12 +30,6 @@ def _positions(spark, sf) -> DataFrame:
     return _parts(spark, sf).withColumns({"low": K.root_at(F.col("tl")), "high": K.root_at(F.col("tu"))})
 
 
-@query("tick_to_sqrt_price_x96", "SELECT p_partkey, round(ln(pow(1.0001::DOUBLE,t/2.0::DOUBLE)*pow(2::DOUBLE,96)),9) AS ln_x96 FROM (SELECT p_partkey, (p_size-25)*40000 AS t FROM part) WHERE abs(t)<=887272 UNION ALL SELECT p_partkey, NULL FROM part WHERE abs((p_size-25)*40000)>887272")
-def tick_to_sqrt_price_x96(spark, sf):
-    """As a double (logarithm shown); the exact integer has no column type."""
-    return V.read(spark, sf, "part").select("p_partkey", r(F.log(K.root_x96((F.col("p_size") - 25) * 40000)), 9).alias("ln_x96"))
-
-
 @query("sqrt_price_to_price", "SELECT p_partkey, round(p_retailprice/1000*1e12::DOUBLE,0) AS price, round(1/(p_retailprice/1000),9) AS inverse FROM part")
 def sqrt_price_to_price(spark, sf):
     price = lambda a, b: K.price_of_root(F.col("root") * K.Q96, a, b)

@@ -237,11 +237,6 @@ def tracked_orders_json(spark, sf):
 # --- logs and text ---------------------------------------------------------------------------------
 
 
-@query("swap_stream_decode", ", d AS (SELECT *, replace(data,'0x','') AS body FROM swap_logs) SELECT id, pool, block, (length(body)//2)::INT AS bytes FROM d WHERE length(body)>=384", "swap_logs")
-def swap_stream_decode(spark, sf):
-    return O.decoded_swaps(_rows(spark, sf, "swap_logs")).select("id", "pool", "block", "bytes")
-
-
 @query("swap_stable_volume", "SELECT event_id AS id, round(CASE WHEN user_id%11=0 THEN 0 WHEN user_id%3=0 THEN user_id*1000/1e6::DOUBLE WHEN user_id%3=1 THEN (CASE WHEN user_id%2=0 THEN event_id ELSE 1000+event_id END)/1e6::DOUBLE ELSE 0 END,6)::DOUBLE AS usd FROM events")
 def swap_stable_volume(spark, sf):
     """The stable token is the first one of pool 0, the second one of pool 1, none of pool 2."""

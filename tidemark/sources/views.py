@@ -209,6 +209,21 @@ _PAYLOADS["pool_states"] = (
     "CASE WHEN s_suppkey % 23 <> 22 THEN CAST(1 + s_nationkey % 5 AS DOUBLE) / 50 END AS gas_a,\nCAST(1 + s_nationkey % 3 AS DOUBLE) * 3 / 10 AS gas_b,\ns_acctbal AS wallet",
     "supplier",
 )
+#: Logs of swaps with all six words: amounts of both signs and at their bounds, prices and liquidity of full width.
+_HEX = "lpad(lower(hex({})), 64, '0')"
+_MINUS = "concat(repeat('f', 52), lpad(lower(hex(281474976710655 - ({}))), 12, '0'))"
+_HASH = "md5(CAST(event_id AS STRING))"
+_PAYLOADS["pool_logs"] = (
+    "event_id AS id,\nuser_id % 16 AS pool,\nevent_id * 7 AS block,\n"
+    "concat('0x', CASE WHEN user_id % 29 = 0 THEN repeat('0a', 100) ELSE concat("
+    f"CASE user_id % 5 WHEN 0 THEN {_HEX.format('event_id * 1000003')} WHEN 1 THEN {_MINUS.format('event_id')} WHEN 2 THEN concat(repeat('f', 32), '8', repeat('0', 31)) WHEN 3 THEN concat(repeat('0', 32), '7', repeat('f', 31)) ELSE repeat('f', 64) END, "
+    f"CASE WHEN user_id % 2 = 0 THEN concat(repeat('f', 33), right({_HASH}, 31)) ELSE concat(repeat('0', 33), right({_HASH}, 31)) END, "
+    f"concat(repeat('0', 24), CASE WHEN user_id % 7 = 0 THEN repeat('f', 40) ELSE concat(left({_HASH}, 8), {_HASH}) END), "
+    f"concat(repeat('0', 32), CASE WHEN user_id % 13 = 0 THEN repeat('f', 32) ELSE {_HASH} END), "
+    f"CASE WHEN user_id % 3 = 0 THEN {_HEX.format('event_id % 887273')} ELSE {_MINUS.format('event_id % 887272')} END, "
+    f"{_HEX.format('user_id * 31')}) END) AS data",
+    "events",
+)
 RELATIONS = {}
 for _name, (_text, _table) in _PAYLOADS.items():
     RELATIONS[_name], SQL[_name] = _mutual(_text, _table)
