@@ -64,9 +64,11 @@ def test_attempt_stats(spark):
 
 def test_history_provenance(spark):
     events = spark.createDataFrame([(1, "routed", 100, 1, 7.0, 1.0, 0.0), (1, "executed", 200, 2, 8.0, 2.0, 0.1), (1, "failed", 400, 3, 9.0, 3.0, 0.2)], "attempt_id long, event_type string, ts_ms long, event_id long, size double, expected double, reason double")
+    events = events.selectExpr("*", "event_id AS buy_venue", "event_id + 1 AS sell_venue", "concat('w', event_id) AS wallet", "concat('0x', event_id) AS tx_hash", "expected - 1 AS gain", "size * 2 AS moved")
     attempts = spark.createDataFrame([(1, "p", "d", 1.0)], "id long, pipeline string, direction string, actual_profit double")
     row = trades.history(events, attempts, 10, from_ts=150, to_ts=250).first()
     assert (row["routed_at"], row["size"], row["result"], row["last_event"]) == (100, 7.0, 2.0, "executed")
+    assert (row["wallet"], row["tx_hash"], row["buy_venue"], row["actual_profit"], row["moved"]) == ("w1", "0x2", 2, 1.0, 16.0)
     assert trades.history(events, attempts, 10, from_ts=500).count() == 0
 
 
@@ -116,3 +118,65 @@ def test_rolling_sum_across_spans(spark):
     assert out.columns == ["id", "k", "t", "v", "total"]
     want = {i: sum(v2 for _, k2, t2, v2 in rows if k2 == k and t - 50 < t2 <= t) for i, k, t, v in rows}
     assert {r["id"]: r["total"] for r in out.collect()} == want
+
+
+def test_texts_as_logs_and_pages_show_them(spark):
+    lit, address = F.lit, "0x1234567890abcdef1234567890abcdef12345678"
+    assert one(spark, K.short_address(lit(address))) == "0x1234...345678" and one(spark, K.short_address(lit("0x12345678"))) == "0x12345678"
+    assert one(spark, K.short_address(lit(""))) is None
+    assert one(spark, K.shown_address(lit(address))) == "0x123456...345678" and one(spark, K.shown_address(lit("0x123456789012"))) == "0x123456789012"
+    assert [one(spark, K.age_text(lit(ms))) for ms in (59_999, 60_000, 7_200_000, 200_000_000)] == ["59s ago", "1m ago", "2h ago", "2d ago"]
+    assert [one(spark, K.uptime_text(lit(ms))) for ms in (59_000, 3_660_000, 90_000_000)] == ["0m", "1h 1m", "25h 0m"]
+    assert [one(spark, K.human_usd(lit(x))) for x in (1_250_000.0, 2500.0, 44.5, -2500.0)] == ["$1.3M", "$3K", "$45", "$-2500"]
+
+
+def test_markets_and_event_ids(spark):
+    rows = [("USDT_CNGN", "usdt/cngn"), (None, "usdt/cngn"), ("usdtbtc", "usdt/cngn")]
+    got = spark.createDataFrame(rows, "a string, b string").select(K.market_matches(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [True, True, False]
+    assert one(spark, K.event_id(F.lit("0xABcd"), F.lit("0x1F"))) == one(spark, K.event_id(F.lit("abcd"), F.lit("1f"))) == "0xabcd:31"
+    assert one(spark, K.event_id(F.lit("0xABcd"), F.lit(None).cast("string"))) is None
+
+
+def test_reverts(spark):
+    def coded(text, size=None):
+        data = text.encode()
+        return "0x08c379a0" + f"{32:064x}{len(data) if size is None else size:064x}" + data.hex().ljust(64 * (len(data) // 32 + 1), "0")
+
+    cases = {
+        "execution reverted: SPL: 0x08c379a000": "execution reverted: SPL",
+        coded("order é refused"): "execution reverted: order é refused",
+        coded(""): "execution reverted: ",
+        coded("x" * 70): "execution reverted: " + "x" * 70,
+        coded("cut", 4000): coded("cut", 4000),
+        "0x08c379a0": "0x08c379a0",
+        "0x08c379a0ff": "0x08c379a0ff",
+        "nonce too low": "nonce too low",
+        "short: 0xff": "short: 0xff",
+    }
+    got = {r["e"]: r["c"] for r in spark.createDataFrame([(e,) for e in cases], "e string").select("e", P.clean_revert(F.col("e")).alias("c")).collect()}
+    assert got == cases
+
+
+def test_orders_are_parsed_once(spark):
+    from tidemark.operators import orders
+
+    rows = [(1, 7, '{"side":"Buy","state":"Wait","price":{"amount":"2.5"},"volume":{"value":4},"remaining_volume":null,"created_at":1700000000}'), (2, 7, "{broken"), (3, 7, '{"side":"sell","price":"1","volume":"x","origin_volume":"3","executed_volume":"1","status":"done"}')]
+    frame = spark.createDataFrame(rows, "id int, venue int, payload string")
+    got = {r["id"]: r for r in orders.normalised(frame).collect()}
+    assert set(got) == {1, 3} and (got[1]["price"], got[1]["volume"], got[1]["remaining"], got[1]["status"], got[1]["created"]) == (2.5, 4.0, 4.0, "wait", 1700000000000)
+    assert (got[3]["volume"], got[3]["remaining"], got[3]["executed"]) == (3.0, 2.0, 1.0)
+    plan = orders.normalised(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_tuple") == 1
+
+
+def test_shares_without_value(spark):
+    held = spark.createDataFrame([(1, v, 0.0, 0.0, None) for v in range(3)] + [(2, 0, 1000.0, 1.0, None), (2, 1, 0.0, 0.0, 0.34)], "account int, venue int, base double, usd double, exact double")
+    got = {(r["account"], r["venue"]): r["share"] for r in trades.allocation_shares(held, "account", "venue").collect()}
+    assert [got[1, v] for v in range(3)] == [33.3, 33.3, 33.4] and math.isclose(got[2, 0], 83.0)
+
+
+def test_owners_are_checked(spark):
+    moves = spark.createDataFrame([(1, 0, 5, 1), (1, 5, 6, 2), (2, 0, 5, 1)], "token int, sender int, owner int, at int")
+    got = {(r["owner"], r["token"]): r["owned"] for r in relations.ownership(moves).collect()}
+    assert got == {(0, 1): False, (0, 2): False, (5, 1): False, (5, 2): True, (6, 1): True}

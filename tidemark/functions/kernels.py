@@ -73,18 +73,29 @@ def bucket_width_of(lookback_ms: Column) -> Column:
 
 
 def uptime_text(age_ms: Column) -> Column:
-    """The two largest units: days and hours, hours and minutes, or minutes."""
+    """Hours and minutes, or minutes alone under an hour."""
     seconds = F.floor(age_ms / 1000)
     part = lambda x, suffix: F.concat(F.floor(x).cast("string"), F.lit(suffix))
-    days = F.concat_ws(" ", part(seconds / 86400, "d"), part(seconds % 86400 / 3600, "h"))
     hours = F.concat_ws(" ", part(seconds / 3600, "h"), part(seconds % 3600 / 60, "m"))
-    return F.when(seconds >= 86400, days).when(seconds >= 3600, hours).otherwise(part(seconds / 60, "m"))
+    return F.when(seconds >= 3600, hours).otherwise(part(seconds / 60, "m"))
 
 
 def market_id(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
+def market_matches(order_market: Column, market: Column) -> Column:
+    """Whether an order belongs to a market: letters and digits agree; an order without a market always does."""
+    return order_market.isNull() | (market_id(order_market) == market_id(market))
+
+
+def event_id(tx_hash: Column, log_index: Column) -> Column:
+    """``hash:index`` with a lower-case prefixed hash and a decimal index (``log_index`` is hex text); null if one is
+    missing."""
+    index = F.conv(F.regexp_replace(log_index, "^0[xX]", ""), 16, 10)
+    return F.concat(F.lit("0x"), F.regexp_replace(F.lower(tx_hash), "^0x", ""), F.lit(":"), index)
+
+
 def address(text: Column) -> Column:
     """Lower-case hex without prefix, left-padded to 40, the last 40 digits of longer topics."""
     bare = F.regexp_replace(F.lower(text), "^0x", "")
@@ -101,10 +112,9 @@ def spread_bps(bid: Column, ask: Column, mid: Column) -> Column:
 
 
 def human_usd(value: Column) -> Column:
-    """$1.2M, $3K or $45."""
-    size = F.abs(value)
+    """$1.2M, $3K or $45; negative values are not shortened, halves round up."""
     text = lambda x, form, suffix: F.concat(F.lit("$"), F.format_string(form, x), F.lit(suffix))
-    return F.when(size >= 1e6, text(value / 1e6, "%.1f", "M")).when(size >= 1e3, text(value / 1e3, "%.0f", "K")).otherwise(text(value, "%.0f", ""))
+    return F.when(value >= 1e6, text(value / 1e6, "%.1f", "M")).when(value >= 1e3, text(value / 1e3, "%.0f", "K")).otherwise(text(F.floor(value + 0.5), "%d", ""))
 
 
 def rate_band(rate: Column, fair: Column, low: float = 1.003, high: float = 1.005) -> Column:
@@ -121,13 +131,21 @@ def range_distance(price: Column, low: Column, high: Column) -> Column:
     return F.when(price < low, (low - price) / low * 100).when(price > high, (price - high) / high * 100).otherwise(0.0)
 
 
-def short_address(text: Column) -> Column:
-    return F.when(F.length(text) > 12, F.concat(F.left(text, F.lit(6)), F.lit("..."), F.right(text, F.lit(4)))).otherwise(text)
+def short_address(text: Column, head: int = 6, tail: int = 6, whole: int = 10) -> Column:
+    """The first and last characters of addresses longer than ``whole``; null for empty ones."""
+    cut = F.concat(F.left(text, F.lit(head)), F.lit("..."), F.right(text, F.lit(tail)))
+    return F.nullif(F.when(F.length(text) > whole, cut).otherwise(text), F.lit(""))
+
+
+def shown_address(text: Column, chars: int = 6) -> Column:
+    """As a page shows it: two more characters in front, for the prefix."""
+    cut = F.concat(F.left(text, F.lit(chars + 2)), F.lit("..."), F.right(text, F.lit(chars)))
+    return F.when(F.length(text) > 2 * chars + 2, cut).otherwise(text)
 
 
 def age_text(age_ms: Column) -> Column:
     seconds = F.floor(age_ms / 1000)
-    unit = lambda n, suffix: F.concat(F.floor(seconds / n).cast("string"), F.lit(suffix))
+    unit = lambda n, suffix: F.concat(F.floor(seconds / n).cast("string"), F.lit(f"{suffix} ago"))
     return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
 
 

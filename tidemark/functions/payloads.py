@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,12 @@ def order_value(payload: Column, name: str) -> Column:
     return F.coalesce(at(f"$.{name}.amount"), at(f"$.{name}.value"), at(f"$.{name}"), F.lit(0.0))
 
 
+def field_value(text: Column) -> Column:
+    """``order_value`` of a field's text: a scalar, or an object's ``amount`` or ``value``; else 0."""
+    nested = F.when(text.startswith("{"), F.coalesce(number(F.get_json_object(text, "$.amount")), number(F.get_json_object(text, "$.value"))))
+    return F.coalesce(nested, number(text), F.lit(0.0))
+
+
 def order_status(payload: Column) -> Column:
     named = lambda key: F.nullif(F.get_json_object(payload, f"$.{key}"), F.lit(""))
     return F.lower(F.coalesce(named("state"), named("status"), F.lit("")))
@@ -64,9 +72,30 @@ def signed_word(data: Column, word: int) -> Column:
     return F.when(body.startswith("f"), -(high_n * shift + low_n + 1)).otherwise(high * shift + low)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_revert(text: Column) -> Column:
-    """An error without the hex data at its end."""
-    return F.trim(F.regexp_replace(text, r":\s*0x[0-9a-fA-F]{8,}$", ""))
+    """An error without the hex data at its end; hex data alone that encodes Error(string) as its message."""
+    number_at = lambda hexed, at: F.conv(F.nullif(F.substring(hexed, at, F.lit(64)), F.lit("")), 16, 10).try_cast("bigint")
+    fits = lambda hexed, n: F.when(n <= F.length(hexed) / 2, n * 2).cast("int")  # noqa: E731  in digits
+
+    def message(hexed: Column) -> Column:
+        """The string behind an offset, with its length before it; null where the data ends too early."""
+
+        def behind(at: Column) -> Column:
+            data = lambda long: F.when(F.length(F.substring(hexed, at + 65, long)) == long, F.try_validate_utf8(F.decode(F.unhex(F.substring(hexed, at + 65, long)), "UTF-8")))
+            return let(fits(hexed, number_at(hexed, at + 1)), data)
+
+        return let(fits(hexed, number_at(hexed, F.lit(1))), behind)
+
+    def cleaned(bare: Column) -> Column:
+        decoded = F.concat(F.lit("execution reverted: "), message(F.substring(bare, 11, 2**31 - 1)))
+        return F.when(bare.rlike("^0x08c379a0[0-9a-fA-F]*$"), F.coalesce(decoded, bare)).otherwise(bare)
+
+    return let(F.trim(F.regexp_replace(text, r":\s*0x[0-9a-fA-F]{8,}$", "")), cleaned)
 
 
 #: Markers of error classes, tried in this order on the lower-case text.

@@ -48,16 +48,31 @@ def quotes_of_summary(rows: DataFrame) -> DataFrame:
 
 
 def p2p_ads(payloads: DataFrame) -> DataFrame:
-    """id, total, price, orders, rate, online, quantity of every advertisement of a page."""
-    item = "struct<price:string,recentOrderNum:int,recentExecuteRate:double,isOnline:boolean,lastQuantity:string>"
+    """id, total, price, orders, rate, release, online, quantity of every advertisement of a page."""
+    item = "struct<price:string,recentOrderNum:int,recentExecuteRate:double,releaseTime:double,isOnline:boolean,lastQuantity:string>"
     made = payloads.select("id", F.from_json("payload", f"struct<result:struct<count:int,items:array<{item}>>>").alias("p"))
     ads = made.select("id", F.col("p.result.count").alias("total"), F.explode("p.result.items").alias("a"))
     return ads.select(
-        "id", "total", P.number(F.col("a.price")).alias("price"), F.coalesce("a.recentOrderNum", F.lit(0)).alias("orders"), F.coalesce("a.recentExecuteRate", F.lit(0.0)).alias("rate"),
+        "id", "total", P.number(F.col("a.price")).alias("price"), F.coalesce("a.recentOrderNum", F.lit(0)).alias("orders"), F.coalesce("a.recentExecuteRate", F.lit(0.0)).alias("rate"), F.col("a.releaseTime").alias("release"),
         F.coalesce("a.isOnline", F.lit(False)).alias("online"), F.coalesce(P.number(F.col("a.lastQuantity")), F.lit(0.0)).alias("quantity"),
     )
 
 
+def reputable(ads: DataFrame, orders: int = 100, rate: float = 90.0, release: float = 900.0) -> DataFrame:
+    """Advertisements of makers with enough orders, a completion rate in percent and a release time in seconds that
+    will do, who are online; one without a release time is not known well enough."""
+    return ads.filter((F.col("orders") >= orders) & (F.col("rate") >= rate) & (F.col("release") <= release) & F.col("online"))
+
+
+def route_rates(payloads: DataFrame) -> DataFrame:
+    """id, rates (one a route, null unless positive; inverted where the route says so), valid, and their mean."""
+    made = payloads.select("id", F.from_json("payload", "struct<routes:array<struct<rate:string,invert:boolean>>>")["routes"].alias("routes"))
+    rate = lambda x: F.when(P.number(x["rate"]) > 0, F.when(x["invert"], 1 / P.number(x["rate"])).otherwise(P.number(x["rate"])))
+    out = made.select("id", F.transform("routes", rate).alias("rates")).withColumn("known", F.filter("rates", lambda x: x.isNotNull()))
+    mean = F.when(F.size("known") > 0, F.aggregate("known", F.lit(0.0), lambda t, x: t + x) / F.size("known"))
+    return out.select("id", "rates", F.size("known").alias("valid"), mean.alias("mean"))
+
+
 def ramp_rows(payloads: DataFrame, least: float = 100.0) -> DataFrame:
     """id, side, rate, balance of book rows with at least ``least`` and a positive rate; malformed ones go."""
     made = payloads.select("id", F.explode(F.from_json("payload", "array<struct<side:string,rate:string,balanceUsd:string>>")).alias("x"))
@@ -82,12 +97,21 @@ def chain_orders(payloads: DataFrame) -> DataFrame:
     return out.filter("price > 0 and desired > 0 and filled >= 0 and size >= 0")
 
 
+def parsed(payloads: DataFrame) -> DataFrame:
+    """id, venue, side, status, created, whole (no remaining volume stated) and the five numbers of each order payload,
+    which is parsed once: nested objects come as text."""
+    names = ("price", "volume", "origin_volume", "remaining_volume", "executed_volume")
+    fields = payloads.select("id", "venue", F.json_tuple("payload", "side", "state", "status", "created_at", *names).alias("side", "state", "status", "created", *names))
+    status = F.lower(F.coalesce(F.nullif("state", F.lit("")), F.col("status"), F.lit("")))
+    side = F.lower("side")
+    value = lambda n: P.field_value(F.col(n)).alias(n)
+    return fields.select("id", "venue", F.when(side.isin("buy", "sell"), side).alias("side"), status.alias("status"), P.time_ms(F.col("created")).alias("created"), F.col("remaining_volume").isNull().alias("whole"), *map(value, names))
+
+
 def normalised(payloads: DataFrame) -> DataFrame:
     """Orders with a side and a price: id, venue, side, status, price, volume, remaining, executed,
     notional, created. Missing volumes follow from those that are there."""
-    p = F.col("payload")
-    value = {n: P.order_value(p, n) for n in ("price", "volume", "origin_volume", "remaining_volume", "executed_volume")}
-    out = payloads.select("id", "venue", P.order_side(p).alias("side"), F.nullif(P.order_status(p), F.lit("")).alias("status"), P.time_ms(F.get_json_object(p, "$.created_at")).alias("created"), *(c.alias(n) for n, c in value.items()))
+    out = parsed(payloads).withColumn("status", F.nullif("status", F.lit("")))
     out = out.filter(F.col("side").isNotNull() & (F.col("price") > 0))
     out = out.withColumn("volume", F.when(F.col("volume") <= 0, F.col("origin_volume")).otherwise(F.col("volume")))
     base = F.when(F.col("origin_volume") > 0, F.col("origin_volume")).otherwise(F.col("volume"))
@@ -101,9 +125,8 @@ def normalised(payloads: DataFrame) -> DataFrame:
 
 def resting(payloads: DataFrame, states: Sequence[str] = ("wait", "pending_cancel")) -> DataFrame:
     """id, venue, side, price, volume (what remains, or the whole where that is not stated) of open orders."""
-    p = F.col("payload")
-    left = F.when(F.get_json_object(p, "$.remaining_volume").isNull(), P.order_value(p, "volume")).otherwise(P.order_value(p, "remaining_volume"))
-    out = payloads.filter(P.order_status(p).isin(*states)).select("id", "venue", P.order_side(p).alias("side"), P.order_value(p, "price").alias("price"), left.alias("volume"))
+    left = F.when(F.col("whole"), F.col("volume")).otherwise(F.col("remaining_volume"))
+    out = parsed(payloads).filter(F.col("status").isin(*states)).select("id", "venue", "side", "price", left.alias("volume"))
     return out.filter("side is not null and price > 0 and volume > 0")
 
 

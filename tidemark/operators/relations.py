@@ -90,3 +90,11 @@ def lower_merged(held: Column) -> Column:
     keys = F.array_distinct(F.transform(F.map_keys(held), lambda k: F.lower(k)))
     total = lambda key: F.aggregate(F.filter(F.map_entries(held), lambda e: F.lower(e["key"]) == key), F.lit(0.0), lambda t, e: t + e["value"])
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, total(k))))
+
+
+def ownership(moves: DataFrame) -> DataFrame:
+    """owner, token, owned: each pair of ``moves`` (token, sender, owner, at) in which the owner sent or got the token,
+    and whether the token's latest move went to it."""
+    pairs = moves.select(F.col("sender").alias("owner"), "token").unionByName(moves.select("owner", "token")).dropDuplicates()
+    latest = moves.groupBy("token").agg(F.max_by("owner", "at").alias("held"))
+    return pairs.join(latest, "token").select("owner", "token", (F.col("held") == F.col("owner")).alias("owned"))

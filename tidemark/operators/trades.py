@@ -25,16 +25,17 @@ def history(events: DataFrame, attempts: DataFrame, limit: int, from_ts: int | N
     """Latest attempts with one folded row each, in one plan.
 
     ``to_ts`` filters events; ``from_ts`` filters attempts by their latest matching event, so older
-    events of a kept attempt remain. Sizes come from the first routed event (else the first), results
-    from the last terminal event (else the last), type and reason from the last.
+    events of a kept attempt remain. Size and wallet come from the first routed event (else the first),
+    result, actual profit and moved coins from the last terminal event (else the last), type, reason, venues and
+    hash from the last.
     """
     facts = attempts if pipeline is None else attempts.filter(F.col("pipeline") == pipeline)
-    joined = events.join(facts.select(F.col("id").alias("attempt_id"), "pipeline", "direction", "actual_profit"), "attempt_id")
+    joined = events.join(facts.select(F.col("id").alias("attempt_id"), "pipeline", "direction"), "attempt_id")
     if to_ts is not None:
         joined = joined.filter(F.col("ts_ms") <= to_ts)
-    at, row = F.struct("ts_ms", "event_id"), F.struct("event_type", "ts_ms", "size", "expected", "reason")
+    at, row = F.struct("ts_ms", "event_id"), F.struct("event_type", "ts_ms", "size", "expected", "reason", "buy_venue", "sell_venue", "wallet", "tx_hash", "gain", "moved")
     routed, ended = F.col("event_type") == "routed", F.col("event_type").isin(*TERMINAL)
-    folded = joined.groupBy("attempt_id", "pipeline", "direction", "actual_profit").agg(
+    folded = joined.groupBy("attempt_id", "pipeline", "direction").agg(
         F.coalesce(F.min_by(F.when(routed, row), F.when(routed, at)), F.min_by(row, at)).alias("routed"),
         F.coalesce(F.max_by(F.when(ended, row), F.when(ended, at)), F.max_by(row, at)).alias("final"),
         F.max_by(row, at).alias("latest"),
@@ -45,6 +46,7 @@ def history(events: DataFrame, attempts: DataFrame, limit: int, from_ts: int | N
     return folded.orderBy(F.col("latest.ts_ms").desc(), F.col("attempt_id").desc()).limit(limit).select(
         "attempt_id", "pipeline", "direction", F.col("routed.ts_ms").alias("routed_at"), F.col("routed.size").alias("size"), F.col("final.expected").alias("result"),
         F.col("latest.event_type").alias("last_event"), F.col("latest.ts_ms").alias("last_at"), F.col("latest.reason").alias("reason"), "n_events",
+        "latest.buy_venue", "latest.sell_venue", "routed.wallet", "latest.tx_hash", F.col("final.gain").alias("actual_profit"), "final.moved",
     )
 
 
@@ -96,3 +98,13 @@ def null_safe_totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def can_trade(breaker_active: Column, volume: Column, size: Column, loss: Column, balance: Column, max_volume: float, max_loss: float, min_balance: float) -> Column:
     """First failing reason, null if none; ``volume`` is that of the last 24 hours without the trade."""
     return F.when(breaker_active, "breaker").when(volume + size > max_volume, "volume").when(loss >= max_loss, "daily_loss").when(balance < min_balance, "low_inventory")
+
+
+def allocation_shares(held: DataFrame, account: str, venue: str, spot: float = 0.00066) -> DataFrame:
+    """``value`` and its ``share`` (percent) of the account's total per venue of (account, venue 0 to 2, base, usd,
+    exact): ``exact`` where it is known, else dollars plus base tokens at ``spot``. Without any value the venues
+    share 33.3, 33.3 and 33.4 percent."""
+    out = held.withColumn("value", F.coalesce("exact", F.col("usd") + F.col("base") * spot))
+    total = F.sum("value").over(Window.partitionBy(account))
+    even = F.when(F.col(venue) == 2, 33.4).otherwise(33.3)
+    return out.withColumn("share", F.when(total == 0, even).otherwise(F.try_divide(F.col("value"), total) * 100))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import books, prices, relations, trades
+from ..operators import books, orders, prices, relations, trades
 from ..sources import views as V
 from ..sources.views import with_views
 
@@ -123,8 +123,10 @@ def history_topn(spark, sf):
  f AS (SELECT attempt_id, pipeline, direction, count(*) AS n_events,
    coalesce(min_by(struct_pack(t:=ts_ms,s:=size), struct_pack(a:=ts_ms,b:=event_id)) FILTER (WHERE event_type='routed'), min_by(struct_pack(t:=ts_ms,s:=size), struct_pack(a:=ts_ms,b:=event_id))) AS routed,
    coalesce(max_by(expected, struct_pack(a:=ts_ms,b:=event_id)) FILTER (WHERE event_type IN ('executed','failed')), max_by(expected, struct_pack(a:=ts_ms,b:=event_id))) AS result,
-   max_by(struct_pack(e:=event_type,t:=ts_ms,r:=reason), struct_pack(a:=ts_ms,b:=event_id)) AS latest FROM e GROUP BY 1,2,3)
- SELECT attempt_id, pipeline, direction, routed.t AS routed_at, routed.s AS size, result, latest.e AS last_event, latest.t AS last_at, latest.r AS reason, n_events::BIGINT AS n_events
+   max_by(struct_pack(e:=event_type,t:=ts_ms,r:=reason,b:=buy_venue,s:=sell_venue,h:=tx_hash), struct_pack(a:=ts_ms,b:=event_id)) AS latest,
+   coalesce(min_by(wallet, struct_pack(a:=ts_ms,b:=event_id)) FILTER (WHERE event_type='routed'), min_by(wallet, struct_pack(a:=ts_ms,b:=event_id))) AS wallet,
+   coalesce(max_by(struct_pack(g:=gain,m:=moved), struct_pack(a:=ts_ms,b:=event_id)) FILTER (WHERE event_type IN ('executed','failed')), max_by(struct_pack(g:=gain,m:=moved), struct_pack(a:=ts_ms,b:=event_id))) AS ended FROM e GROUP BY 1,2,3)
+ SELECT latest.b AS buy_venue, latest.s AS sell_venue, latest.h AS tx_hash, wallet, ended.g AS actual_profit, ended.m AS moved, attempt_id, pipeline, direction, routed.t AS routed_at, routed.s AS size, result, latest.e AS last_event, latest.t AS last_at, latest.r AS reason, n_events::BIGINT AS n_events
  FROM f WHERE latest.t>=700000000000 ORDER BY latest.t DESC, attempt_id DESC LIMIT 200""", "lifecycle", "attempts")
 def history_items(spark, sf):
     return trades.history(V.lifecycle(spark, sf), V.attempts(spark, sf), 200, from_ts=700000000000, to_ts=900000000000)
@@ -281,9 +283,12 @@ def delta_series(spark, sf):
     return b.select("source", "bucket", r(F.col("price") - F.avg("price").over(Window.partitionBy("bucket")), 9).alias("delta"))
 
 
-@query("spread_bps", "SELECT id, floor((mid*1.001::DOUBLE-mid*0.999::DOUBLE)/mid*10000+0.5)::INT AS bps FROM quotes WHERE mid>0", "quotes")
+@query("spread_bps", ", b AS (SELECT book_id, max(price) FILTER (WHERE side='bid') AS bid, min(price) FILTER (WHERE side='ask') AS ask FROM levels GROUP BY 1) SELECT book_id, floor((ask-bid)/((bid+ask)/2)*10000+0.5)::INT AS bps, trunc((ask-bid)/((bid+ask)/2)*10000)::INT AS logged FROM b WHERE bid IS NOT NULL AND ask IS NOT NULL", "levels")
 def spread_bps(spark, sf):
-    return V.quotes(spark, sf).filter("mid > 0").select("id", K.spread_bps(F.col("bid"), F.col("ask"), F.col("mid")).alias("bps"))
+    """Spread of each book's best quotes, rounded half up for pages and truncated for logs."""
+    mid = (F.col("bid") + F.col("ask")) / 2
+    quoted = books.best_quotes(V.levels(spark, sf)).filter("bid IS NOT NULL")
+    return quoted.select("book_id", K.spread_bps(F.col("bid"), F.col("ask"), mid).alias("bps"), ((F.col("ask") - F.col("bid")) / mid * 10000).cast("int").alias("logged"))
 
 
 @query("ewma", """RECURSIVE n AS (SELECT event_type AS source, CASE WHEN event_type='signup' THEN 1/(1000+value) ELSE value/1000 END AS price, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts)//1000, event_id) AS k
@@ -423,10 +428,19 @@ def portfolio_totals(spark, sf):
     return trades.null_safe_totals(known, ["c_nationkey"], "balance").select("c_nationkey", r("total", 4).alias("total"), "sources")
 
 
-@query("allocation_share", "SELECT venue, round(sum(value),2) AS value, round(sum(value)/sum(sum(value)) OVER ()*100,6) AS share FROM positions GROUP BY 1", "positions")
+_VENUES = """WITH v AS (SELECT c_nationkey, c_custkey%3 AS venue, sum(CASE WHEN c_acctbal>9500 THEN c_acctbal ELSE 0 END) AS base, sum(CASE WHEN c_acctbal>9000 THEN 100.0::DOUBLE ELSE 0 END) AS usd, min(c_acctbal)>0 AS priced FROM customer GROUP BY 1,2),
+  w AS (SELECT *, usd+base*(CASE WHEN priced THEN 0.5::DOUBLE ELSE 0.00066::DOUBLE END) AS value FROM v) """
+
+
+@query("allocation_share", _VENUES + "SELECT c_nationkey, venue, round(value,4)::DOUBLE AS value, round(CASE WHEN sum(value) OVER (PARTITION BY c_nationkey)=0 THEN CASE WHEN venue=2 THEN 33.4 ELSE 33.3 END ELSE value/nullif(sum(value) OVER (PARTITION BY c_nationkey),0)*100 END,6)::DOUBLE AS share FROM w")
 def allocation_share(spark, sf):
-    by = V.positions(spark, sf).groupBy("venue").agg(F.sum("value").alias("v"))
-    return by.select("venue", r("v", 2).alias("value"), r(F.col("v") / F.sum("v").over(Window.partitionBy()) * 100).alias("share"))
+    """Share of three venues in an account's value: the exact valuation where base tokens are priced, else an estimate
+    at the spot default; thirds where there is no value at all."""
+    held = V.read(spark, sf, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 3).alias("venue")).agg(
+        F.sum(F.when(F.col("c_acctbal") > 9500, F.col("c_acctbal")).otherwise(0.0)).alias("base"), F.sum(F.when(F.col("c_acctbal") > 9000, 100.0).otherwise(0.0)).alias("usd"), (F.min("c_acctbal") > 0).alias("priced")
+    )
+    made = trades.allocation_shares(held.withColumn("exact", F.when(F.col("priced"), F.col("usd") + F.col("base") * 0.5)), "c_nationkey", "venue")
+    return made.select("c_nationkey", "venue", r("value", 4).alias("value"), r("share").alias("share"))
 
 
 @query("join_full_outer_status", "SELECT coalesce(u.user_id, c.c_custkey) AS venue, u.user_id IS NOT NULL AS priced, c.c_custkey IS NOT NULL AS configured FROM (SELECT DISTINCT user_id FROM events) u FULL OUTER JOIN (SELECT c_custkey FROM customer WHERE c_acctbal>=0) c ON u.user_id=c.c_custkey")
@@ -474,9 +488,13 @@ def pool_volume_24h(spark, sf):
 # --- text ----------------------------------------------------------------------------------------
 
 
-@query("market_match", "SELECT p_partkey, regexp_replace(lower(p_brand),'[^a-z0-9]','','g') AS market FROM part")
+@query("market_match", """, m AS (SELECT id, CASE WHEN venue%6<>0 THEN json_extract_string(payload,'$.market') END AS market, CASE WHEN venue%2=0 THEN 'usdt/cngn' ELSE 'cngn-usdt' END AS wanted FROM order_payloads)
+  SELECT id, market IS NULL OR regexp_replace(lower(market),'[^a-z0-9]','','g')=regexp_replace(wanted,'[^a-z0-9]','','g') AS ours FROM m""", "order_payloads")
 def market_match(spark, sf):
-    return V.read(spark, sf, "part").select("p_partkey", K.market_id(F.col("p_brand")).alias("market"))
+    """Whether an order belongs to the wanted market."""
+    market = F.when(F.col("venue") % 6 != 0, F.get_json_object("payload", "$.market"))
+    wanted = F.when(F.col("venue") % 2 == 0, "usdt/cngn").otherwise("cngn-usdt")
+    return V.RELATIONS["order_payloads"](spark, sf).select("id", K.market_matches(market, wanted).alias("ours"))
 
 
 @query("normalize_address", "SELECT s_suppkey, lpad(lower(s_suppkey::VARCHAR),40,'0') AS address FROM supplier")
@@ -491,18 +509,23 @@ def refill_reasons(spark, sf):
     return V.read(spark, sf, "customer").select("c_custkey", F.array_join(F.filter(parts, lambda x: x.isNotNull()), "; ").alias("reasons"))
 
 
-@query("swap_event_id", "SELECT event_id, CASE WHEN user_id%7<>0 THEN user_id||':'||CAST(json_extract_string(props,'$.k') AS INT) END AS uid FROM events")
+@query("swap_event_id", """SELECT event_id, h||':'||('0x'||x)::INT AS uid FROM (SELECT event_id, CASE WHEN user_id%7<>0 THEN '0x'||md5(event_id::VARCHAR) END AS h, CASE WHEN user_id%11<>0 THEN lower(hex(CAST(json_extract_string(props,'$.k') AS INT)+9)) END AS x FROM events)""")
 def swap_event_id(spark, sf):
-    uid = F.when(F.col("user_id") % 7 != 0, F.concat(F.col("user_id").cast("string"), F.lit(":"), V.prop().cast("string")))
-    return V.read(spark, sf, "events").select("event_id", uid.alias("uid"))
+    """Transaction hash (prefixed or not, in either case) and hexadecimal log index of a log."""
+    digest, index = F.md5(F.col("event_id").cast("string")), F.hex(V.prop() + 9)
+    tx = F.when(F.col("user_id") % 7 != 0, F.when(F.col("user_id") % 2 == 0, F.upper(digest)).otherwise(F.concat(F.lit("0x"), digest)))
+    logged = F.when(F.col("user_id") % 11 != 0, F.when(F.col("user_id") % 3 == 0, index).otherwise(F.concat(F.lit("0x"), F.lower(index))))
+    return V.read(spark, sf, "events").select("event_id", K.event_id(tx, logged).alias("uid"))
 
 
-@query("short_address", "SELECT p_partkey, CASE WHEN length(p_name)>12 THEN p_name[1:6]||'...'||right(p_name,4) ELSE p_name END AS short FROM part")
+@query("short_address", "SELECT event_id, CASE WHEN length(a)>10 THEN a[1:6]||'...'||right(a,6) WHEN a<>'' THEN a END AS logged, CASE WHEN length(a)>14 THEN a[1:8]||'...'||right(a,6) ELSE a END AS shown FROM (SELECT event_id, md5(event_id::VARCHAR)[1:user_id%20] AS a FROM events)")
 def short_address(spark, sf):
-    return V.read(spark, sf, "part").select("p_partkey", K.short_address(F.col("p_name")).alias("short"))
+    """Addresses of all lengths, as logs and as pages shorten them."""
+    a = F.left(F.md5(F.col("event_id").cast("string")), (F.col("user_id") % 20).cast("int"))
+    return V.read(spark, sf, "events").select("event_id", K.short_address(a).alias("logged"), K.shown_address(a).alias("shown"))
 
 
-@query("relative_time", f"SELECT id, CASE WHEN s<60 THEN s||'s' WHEN s<3600 THEN (s//60)||'m' WHEN s<86400 THEN (s//3600)||'h' ELSE (s//86400)||'d' END AS age FROM (SELECT id, ({AS_OF}-ts_ms)//1000 AS s FROM quotes)", "quotes")
+@query("relative_time", f"SELECT id, CASE WHEN s<60 THEN s||'s' WHEN s<3600 THEN (s//60)||'m' WHEN s<86400 THEN (s//3600)||'h' ELSE (s//86400)||'d' END||' ago' AS age FROM (SELECT id, ({AS_OF}-ts_ms)//1000 AS s FROM quotes)", "quotes")
 def relative_time(spark, sf):
     return V.quotes(spark, sf).select("id", K.age_text(F.lit(AS_OF) - F.col("ts_ms")).alias("age"))
 
@@ -531,9 +554,11 @@ def source_to_venue(spark, sf):
     return V.quotes(spark, sf).select("id", F.when(low.contains("sign"), "ramp").when(low.contains("click"), "pool").otherwise(F.col("source")).alias("venue"))
 
 
-@query("reputation_filter", "SELECT s_suppkey FROM supplier WHERE s_acctbal>=1000 AND s_nationkey<20 AND s_nationkey%10<>0")
+@query("reputation_filter", """, i AS (SELECT id, unnest(json_extract(payload,'$.result.items[*]')) AS x FROM ad_payloads) SELECT id, CAST(json_extract_string(x,'$.price') AS DOUBLE) AS price FROM i
+  WHERE CAST(json_extract_string(x,'$.recentOrderNum') AS INT)>=100 AND CAST(json_extract_string(x,'$.recentExecuteRate') AS DOUBLE)>=90 AND CAST(json_extract_string(x,'$.releaseTime') AS INT)<=900 AND json_extract_string(x,'$.isOnline')='true'""", "ad_payloads")
 def reputation_filter(spark, sf):
-    return V.read(spark, sf, "supplier").filter((F.col("s_acctbal") >= 1000) & (F.col("s_nationkey") < 20) & (F.col("s_nationkey") % 10 != 0)).select("s_suppkey")
+    """Advertisements whose makers have orders, completion and speed enough, and are online."""
+    return orders.reputable(orders.p2p_ads(V.RELATIONS["ad_payloads"](spark, sf))).select("id", "price")
 
 
 @query("wallet_log_match", """SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON e.user_id=c.c_custkey WHERE e.event_type='click'

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import payloads as P
 from ..operators import detection as D
-from ..operators import relations
+from ..operators import book_pool, relations
+from ..operators import orders as O
 from ..sources import views as V
 from .market import query, r
 
@@ -303,9 +304,11 @@ def _rates(spark, sf) -> DataFrame:
     return V.read(spark, sf, "part").select("p_partkey", rates.alias("rates"))
 
 
-@query("src_multi_route_rate", "SELECT p_partkey, (CASE WHEN p_size%4<>0 THEN 1 ELSE 0 END + CASE WHEN p_size%3<>0 THEN 1 ELSE 0 END + CASE WHEN p_size%5<>0 THEN 1 ELSE 0 END)::INT AS valid FROM part")
+@query("src_multi_route_rate", """, x AS (SELECT id, unnest(json_extract(payload,'$.routes[*]')) AS y FROM rate_payloads), z AS (SELECT id, TRY_CAST(json_extract_string(y,'$.rate') AS DOUBLE) AS rate, json_extract_string(y,'$.invert')='true' AS flip FROM x)
+  SELECT id, count(*) FILTER (WHERE rate>0)::INT AS valid, round(avg(CASE WHEN flip THEN 1/nullif(rate,0) ELSE rate END) FILTER (WHERE rate>0),9) AS mean FROM z GROUP BY 1""", "rate_payloads")
 def src_multi_route_rate(spark, sf):
-    return _rates(spark, sf).select("p_partkey", F.size(F.filter("rates", lambda x: x.isNotNull())).alias("valid"))
+    """Rates of a preview's routes, inverted where stated; the mean of the valid ones."""
+    return O.route_rates(V.RELATIONS["rate_payloads"](spark, sf)).select("id", "valid", r("mean", 9).alias("mean"))
 
 
 @query("src_rfq_preview", "SELECT p_partkey, round(p_retailprice/1000,9) AS sell, round(1/(p_retailprice/1000*1.002::DOUBLE),9) AS buy FROM part")
@@ -425,10 +428,14 @@ def antijoin_active_lp(spark, sf):
     return V.read(spark, sf, "supplier").filter("s_acctbal < 0").join(active, "s_suppkey", "left_anti").select("s_suppkey")
 
 
-@query("lp_ownership", """WITH m AS (SELECT l_partkey AS token, l_suppkey AS owner, epoch_us(l_shipdate)//1000 AS ts, l_orderkey AS o, l_linenumber AS n FROM lineitem), h AS (SELECT token, max_by(owner, struct_pack(a:=ts,b:=o,c:=n)) AS owner FROM m GROUP BY 1) SELECT owner, count(*)::BIGINT AS tokens FROM h GROUP BY 1""")
+@query("lp_ownership", """WITH m AS (SELECT l_partkey AS token, (l_suppkey*7+l_linenumber)%50 AS sender, l_suppkey%50 AS owner, epoch_us(l_shipdate)//1000 AS ts, l_orderkey AS o, l_linenumber AS n FROM lineitem), c AS (SELECT sender AS owner, token FROM m UNION SELECT owner, token FROM m),
+  h AS (SELECT token, max_by(owner, struct_pack(a:=ts,b:=o,c:=n,d:=owner)) AS held FROM m GROUP BY 1) SELECT owner, count(*)::BIGINT AS candidates, count(*) FILTER (WHERE held=owner)::BIGINT AS owned FROM c JOIN h USING (token) GROUP BY 1""")
 def lp_ownership(spark, sf):
-    moves = V.read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("token")).agg(F.max_by("l_suppkey", F.struct(V.millis("l_shipdate"), "l_orderkey", "l_linenumber")).alias("owner"))
-    return moves.groupBy("owner").agg(F.count("*").alias("tokens"))
+    """Tokens that came to or left an owner are candidates; owned are those whose latest transfer went to it."""
+    moves = V.read(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("token"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 50).alias("sender"), (F.col("l_suppkey") % 50).alias("owner"), F.struct(V.millis("l_shipdate"), "l_orderkey", "l_linenumber", F.col("l_suppkey") % 50).alias("at")
+    )
+    return relations.ownership(moves).groupBy("owner").agg(F.count("*").alias("candidates"), F.count_if("owned").alias("owned"))
 
 
 @query("merge_status_updates", "WITH u AS (SELECT o_custkey, max_by(o_orderstatus, struct_pack(a:=o_orderdate,b:=o_orderkey)) AS status FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1) SELECT c_custkey, coalesce(u.status, c_mktsegment) AS status FROM customer LEFT JOIN u ON o_custkey=c_custkey")
@@ -521,14 +528,6 @@ def portfolio_value(spark, sf):
     return _holdings(spark, sf).agg(*fields)
 
 
-@query("liquidation_value", _HOLD + "SELECT c_nationkey, round(CASE c_nationkey%2 WHEN 0 THEN coalesce(base,0)*0.5*0.999::DOUBLE ELSE (1e6::DOUBLE*0.7::DOUBLE*(coalesce(base,0)*0.9995::DOUBLE*0.7::DOUBLE))/(1e6::DOUBLE+coalesce(base,0)*0.9995::DOUBLE*0.7::DOUBLE) END,4) AS usd FROM v")
-def liquidation_value(spark, sf):
-    """What holdings bring at once: from a book for even roles, from a pool for odd ones."""
-    held = F.coalesce("base", F.lit(0.0))
-    value = F.when(F.col("c_nationkey") % 2 == 0, held * 0.5 * 0.999).otherwise(K.swap_0_for_1(held, F.lit(1e6), F.lit(0.7), 0.0005))
-    return _holdings(spark, sf).select("c_nationkey", r(value, 4).alias("usd"))
-
-
 @query("stale_fallback", "SELECT desk, max(ts_ms) AS last, max(ts_ms) < (SELECT max(ts_ms) FROM trades)-60000 AS stale, min(CASE WHEN size>50 THEN 1 ELSE 0 END)=0 AND max(ts_ms) < (SELECT max(ts_ms) FROM trades)-60000 AS poll FROM trades GROUP BY 1", "trades")
 def stale_fallback(spark, sf):
     """Polling starts for a stream that has been silent for a minute and is not marked healthy."""

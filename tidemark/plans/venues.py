@@ -280,11 +280,14 @@ def classify_error(spark, sf):
     return _rows(spark, sf, "raw_errors").select("id", "line", P.error_class(F.col("error")).alias("class"))
 
 
-@query("clean_revert", r"SELECT id, string_agg(DISTINCT t, ' | ' ORDER BY t) AS error FROM (SELECT id, trim(regexp_replace(error,':\s*0x[0-9a-fA-F]{8,}$','')) AS t FROM raw_errors) WHERE t<>'' GROUP BY id", "raw_errors")
+@query("clean_revert", r""", raw AS (SELECT id, line, trim(regexp_replace(error,':\s*0x[0-9a-fA-F]{8,}$','')) AS t FROM reverts), c AS (SELECT *, regexp_matches(t,'^0x08c379a0[0-9a-fA-F]*$') AND length(t)>=138 AS coded FROM raw),
+  d AS (SELECT *, CASE WHEN coded THEN ('0x'||substr(t,131,8))::BIGINT END AS n FROM c), m AS (SELECT id, line, CASE WHEN n*2<=length(t)-138 THEN 'execution reverted: '||decode(unhex(substr(t,139,(n*2)::BIGINT))) ELSE t END AS t FROM d WHERE t<>''),
+  f AS (SELECT id, t, min(line) AS line FROM m GROUP BY 1,2) SELECT id, string_agg(t, ' | ' ORDER BY line, t) AS error FROM f GROUP BY id""", "reverts")
 def clean_revert(spark, sf):
-    """The distinct parts of an attempt's errors; an attempt has a few lines."""
-    parts = _rows(spark, sf, "raw_errors").select("id", P.clean_revert(F.col("error")).alias("t")).filter("t <> ''")
-    return parts.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("t")), " | ").alias("error"))
+    """The distinct parts of an attempt's errors in their order; an attempt has a few lines."""
+    parts = _rows(spark, sf, "reverts").select("id", "line", P.clean_revert(F.col("error")).alias("t")).filter("t <> ''")
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]))
+    return parts.groupBy("id").agg(F.array_join(listed, " | ").alias("error"))
 
 
 @query("hex_coerce", "SELECT id, '0x'||lower(replace(data,'0x','')) AS hex, (length(data)-2)//2 AS bytes FROM swap_logs", "swap_logs")
@@ -313,12 +316,12 @@ def event_key(spark, sf):
     return V.read(spark, sf, "events").select("event_id", key.alias("key"))
 
 
-@query("human_usd", "SELECT o_orderkey, CASE WHEN o_totalprice*10>=1e6 THEN '$'||printf('%.1f', o_totalprice*10/1e6)||'M' WHEN o_totalprice*10>=1e3 THEN '$'||printf('%.0f', o_totalprice*10/1e3)||'K' ELSE '$'||printf('%.0f', o_totalprice*10) END AS text FROM orders")
+@query("human_usd", "SELECT o_orderkey, CASE WHEN x>=1e6 THEN '$'||printf('%.1f', x/1e6)||'M' WHEN x>=1e3 THEN '$'||printf('%.0f', x/1e3)||'K' ELSE '$'||floor(x+0.5)::BIGINT END AS text FROM (SELECT o_orderkey, (o_totalprice-5000)*10 AS x FROM orders)")
 def human_usd(spark, sf):
-    return V.read(spark, sf, "orders").select("o_orderkey", K.human_usd(F.col("o_totalprice") * 10).alias("text"))
+    return V.read(spark, sf, "orders").select("o_orderkey", K.human_usd((F.col("o_totalprice") - 5000) * 10).alias("text"))
 
 
-@query("uptime", f"SELECT id, CASE WHEN s>=86400 THEN (s//86400)||'d '||(s%86400//3600)||'h' WHEN s>=3600 THEN (s//3600)||'h '||(s%3600//60)||'m' ELSE (s//60)||'m' END AS up FROM (SELECT id, ({AS_OF}-ts_ms)//1000 AS s FROM quotes)", "quotes")
+@query("uptime", f"SELECT id, CASE WHEN s>=3600 THEN (s//3600)||'h '||(s%3600//60)||'m' ELSE (s//60)||'m' END AS up FROM (SELECT id, ({AS_OF}-ts_ms)//1000 AS s FROM quotes)", "quotes")
 def uptime(spark, sf):
     return V.quotes(spark, sf).select("id", K.uptime_text(F.lit(AS_OF) - F.col("ts_ms")).alias("up"))
 
@@ -337,10 +340,11 @@ def wallet_activity(spark, sf):
     return logs.join(wallets, F.col("wallet") == F.col("c_custkey")).groupBy("venue").agg(F.countDistinct("event_id").alias("logs"))
 
 
-@query("api_limits", "SELECT kind, least(asked, cap) AS n FROM (VALUES ('prices', 9000, 5000), ('actions', 50, 200), ('history', 500, 200), ('alerts', 400, 100)) t(kind, asked, cap)")
+@query("api_limits", "SELECT c_custkey, CASE c_nationkey%4 WHEN 0 THEN least(c_custkey*7, 5000) WHEN 1 THEN least(c_custkey*7, 200) WHEN 2 THEN least(c_custkey*7, 200) ELSE least(c_custkey*7, 100) END AS n FROM customer")
 def api_limits(spark, sf):
-    asked = spark.createDataFrame([("prices", 9000), ("actions", 50), ("history", 500), ("alerts", 400)], "kind string, asked int")
-    return asked.select("kind", F.least("asked", relations.limit_of(F.col("kind"))).alias("n"))
+    """Requested rows of each account's request, at most its kind's limit."""
+    kind = F.array(*map(F.lit, ("prices", "actions", "history", "alerts")))[(F.col("c_nationkey") % 4).cast("int")]
+    return V.read(spark, sf, "customer").select("c_custkey", F.least(F.col("c_custkey") * 7, relations.limit_of(kind)).alias("n"))
 
 
 @query("bucket_width", "SELECT m::BIGINT AS minutes, CASE WHEN m<=10 THEN 30000 WHEN m<=60 THEN 60000 WHEN m<=1440 THEN 300000 WHEN m<=10080 THEN 1800000 ELSE 3600000 END::BIGINT AS width FROM (SELECT DISTINCT p_size*p_size*7 AS m FROM part)")

@@ -48,6 +48,9 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("attempt_id"), kind.alias("event_type"), millis("l_shipdate").alias("ts_ms"),
         (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).cast("bigint").alias("event_id"),
         F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("expected"), F.col("l_discount").alias("reason"),
+        (F.col("l_partkey") % 5).alias("buy_venue"), (F.col("l_suppkey") % 7).alias("sell_venue"), F.concat(F.lit("w"), (F.col("l_suppkey") % 31).cast("string")).alias("wallet"),
+        F.when(F.col("l_returnflag") != "N", F.concat(F.lit("0x"), F.hex(F.col("l_partkey") * 1000 + F.col("l_linenumber")))).alias("tx_hash"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("gain"), (F.col("l_quantity") * 1500).alias("moved"),
     )
 
 
@@ -99,7 +102,9 @@ SQL = {
       epoch_us(o_orderdate)//1000 AS detected_ms, CASE WHEN o_orderstatus='F' THEN 'completed' WHEN o_orderstatus='O' THEN 'detected' WHEN o_custkey%3=0 THEN 'half_open' ELSE 'abandoned' END AS status,
       CASE WHEN o_orderstatus='F' THEN o_totalprice*0.001::DOUBLE-100 END AS actual_profit, CASE WHEN o_orderstatus='F' AND o_custkey%5<>0 THEN o_totalprice END AS executed_size FROM orders""",
     "lifecycle": """SELECT l_orderkey AS attempt_id, CASE l_returnflag WHEN 'N' THEN 'routed' WHEN 'A' THEN 'executed' ELSE 'failed' END AS event_type, epoch_us(l_shipdate)//1000 AS ts_ms,
-      (l_linenumber::BIGINT*1000000000000 + l_partkey*100000 + l_suppkey)::BIGINT AS event_id, l_quantity AS size, l_extendedprice AS expected, l_discount AS reason FROM lineitem""",
+      (l_linenumber::BIGINT*1000000000000 + l_partkey*100000 + l_suppkey)::BIGINT AS event_id, l_quantity AS size, l_extendedprice AS expected, l_discount AS reason,
+      l_partkey%5 AS buy_venue, l_suppkey%7 AS sell_venue, 'w'||(l_suppkey%31) AS wallet, CASE WHEN l_returnflag<>'N' THEN '0x'||hex(l_partkey*1000+l_linenumber) END AS tx_hash,
+      CASE WHEN l_returnflag<>'N' THEN l_extendedprice*(l_discount-0.05::DOUBLE) END AS gain, l_quantity*1500 AS moved FROM lineitem""",
     "levels": """SELECT l_suppkey AS book_id, CASE WHEN l_linestatus='O' THEN 'ask' ELSE 'bid' END AS side, l_extendedprice/l_quantity AS price, l_quantity AS amount,
       l_orderkey*1000+l_linenumber AS level_id, l_partkey AS part FROM lineitem""",
     "alerts": """SELECT event_id AS id, epoch_us(ts)//1000 AS ts_ms, 'error:'||(user_id%20) AS dedupe_key, CASE WHEN value>100 THEN 'critical' WHEN value>20 THEN 'warning' ELSE 'info' END AS severity
@@ -173,7 +178,7 @@ _PAYLOADS = {
     ),
     "ad_payloads": (
         "c_custkey AS id,\n"
-        """concat('{"result":{"count":', CAST(c_nationkey * 10 + 2 AS STRING), ',"items":[{"price":"', """ + _MONEY.format("c_acctbal") + """, '","recentOrderNum":', CAST(c_nationkey * 9 AS STRING), ',"recentExecuteRate":', CAST(c_custkey % 101 AS STRING), ',"isOnline":true,"lastQuantity":"12.5"},{"price":"',
+        """concat('{"result":{"count":', CAST(c_nationkey * 10 + 2 AS STRING), ',"items":[{"price":"', """ + _MONEY.format("c_acctbal") + """, '","recentOrderNum":', CAST(c_nationkey * 9 AS STRING), ',"recentExecuteRate":', CAST(c_custkey % 101 AS STRING), ',"releaseTime":', CAST(c_nationkey * 60 AS STRING), ',"isOnline":', CASE WHEN c_custkey % 3 = 0 THEN 'false' ELSE 'true' END, ',"lastQuantity":"12.5"},{"price":"',
           CAST(CAST(c_acctbal AS DECIMAL(18,2)) + 1 AS STRING), '","lastQuantity":"7.25"}]}}') AS payload""",
         "customer",
     ),
@@ -200,6 +205,20 @@ _PAYLOADS = {
         "events",
     ),
 }
+_MESSAGE = "concat('order ', CAST(l_partkey AS STRING), ' refused')"
+_PAYLOADS["reverts"] = (
+    "l_orderkey AS id,\nl_linenumber AS line,\n"
+    """CASE (l_partkey + l_suppkey) % 9 WHEN 0 THEN concat('0x08c379a0', lpad('20', 64, '0'), lpad(lower(hex(length({m}))), 64, '0'), rpad(lower(hex({m})), 128, '0'))
+          WHEN 1 THEN '0x08c379a0ff' WHEN 2 THEN concat('0x08c379a0', lpad('20', 64, '0'), lpad('ffff', 64, '0'), '61') WHEN 3 THEN '' WHEN 4 THEN 'execution reverted: SPL: 0x08c379a000' WHEN 5 THEN 'reverted:  0xABCDEF0123' ELSE 'nonce too low' END AS error""".replace("{m}", _MESSAGE),
+    "lineitem",
+)
+_RATE = "CASE WHEN {} % {} = 0 THEN {} ELSE CAST(CAST({} AS DECIMAL(18,2)) AS STRING) END"
+_PAYLOADS["rate_payloads"] = (
+    "p_partkey AS id,\n"
+    "concat('{\"routes\":[{\"rate\":\"', " + _RATE.format("p_size", 4, "'0'", "p_retailprice") + ", '\",\"invert\":true},{\"rate\":\"', " + _RATE.format("p_size", 3, "''", "p_retailprice + 2")
+    + ", '\",\"invert\":true},{\"rate\":\"0.00', CAST(p_size AS STRING), '\"},{\"rate\":', " + _RATE.format("p_size", 5, "'null'", "p_size") + ", ',\"invert\":false}]}') AS payload",
+    "part",
+)
 #: Two pools per book and the coins of a wallet: root prices, liquidity, fees and gas; some are not known.
 _COIN = "(3 + CAST(s_suppkey % 13 AS DOUBLE) / 4)"
 _PAYLOADS["pool_states"] = (
