@@ -180,3 +180,13 @@ def test_owners_are_checked(spark):
     moves = spark.createDataFrame([(1, 0, 5, 1), (1, 5, 6, 2), (2, 0, 5, 1)], "token int, sender int, owner int, at int")
     got = {(r["owner"], r["token"]): r["owned"] for r in relations.ownership(moves).collect()}
     assert got == {(0, 1): False, (0, 2): False, (5, 1): False, (5, 2): True, (6, 1): True}
+
+
+def test_sums_slide_over_steps(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), rng.randrange(400), float(rng.randrange(1, 50))) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "k int, t bigint, v double")
+    got = sorted((r["k"], r["t"], r["v"], round(r["s"], 6)) for r in relations.rolling_sum(frame, "k", "t", "v", 96, "s", steps=8).collect())
+    assert got == sorted((k, t, v, round(sum(v2 for k2, t2, v2 in rows if k2 == k and t - 96 < t2 <= t), 6)) for k, t, v in rows)

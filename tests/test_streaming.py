@@ -25,6 +25,18 @@ def test_dedup_and_retained_equal_batch(spark, sf, tmp_path):
     assert {r["pool"]: r["id"] for r in state.collect()} == want
 
 
+def test_versions_fold_to_the_last_rows(spark, tmp_path):
+    write, last = streams.upsert_into(str(tmp_path / "s"), ["k"], ["at"], every=3), {}
+    for number in range(8):
+        rows = [(k, number * 10 + k % 3, f"v{number}") for k in range(number % 4, number % 4 + 3)]
+        last |= {k: v for k, _, v in rows}
+        for _ in range(2):  # a batch that runs again
+            write(spark.createDataFrame(rows, "k int, at int, v string"), number)
+        got = streams.upserted(spark, str(tmp_path / "s"), ["k"], ["at"], every=3)
+        assert {r["k"]: r["v"] for r in got.collect()} == last
+    assert spark.read.parquet(str(tmp_path / "s" / "version=7")).count() == 3
+
+
 def test_sliding_volume(spark, sf, tmp_path):
     swaps = views.swaps(spark, sf).withColumn("ts", F.timestamp_millis("ts_ms"))
     swaps.coalesce(1).write.parquet(str(tmp_path / "in"))

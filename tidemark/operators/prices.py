@@ -23,19 +23,19 @@ def weighted_mean(price: Column, weight: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(price * both), F.nullif(F.sum(both), F.lit(0))), F.lit(0.0))
 
 
-def time_weights(quotes: DataFrame, as_of: Column) -> DataFrame:
+def time_weights(quotes: DataFrame, as_of: Column, width_ms: int = 600_000) -> DataFrame:
     """``weight``: milliseconds until the next quote of any source, 1 at least; the last runs to ``as_of``.
 
-    The next quote is looked up inside a day, and across days through the first quote of each later
-    day: one row per day is scanned in one task, never the quotes.
+    The next quote is looked up inside ten minutes, and across them through the first quote of each later ten
+    minutes: one row for each is scanned in one task, never the quotes.
     """
-    dated = quotes.withColumn("_day", F.floor(F.col("ts_ms") / DAY))
-    firsts = dated.groupBy("_day").agg(F.min("ts_ms").alias("_first"))
-    firsts = firsts.select("_day", F.lead("_first").over(Window.partitionBy().orderBy("_day")).alias("_next_day"))
-    inside = F.lead("ts_ms").over(Window.partitionBy("_day").orderBy("ts_ms", "id"))
-    out = dated.withColumn("_next", inside).join(firsts, "_day")
-    following = F.coalesce("_next", "_next_day", as_of)
-    return out.withColumn("weight", F.greatest(following - F.col("ts_ms"), F.lit(1))).drop("_day", "_next", "_next_day")
+    placed = quotes.withColumn("_span", F.floor(F.col("ts_ms") / width_ms))
+    firsts = placed.groupBy("_span").agg(F.min("ts_ms").alias("_first"))
+    firsts = firsts.select("_span", F.lead("_first").over(Window.partitionBy().orderBy("_span")).alias("_later"))
+    inside = F.lead("ts_ms").over(Window.partitionBy("_span").orderBy("ts_ms", "id"))
+    out = placed.withColumn("_next", inside).join(firsts, "_span")
+    following = F.coalesce("_next", "_later", as_of)
+    return out.withColumn("weight", F.greatest(following - F.col("ts_ms"), F.lit(1))).drop("_span", "_next", "_later")
 
 
 def twap(quotes: DataFrame, as_of: Column) -> DataFrame:

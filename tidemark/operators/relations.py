@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,17 +62,24 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def rolling_sum(df: DataFrame, key: str, time: str, value: str, span_ms: int, name: str) -> DataFrame:
+def rolling_sum(df: DataFrame, key: str, time: str, value: str, span_ms: int, name: str, steps: int = 96) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the key's rows of the last ``span_ms``, own time included.
 
-    Windows are inside one span of time: a row stands in its own span and, to be seen by it, in the next one.
+    A span has ``steps`` steps at most, and only rows of one step meet: those that come in it, those that leave the span in
+    it, and one row with the sum of the steps before, which is a window over one row a step.
     """
-    span = F.floor(F.col(time) / span_ms)
-    both = F.array(F.struct(span.alias("_span"), F.lit(True).alias("_own")), F.struct((span + 1).alias("_span"), F.lit(False).alias("_own")))
-    spread = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(time).alias("_time"), F.col(value).alias("_value"), F.inline(both))
-    spread = spread.withColumn("_row", F.when(F.col("_own"), F.col("_row")))
-    last = Window.partitionBy("_key", "_span").orderBy("_time").rangeBetween(-span_ms + 1, 0)
-    return spread.withColumn(name, F.sum("_value").over(last)).filter("_own").select("_row.*", name)
+    steps = math.gcd(span_ms, steps)  # steps make up the span exactly
+    width = span_ms // steps
+    step = F.floor(F.col(time) / width)
+    part = lambda step_, at, sign: F.struct(step_.alias("_step"), at.alias("_time"), sign.alias("_value"))
+    both = F.array(part(step, F.col(time), F.col(value).cast("double")), part(F.floor((F.col(time) + span_ms) / width), F.col(time) + span_ms, -F.col(value).cast("double")))
+    spread = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(time).alias("_own"), F.inline(both))
+    spread = spread.withColumn("_row", F.when(F.col("_own") == F.col("_time"), F.col("_row"))).drop("_own")
+    sums = df.groupBy(F.col(key).alias("_key"), step.alias("_step")).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_key").orderBy("_step").rangeBetween(-steps, -1))
+    base = sums.select("_key", "_step", (F.col("_step") * width - 1).alias("_time"), before.cast("double").alias("_value"))
+    last = Window.partitionBy("_key", "_step").orderBy("_time").rangeBetween(Window.unboundedPreceding, 0)
+    return spread.unionByName(base, allowMissingColumns=True).withColumn(name, F.sum("_value").over(last)).filter("_row IS NOT NULL").select("_row.*", name)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

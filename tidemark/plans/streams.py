@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import views as V
 from ..sources.scratch import shared_folder
-from ..streaming import incidents, volume
+from ..streaming import incidents, logs, streams, volume
 from .market import query
 
 SWAPS = "pool bigint, id bigint, ts_ms bigint, usd double, uid string, block bigint, at timestamp"
@@ -131,3 +131,52 @@ def alert_dedupe_stream(spark, sf):
     rows.unionByName(beat, allowMissingColumns=True).write.parquet(f"{work}/in")
     incidents.run(spark, f"{work}/in", rows.schema, f"{work}/out", f"{work}/checkpoint", "4 hours")
     return spark.read.parquet(f"{work}/out")
+
+
+@query("src_chain_logs_stream", "SELECT id, pool, block, length(data)::INT AS chars FROM pool_logs", "pool_logs")
+def src_chain_logs_stream(spark, sf):
+    """All logs by ranges of blocks; the query stops half way and goes on from its checkpoint."""
+    work, rows = shared_folder(spark, "logs"), V.RELATIONS["pool_logs"](spark, sf)
+    rows = rows.select("id", "pool", "block", "data")
+    half = rows.agg(((F.min("block") + F.max("block")) / 2).cast("bigint")).first()[0] or 0
+    for part in (F.col("block") <= half, F.col("block") > half):
+        rows.filter(part).repartitionByRange("block").sortWithinPartitions("block").write.mode("append").parquet(f"{work}/in")
+        stream = logs.chain_logs(spark, f"{work}/in".removeprefix("file:"), "id bigint, pool bigint, block bigint, data string", blocks_per_batch=max(half // 2, 1), blocks_per_read=max(half // 8, 1))
+        logs.drain(stream.select("id", "pool", "block", F.length("data").alias("chars")), f"{work}/out", f"{work}/checkpoint")
+    return spark.read.schema("id bigint, pool bigint, block bigint, chars int").parquet(f"{work}/out")
+
+
+def _in_two(spark, rows: DataFrame, work: str, query_of) -> None:
+    """Runs ``query_of`` (a stream to a started query) over two arrivals of ``rows``."""
+    half = _middle(rows)
+    for part in (F.col("ts_ms") < half, F.col("ts_ms") >= half):
+        rows.filter(part).write.mode("append").parquet(f"{work}/in")
+        query_of(streams.event_stream(spark, f"{work}/in", rows.schema)).awaitTermination()
+
+
+@query("pool_state_upsert", _S + "SELECT pool, max_by(id, struct_pack(a:=block, b:=id)) AS id, max(block)::BIGINT AS block FROM sw GROUP BY 1")
+def pool_state_upsert(spark, sf):
+    """The last log of each pool, kept up by a stream that writes only what a batch changes."""
+    work, rows = shared_folder(spark, "pools"), _swaps(spark, sf).filter(volume.micros(F.col("usd")) > 0)
+    sink = streams.upsert_into(f"{work}/state", ["pool"], ["block", "id"])
+    _in_two(spark, rows, work, lambda s: s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    return streams.upserted(spark, f"{work}/state", ["pool"], ["block", "id"]).select("pool", "id", "block")
+
+
+@query("dedup_event_id", _S + "SELECT pool, uid, CASE WHEN uid IS NULL THEN count(*) ELSE 1 END::BIGINT AS n FROM sw GROUP BY 1,2")
+def dedup_event_id(spark, sf):
+    """Each id of a pool once within the span of the watermark; rows without an id are never dropped."""
+    work, rows = shared_folder(spark, "once"), _swaps(spark, sf).filter(volume.micros(F.col("usd")) > 0)
+    once = lambda s: streams.deduplicated(s.select("pool", "id", "uid", "at"), ["pool", "uid"], "at", "60 days")
+    _in_two(spark, rows, work, lambda s: once(s).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{work}/out").groupBy("pool", "uid").agg(F.count("*").alias("n"))
+
+
+@query("retained_last_value", _S + "SELECT pool, max_by(id, struct_pack(a:=ts_ms, b:=id)) AS id, max(ts_ms)::BIGINT AS ts_ms FROM sw GROUP BY 1")
+def retained_last_value(spark, sf):
+    """The last swap of each pool from the query's own state, written out after every batch that changes it."""
+    work, rows = shared_folder(spark, "last"), _swaps(spark, sf).filter(volume.micros(F.col("usd")) > 0)
+    sink = streams.upsert_into(f"{work}/state", ["pool"], ["ts_ms", "id"])
+    last = lambda s: streams.retained(s, ["pool"], ["ts_ms", "id"])
+    _in_two(spark, rows, work, lambda s: last(s).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
+    return streams.upserted(spark, f"{work}/state", ["pool"], ["ts_ms", "id"]).select("pool", "id", "ts_ms")

@@ -36,15 +36,25 @@ def retained(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
-def upsert_into(path: str, keys: list[str], order: list[str]):
-    """foreachBatch sink: a Parquet table of the last row per key, one version folder per batch. A batch
-    that runs again writes the same version from the same predecessor."""
+def upsert_into(path: str, keys: list[str], order: list[str], every: int = 50):
+    """foreachBatch sink: a Parquet table of the last row per key, one version folder per batch.
+
+    A batch writes its own last rows only; each ``every``-th one writes the whole state, so that reading folds a
+    bounded number of versions. A batch that runs again overwrites its version with the same rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = batch
-        if number:
-            state = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}").unionByName(batch)
-        latest_per_key(state, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        rows = batch
+        if number and number % every == 0:
+            rows = upserted(batch.sparkSession, path, keys, order, number - 1, every).select(batch.columns).unionByName(batch)
+        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return write
+
+
+def upserted(spark: SparkSession, path: str, keys: list[str], order: list[str], upto: int | None = None, every: int = 50) -> DataFrame:
+    """The table behind ``upsert_into``: last rows per key since the latest whole version (of versions to ``upto``)."""
+    rows = spark.read.parquet(path)
+    rows = rows if upto is None else rows.filter(F.col("version") <= upto)
+    newest = rows.agg(F.max("version")).first()[0] or 0
+    return latest_per_key(rows.filter(F.col("version") >= newest // every * every).drop("version"), keys, order)
