@@ -190,3 +190,16 @@ def test_sums_slide_over_steps(spark):
     frame = spark.createDataFrame(rows, "k int, t bigint, v double")
     got = sorted((r["k"], r["t"], r["v"], round(r["s"], 6)) for r in relations.rolling_sum(frame, "k", "t", "v", 96, "s", steps=8).collect())
     assert got == sorted((k, t, v, round(sum(v2 for k2, t2, v2 in rows if k2 == k and t - 96 < t2 <= t), 6)) for k, t, v in rows)
+
+
+def test_places_add_up_over_cuts(spark):
+    import random
+
+    from tidemark.operators import orders
+
+    rng = random.Random(4)
+    rows = [(v, s, float(rng.randrange(30)), i) for i in range(400) for v, s in [(rng.randrange(2), rng.choice(["buy", "sell"]))]]
+    got = {r["id"]: r["place"] for r in orders.placed_by_side(spark.createDataFrame(rows, "venue int, side string, price double, id int"), parts=8).collect()}
+    for venue in (0, 1):
+        ordered = sorted((r for r in rows if r[0] == venue), key=lambda r: (r[1], -r[2], r[3]))
+        assert [got[r[3]] for r in ordered] == list(range(1, len(ordered) + 1))

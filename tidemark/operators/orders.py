@@ -130,6 +130,38 @@ def resting(payloads: DataFrame, states: Sequence[str] = ("wait", "pending_cance
     return out.filter("side is not null and price > 0 and volume > 0")
 
 
+def tracked(payloads: DataFrame, status: str = "pending_cancel") -> DataFrame:
+    return payloads.filter(P.order_status(F.col("payload")) == status).select("venue", "id", "payload")
+
+
+def saved_tracked(orders: DataFrame, parts: int = 1000) -> DataFrame:
+    """venue, part, value: orders as JSON arrays, cut by id so that no array grows with a venue."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+    return orders.groupBy("venue", part).agg(F.concat(F.lit("["), F.array_join(F.collect_list("payload"), ","), F.lit("]")).alias("value"))
+
+
+def read_tracked(saved: DataFrame) -> DataFrame:
+    """venue, id (text) of every order in saved arrays."""
+    return saved.select("venue", F.explode(F.from_json("value", "array<struct<id:string>>")).alias("o")).select("venue", "o.id")
+
+
+def placed_by_side(orders: DataFrame, parts: int = 64) -> DataFrame:
+    """``place`` of each order in its venue: by side, best price first, then id.
+
+    Orders of a side are cut at approximate quantiles of their prices; rows are put in order inside a cut, and the
+    numbers of rows in the cuts before it are added. A venue's orders do not meet in one task.
+    """
+    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    bounds = orders.groupBy("venue", "side").agg(F.percentile_approx("price", shares, 1000).alias("_bounds"))
+    rows = orders.join(bounds, ["venue", "side"])
+    rows = rows.withColumn("_cut", F.size(F.filter("_bounds", lambda b: b > F.col("price")))).drop("_bounds")
+    cuts = rows.groupBy("venue", "side", "_cut").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("venue").orderBy("side", "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.select("venue", "side", "_cut", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("venue", "side", "_cut").orderBy(F.col("price").desc(), "id"))
+    return rows.withColumn("_inside", inside).join(cuts, ["venue", "side", "_cut"]).withColumn("place", (F.col("_ahead") + F.col("_inside")).cast("int")).drop("_cut", "_inside", "_ahead")
+
+
 def anchors(orders: DataFrame, key: str) -> DataFrame:
     """Middle of the best buy and the best sell; null if a side is empty."""
     buy, sell = F.max(F.when(F.col("side") == "buy", F.col("price"))), F.min(F.when(F.col("side") == "sell", F.col("price")))

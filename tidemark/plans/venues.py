@@ -145,8 +145,7 @@ def open_orders_snapshot(spark, sf):
 
 @query("side_sort", _NORMAL + "SELECT venue, id, row_number() OVER (PARTITION BY venue ORDER BY side, price DESC, id)::INT AS place FROM n", "order_payloads")
 def side_sort(spark, sf):
-    place = F.row_number().over(Window.partitionBy("venue").orderBy("side", F.col("price").desc(), "id"))
-    return O.normalised(_rows(spark, sf, "order_payloads")).select("venue", "id", place.alias("place"))
+    return O.placed_by_side(O.normalised(_rows(spark, sf, "order_payloads"))).select("venue", "id", "place")
 
 
 @query("max_notional", _NORMAL + "SELECT venue, side, max(price*(CASE WHEN remaining>0 THEN remaining ELSE volume END)) AS most FROM n GROUP BY venue, side", "order_payloads")
@@ -228,10 +227,9 @@ def reconcile_missing_twice(spark, sf):
 
 @query("tracked_orders_json", _ORDERS + ", j AS (SELECT venue, list(json_extract_string(payload,'$.id')) AS ids FROM o WHERE status='pending_cancel' GROUP BY venue), u AS (SELECT venue, unnest(ids) AS id FROM j) SELECT venue, CAST(id AS BIGINT) AS id FROM u", "order_payloads")
 def tracked_orders_json(spark, sf):
-    """A venue's tracked orders as one stored JSON array, read back."""
-    tracked = _rows(spark, sf, "order_payloads").filter(P.order_status(F.col("payload")) == "pending_cancel")
-    state = tracked.groupBy("venue").agg(F.concat(F.lit("["), F.array_join(F.collect_list("payload"), ","), F.lit("]")).alias("value"))
-    return state.select("venue", F.explode(F.from_json("value", "array<struct<id:string>>")).alias("o")).select("venue", F.col("o.id").cast("bigint").alias("id"))
+    """Tracked orders as stored JSON, read back: one array for each thousandth of a venue's orders."""
+    tracked = O.tracked(_rows(spark, sf, "order_payloads"))
+    return O.read_tracked(O.saved_tracked(tracked)).select("venue", F.col("id").cast("bigint").alias("id"))
 
 
 # --- logs and text ---------------------------------------------------------------------------------
