@@ -144,6 +144,19 @@ def test_facts_of_hot_and_null_keys(spark):
     assert {(r["key"] or "")[:1]: r["twice"] for r in got.collect()} == {"h": 3000, "": 428, "k": 2}
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import scratch_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(session("local-cluster[3,2,1000]"))
+    assert scratch_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs:/work"})) == "hdfs:/work"
+
+
 def plain_repair(rows):
     """(cost, audit, turns) by search over (cost, audit) with Dijkstra's rule, over whole audits."""
     want = {0: "u", 1: "u", 2: "a", 3: "u"}

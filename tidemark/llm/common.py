@@ -28,13 +28,14 @@ _FOLDER: ContextVar[str | None] = ContextVar("_FOLDER", default=None)
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary folder if
-    driver and executors are one process, and one in the warehouse otherwise."""
+    driver and executors are one process. A cluster without the setting is refused: nothing else is known to be
+    shared, and a warehouse may be a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
         return _local_folder()
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 @cache
