@@ -131,7 +131,7 @@ def test_texts_as_logs_and_pages_show_them(spark):
 
 
 def test_markets_and_event_ids(spark):
-    rows = [("USDT_CNGN", "usdt/cngn"), (None, "usdt/cngn"), ("usdtbtc", "usdt/cngn")]
+    rows = [("USDT_COIN", "usdt/coin"), (None, "usdt/coin"), ("usdtbtc", "usdt/coin")]
     got = spark.createDataFrame(rows, "a string, b string").select(K.market_matches(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [True, True, False]
     assert one(spark, K.event_id(F.lit("0xABcd"), F.lit("0x1F"))) == one(spark, K.event_id(F.lit("abcd"), F.lit("1f"))) == "0xabcd:31"

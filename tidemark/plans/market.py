@@ -488,12 +488,12 @@ def pool_volume_24h(spark, sf):
 # --- text ----------------------------------------------------------------------------------------
 
 
-@query("market_match", """, m AS (SELECT id, CASE WHEN venue%6<>0 THEN json_extract_string(payload,'$.market') END AS market, CASE WHEN venue%2=0 THEN 'usdt/cngn' ELSE 'cngn-usdt' END AS wanted FROM order_payloads)
+@query("market_match", """, m AS (SELECT id, CASE WHEN venue%6<>0 THEN json_extract_string(payload,'$.market') END AS market, CASE WHEN venue%2=0 THEN 'usdt/coin' ELSE 'coin-usdt' END AS wanted FROM order_payloads)
   SELECT id, market IS NULL OR regexp_replace(lower(market),'[^a-z0-9]','','g')=regexp_replace(wanted,'[^a-z0-9]','','g') AS ours FROM m""", "order_payloads")
 def market_match(spark, sf):
     """Whether an order belongs to the wanted market."""
     market = F.when(F.col("venue") % 6 != 0, F.get_json_object("payload", "$.market"))
-    wanted = F.when(F.col("venue") % 2 == 0, "usdt/cngn").otherwise("cngn-usdt")
+    wanted = F.when(F.col("venue") % 2 == 0, "usdt/coin").otherwise("coin-usdt")
     return V.RELATIONS["order_payloads"](spark, sf).select("id", K.market_matches(market, wanted).alias("ours"))
 
 

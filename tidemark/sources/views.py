@@ -141,7 +141,7 @@ _VOLUME = "CAST(o_custkey % 50 AS STRING)"
 _PAYLOADS = {
     "order_payloads": (
         "o_orderkey AS id,\no_custkey % 40 AS venue,\n"
-        """concat('{"id":"', CAST(o_orderkey AS STRING), '","market":"USDT_', CASE WHEN o_custkey % 2 = 0 THEN 'CNGN' ELSE 'Cngn' END,
+        """concat('{"id":"', CAST(o_orderkey AS STRING), '","market":"USDT_', CASE WHEN o_custkey % 2 = 0 THEN 'COIN' ELSE 'Coin' END,
           '","side":"', CASE WHEN o_custkey % 17 = 0 THEN 'hold' WHEN o_orderkey % 2 = 0 THEN 'Buy' ELSE 'sell' END,
           '","', CASE WHEN o_custkey % 2 = 0 THEN 'state' ELSE 'status' END, '":"', CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'Wait' ELSE 'pending_cancel' END,
           '","price":', CASE WHEN o_custkey % 3 = 0 THEN concat('{"amount":"', """ + _MONEY.format("o_totalprice") + """, '"}') WHEN o_custkey % 19 = 0 THEN '0' ELSE concat('"', """ + _MONEY.format("o_totalprice") + """, '"') END,
