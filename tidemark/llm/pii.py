@@ -7,6 +7,13 @@ instances that are trusted, an instance by the best of its patterns; instances a
 trusted in the next round, so that patterns they share (a prefix such as a key's name) are learned
 too. Instances trusted at the end are found spans, wherever their value occurs.
 
+Identifiers that do not look like one (names, user names, "ann at mail dot com") are found by where they
+stand: the word before and the word after trusted values are a frame, and so are two words before and one
+after; whatever run of up to MOST_TOKENS tokens fills a frame anywhere is a
+candidate. A frame is trusted as a pattern is, but against all its fillers, so
+frames of everyday words are not; fillers of trusted frames are found spans there (not elsewhere, as a name may
+be a common word). Frames of over 200 code points propose nothing.
+
 Null and empty texts have no spans. Repeated rows get equal spans each. An empty table gives an empty
 result. Extra columns are not read by ``personal_spans``; ``redacted`` keeps them.
 """
@@ -18,12 +25,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_facts
 
 #: Base kinds in the order in which spans are listed; ``found`` follows them.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,6 +42,8 @@ FOUND = "found"
 MIN_TRUST, MIN_SUPPORT = 0.8, 5
 #: Rounds run until no new value is trusted; beyond so many the query fails rather than stop short.
 MOST_ROUNDS = 100
+#: Tokens of a filler of a frame, and bits of the map of frames that workers get (2 MB at any size).
+MOST_TOKENS, MAP_BITS = 5, 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -119,7 +130,7 @@ def instances(text: str, base: list[Span]) -> list[tuple[int, int, str, bool, li
     out = []
     for start, end, seed, i, j in marks:
         value = text[start:end]
-        patterns = [whole(p) for p in (f"l:{word(i - 1)}", f"r:{word(j + 1)}", f"ll:{word(i - 2)} {word(i - 1)}", f"lr:{word(i - 1)} {word(j + 1)}")]
+        patterns = [whole(p) for p in (f"l:{word(i - 1)}", f"r:{word(j + 1)}", f"ll:{word(i - 2)} {word(i - 1)}", f"lr:{word(i - 1)} {word(j + 1)}", f"3:{word(i - 2)} {word(i - 1)} {word(j + 1)}")]
         if not seed:
             key = re.match(r"[^0-9=:]{2,}[=:]|[A-Z]{4}", value)
             patterns += [f"s:{shape(value)}"] + ([whole(f"p:{key.group()}")] if key else [])
@@ -153,18 +164,28 @@ def trusted_values(marks: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float
     """Values (not seeds) that the graph of ``marks`` (value, seed, patterns) trusts once a round adds none;
     an error if that takes more than ``rounds``. Trust only grows, so rounds come to an end.
 
-    Edges are distinct, so copies of a document count once. Sums by pattern are combined map-side;
-    the joins back are inner joins on the pattern, which Spark can split where one is frequent.
+    Edges are distinct, so copies of a document count once. Sums by pattern are combined map-side, and
+    the scores of frequent patterns are broadcast.
     """
-    edges = stored(marks.select("value", "seed", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
+    edges = _edges(marks)
+    trusted = _trusted(edges, rounds, min_trust, min_support)
+    return trusted.join(edges.filter("seed").select("value").distinct(), "value", "left_anti")
+
+
+def _edges(marks: DataFrame) -> DataFrame:
+    return stored(marks.select("value", "seed", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
+
+
+def _trusted(edges: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Seeds and the values trusted at the end of the rounds."""
     trusted = stored(edges.filter("seed").select("value").distinct(), "trusted")
     size = trusted.count()
     for _ in range(rounds):
         known = edges.join(trusted.withColumn("known", F.lit(1)), "value", "left").withColumn("known", F.coalesce("known", F.lit(0)))
         score = F.sum("known") / (F.count("*") + 1)
-        patterns = known.groupBy("pattern").agg(F.sum("known").alias("support"), score.alias("trust"))
-        good = patterns.filter((F.col("support") >= min_support) & (F.col("trust") >= min_trust)).select("pattern", "trust")
-        scores = edges.filter(~F.col("seed")).join(good, "pattern").groupBy("value").agg(F.max("trust").alias("score"))
+        patterns = known.groupBy("pattern").agg(F.sum("known").alias("support"), score.alias("trust"), F.count("*").alias("n"))
+        good = patterns.filter((F.col("support") >= min_support) & (F.col("trust") >= min_trust))
+        scores = with_facts(edges.filter(~F.col("seed")), good, ["pattern"], ["trust"]).groupBy("value").agg(F.max("trust").alias("score"))
         reached = scores.filter(F.col("score") >= min_trust).select("value")
         trusted = stored(trusted.unionByName(reached).distinct(), "trusted")
         before, size = size, trusted.count()
@@ -172,14 +193,118 @@ def trusted_values(marks: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float
             break
     else:
         raise RuntimeError(f"values are still being trusted after {rounds} rounds")
-    return trusted.join(edges.filter("seed").select("value").distinct(), "value", "left_anti")
+    return trusted
+
+
+def _frame(words: Column) -> Column:
+    """The frame of two or three words as a long; ``_fillers`` makes the same."""
+    last = F.shiftleft(F.xxhash64(F.element_at(words, -2)), 1).bitwiseXOR(F.xxhash64(F.element_at(words, -1)))
+    return F.when(F.size(words) == 2, last).otherwise(F.shiftleft(F.xxhash64(words[0]), 2).bitwiseXOR(last))
+
 
+def _code(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
 
-def found_spans(scan: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, row, found (sorted spans) of rows where trusted values occur beside the base spans."""
+
+def _bit_map(frames: DataFrame) -> np.ndarray:
+    """One bit for each value of the last MAP_BITS bits of ``frame``: 2 MB, however many frames there are."""
+    at = F.col("frame").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
+    made = frames.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(1 << MAP_BITS >> 3, np.uint8)
+    for part, bits in made.collect():  # at most 512 rows
+        out[(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _fillers(text: str, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(frame, start, end) of the runs of up to MOST_TOKENS tokens in frames that ``bits`` may hold. A run
+    holds neither of the frame's words, and it starts and ends with a letter, digit or other inner sign."""
+    words = [m.span() for m in _TOKEN.finditer(text)]
+    if len(words) < 3:
+        return
+    bare = [text[s:e].strip(_EDGE).lower() for s, e in words]
+    codes = np.array([_code(w) if w else 0 for w in bare], np.uint64)
+    for n, wide in [(n, wide) for n in range(1, MOST_TOKENS + 1) for wide in (0, 1) if n + 1 + wide < len(words)]:
+        first, before, after = codes[: -n - 2], codes[wide : -n - 1], codes[n + 1 + wide :]
+        frames = (before << np.uint64(1)) ^ after
+        usable = (before != 0) & (after != 0)
+        if wide:
+            frames, usable = frames ^ (first << np.uint64(2)), usable & (first != 0)
+        at = frames & np.uint64((1 << MAP_BITS) - 1)
+        held = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        for f in np.flatnonzero(held & usable):
+            i = f + wide
+            inner = bare[i + 1 : i + n + 1]
+            if inner[0] and inner[-1] and bare[i] not in inner and bare[i + n + 1] not in inner:
+                (s, _), (t, e) = words[i + 1], words[i + n]
+                start = s + len(text[s : words[i + 1][1]]) - len(text[s : words[i + 1][1]].lstrip(_EDGE))
+                yield int(frames[f].astype(np.int64)), start, t + len(text[t:e].rstrip(_EDGE))
+
+
+def _filled(docs: DataFrame, frames: DataFrame, key: str, text: str, spans: bool) -> DataFrame:
+    """Fillers of ``frames`` in every whole text, exactly: frame and value (a hash, each once a batch), or
+    with ``spans`` key, row, start and end of every one that touches no base span."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bit_map(frames))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(f, _code(whole(body[s:e]))) for x in batch.column(2) if (body := x.as_py()) for f, s, e in _fillers(body, bits.value)}
+            made = np.array([f for f, _ in found], np.int64), np.array([v for _, v in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["frame", "value"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked, out = [], []
+            for i, x in enumerate(batch.column(2)):
+                fillers = list(_fillers(x.as_py() or "", bits.value))
+                base = base_spans(x.as_py()) if fillers else []
+                for f, s, e in fillers:
+                    if not any(a < e and s < b for _, a, b in base):
+                        picked.append(i)
+                        out.append((f, s, e))
+            frame, start, end = (pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))
+            rows = batch.take(pa.array(picked, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), frame, start, end], [key, "row", "frame", "start", "end"])
+
+    rows = docs.select(F.col(key).cast("long"), F.xxhash64(key, text).alias("row"), text)
+    if spans:
+        return rows.mapInArrow(places, f"{key} bigint, row bigint, frame bigint, start int, end int")
+    return rows.mapInArrow(values, "frame bigint, value bigint").distinct()
+
+
+def framed_spans(docs: DataFrame, edges: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """key, row, start, end of the fillers of trusted frames.
+
+    Frames are the patterns of ``edges`` that name words on both sides, with enough ``trusted`` values. Their fillers are
+    counted over all texts (distinct values, by hash), known values apart. Texts are read once for the
+    counts and once for the places; neither read is made where no frame is left.
+    """
+    two = edges.filter((F.col("pattern").startswith("lr:") | F.col("pattern").startswith("3:")) & (F.length("pattern") < 200))
+    two = two.withColumn("words", F.split(F.regexp_replace("pattern", "^(lr|3):", ""), " ")).filter(~F.array_contains("words", ""))
+    two = two.join(trusted, "value").select(_frame(F.col("words")).alias("frame"), F.xxhash64("value").alias("value"))
+    known = two.select("frame", "value").distinct()
+    frames = stored(known.groupBy("frame").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support), "frames")
+    none = docs.sparkSession.createDataFrame([], f"{key} bigint, row bigint, start int, end int")
+    if frames.isEmpty():
+        return none
+    others = _filled(docs, frames, key, text, False).join(known, ["frame", "value"], "left_anti").groupBy("frame").agg(F.count("*").alias("others"))
+    trust = F.col("support") / (F.col("support") + F.coalesce("others", F.lit(0)) + 1)
+    good = stored(frames.join(others, "frame", "left").filter(trust >= min_trust).select("frame"), "good-frames")
+    if good.isEmpty():
+        return none
+    # a place is kept once its frame is known to be a good one, not only to share its bit
+    return _filled(docs, good, key, text, True).join(good, "frame", "left_semi").select(key, "row", "start", "end")
+
+
+def found_spans(docs: DataFrame, scan: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row, found (sorted spans) of rows of ``docs`` where trusted values, or fillers of trusted
+    frames, occur beside the base spans. ``scan`` is ``scanned(docs)``."""
     marks = scan.filter(F.size("marks") > 0).select(key, "row", F.explode("marks").alias("m")).select(key, "row", "m.*")
-    values = trusted_values(marks.select("value", "seed", "patterns"))
-    hits = marks.filter(~F.col("seed")).join(values, "value")
+    edges = _edges(marks)
+    trusted = _trusted(edges)
+    values = trusted.join(edges.filter("seed").select("value").distinct(), "value", "left_anti")
+    hits = marks.filter(~F.col("seed")).join(values, "value").select(key, "row", "start", "end")
+    hits = hits.unionByName(framed_spans(docs, edges, trusted, key, text))
     return hits.groupBy(key, "row").agg(F.sort_array(F.collect_set(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found"))
 
 
@@ -196,7 +321,7 @@ def _paired(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, base and found spans of every row of ``docs``."""
     scan = stored(scanned(docs, key, text), "pii-scan")
-    return _paired(scan.drop("marks"), found_spans(scan, key), key).select(key, "base", "found")
+    return _paired(scan.drop("marks"), found_spans(docs, scan, key, text), key).select(key, "base", "found")
 
 
 def merged(spans: list[Span]) -> list[Span]:
@@ -213,8 +338,8 @@ def merged(spans: list[Span]) -> list[Span]:
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; columns unchanged."""
     scan = stored(scanned(docs, key, text), "pii-scan")
-    found = stored(found_spans(scan, key), "pii-found")
-    spans = stored(_paired(scan.filter((F.size("base") > 0) | (F.size("marks") > 0)), found, key).select(key, "row", F.concat("base", "found").alias("found")).filter(F.size("found") > 0).dropDuplicates([key, "row"]), "pii-spans")
+    found = stored(found_spans(docs, scan, key, text), "pii-found")
+    spans = stored(_paired(scan, found, key).select(key, "row", F.concat("base", "found").alias("found")).filter(F.size("found") > 0).dropDuplicates([key, "row"]), "pii-spans")
     named = spans.select(F.struct(key, "row", "found").alias("_found"))
     hit = docs.join(named, docs[key].eqNullSafe(F.col(f"_found.{key}")) & (F.xxhash64(docs[key], docs[text]) == F.col("_found.row")), "left")
     pieces = F.struct(F.col(text), F.col("_found.found").alias("found"))
