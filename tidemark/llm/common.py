@@ -134,7 +134,8 @@ def with_facts(rows: DataFrame, facts: DataFrame, on: Sequence[str], values: Seq
     out = rows.join(F.broadcast(hot), same("_h_", rows), "left")
     spot = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PART)))
     out = out.withColumn("_spot", spot.cast("int"))
-    cold = named("_c_", [F.lit(0).alias("_at")]).where(facts[n] * HOT_PART <= total)
+    # always 0, but of a column: a literal would be pushed out of the join's keys, and rows dealt by key alone
+    cold = named("_c_", [F.pmod(facts[n], F.lit(1)).cast("int").alias("_at")]).where(facts[n] * HOT_PART <= total)
     out = out.join(cold, [*same("_c_", out), out["_spot"] == F.col("_at")], "left")
     made = {v: F.when(F.col("_hot").isNull(), F.col(f"_c_{v}")).otherwise(F.col(f"_h_{v}")) for v in values}
     return out.select(*(rows[c] for c in rows.columns), *(c.alias(v) for v, c in made.items()))
