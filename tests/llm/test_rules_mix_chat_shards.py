@@ -151,3 +151,24 @@ def test_shards_edges(spark, odd, none, odd_rows):
     hot = [(i, "same text" if i % 3 else f"text {i}") for i in range(900)]
     rows = label_shards.shard(spark.createDataFrame(hot, "doc_id bigint, text string"), 6).collect()
     check_shards(rows, [t for _, t in hot], 6)
+
+
+def test_hot_hub_is_dealt_out(spark):
+    """Half of all rows share a text: their group stays one, and the join with its votes is not one task."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import with_facts
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("hub"), "id")
+    facts = rows.groupBy("hub").agg(F.count("*").alias("n"), F.max("id").alias("want"))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # or small tables are one task
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        dealt = with_facts(rows, facts, ["hub"], ["want"]).withColumn("task", F.spark_partition_id())
+        by_task = {r["task"]: r["count"] for r in dealt.filter("hub = 7").groupBy("task").count().collect()}
+        assert sum(by_task.values()) == 20_001 and max(by_task.values()) < 10_000
+        assert dealt.filter("hub = 7 and want = 39998").count() == 20_001 and dealt.filter("hub <> 7 and want = id").count() == 19_999
+    finally:
+        for name in off:
+            spark.conf.unset(name)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, stored, unit_hash
+from .common import running_totals, stored, unit_hash, with_facts
 
 ROWS_PER_BUCKET = 4000
 
@@ -30,21 +30,22 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def propagate(nodes: DataFrame, hubs: DataFrame, shards: int, total: int, rounds: int = 3, slack: float = 0.9) -> DataFrame:
-    """(hub, doc_id, size, copies, label) of linked documents after ``rounds`` rounds.
+def propagate(linked: DataFrame, shards: int, total: int, rounds: int = 3, slack: float = 0.9) -> DataFrame:
+    """``linked`` (hub, doc_id, size, copies, ...) with the label of each document after ``rounds`` rounds.
 
     A round: each hub counts its bytes by label and wants the largest; members elsewhere ask to move
     there; a label lets in the share of askers that its quota allows (``slack`` of an equal share of
     all bytes less what it holds), chosen by hash: whole groups, or single members where one group
-    is more than a fiftieth of a shard. Hubs with many members are counted map-side first.
+    is more than a fiftieth of a shard. Votes are summed map-side first; what hubs of very many members
+    want is broadcast, so that their members need not meet in one task.
     """
     quota = slack * total / shards
-    linked = nodes.join(hubs, "hub").withColumn("label", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("doc_id"), F.lit(4))), F.lit(shards)).cast("int"))
+    linked = linked.withColumn("label", F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("doc_id"), F.lit(4))), F.lit(shards)).cast("int"))
     linked = stored(linked, "linked")
     for turn in range(rounds):
-        votes = linked.groupBy("hub", "label").agg(F.sum("size").alias("held"))
-        wanted = votes.groupBy("hub").agg(F.max_by("label", F.struct("held", F.xxhash64("hub", "label"))).alias("want"))
-        asks = linked.join(wanted, "hub")
+        votes = linked.groupBy("hub", "label").agg(F.sum("size").alias("held"), F.count("*").alias("n"))
+        wanted = votes.groupBy("hub").agg(F.max_by("label", F.struct("held", F.xxhash64("hub", "label"))).alias("want"), F.sum("n").alias("n"))
+        asks = with_facts(linked, wanted, ["hub"], ["want"])
         held = linked.groupBy("label").agg(F.sum("size").alias("held"))
         asked = asks.filter("label <> want").groupBy(F.col("want").alias("label")).agg(F.sum("size").alias("asked"))
         room = {r["label"]: min(1.0, max(0.0, quota - (r["held"] or 0)) / r["asked"]) for r in asked.join(held, "label", "left").collect()}
@@ -62,9 +63,10 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), linked for each row."""
     nodes = stored(nodes_of(docs), "nodes")
     total, rows = nodes.agg(F.sum("size"), F.count("*")).first()
-    hubs = nodes.filter("hub is not null").groupBy("hub").agg(F.count("*").alias("copies")).filter("copies > 1")
-    linked = propagate(nodes, hubs, shards, total or 0, rounds)
-    free = nodes.join(hubs, "hub", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    hubs = nodes.filter("hub is not null").groupBy("hub").agg(F.count("*").alias("copies")).filter("copies > 1").withColumn("n", F.col("copies"))
+    nodes = stored(with_facts(nodes, hubs, ["hub"], ["copies"]), "counted-nodes")
+    linked = propagate(nodes.filter("copies is not null"), shards, total or 0, rounds)
+    free = nodes.filter("copies is null").withColumn("copies", F.lit(1).cast("long"))
     free = free.withColumn("label", F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(shards)).cast("int"))
     buckets = max(1, rows // (shards * ROWS_PER_BUCKET))
     spot = unit_hash("doc_id", F.lit("spot"))
