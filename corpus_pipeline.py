@@ -43,12 +43,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and place of each row.
 
-    ``place`` ascends in the order of the rows as stored: number of the part file, then row in it. After
+    ``place`` ascends in the order of the rows as stored: number of the part, then of its file, then row in it. After
     ``source_mix``, which writes range-sorted rows, that is the training order. It is null where ``docs``
     is not read from part files.
     """
-    part = F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).try_cast("long")
-    place = F.shiftleft(part, 40) + F.col("_metadata.row_index")
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long")
+    nth = F.coalesce(number(r"-c([0-9]+)\.[a-z.]*$"), F.lit(0))  # a part has several files under maxRecordsPerFile
+    place = F.shiftleft(number(r"^part-([0-9]+)"), 42) + F.shiftleft(nth, 32) + F.col("_metadata.row_index")
     try:
         placed = docs.select("doc_id", "lang", "source", "text", place.alias("place"))
         placed.schema  # noqa: B018
