@@ -294,7 +294,7 @@ def hex_coerce(spark, sf):
     return _rows(spark, sf, "swap_logs").select("id", F.concat(F.lit("0x"), F.lower(F.hex(raw))).alias("hex"), F.length(raw).cast("bigint").alias("bytes"))
 
 
-@query("kv_json_payload", "SELECT id, CASE WHEN id%5=0 THEN json_extract_string(payload,'$.rate') WHEN id%5=1 THEN json_extract_string(payload,'$.value') WHEN id%5=2 THEN json_extract_string(payload,'$.price') WHEN id%5=3 THEN payload END AS value FROM kv_payloads", "kv_payloads")
+@query("kv_json_payload", "SELECT id, CASE WHEN json_valid(payload) AND payload LIKE '{%' THEN coalesce(json_extract_string(payload,'$.rate'), json_extract_string(payload,'$.value'), json_extract_string(payload,'$.price')) WHEN TRY_CAST(payload AS DOUBLE) IS NOT NULL THEN payload END AS value FROM kv_payloads", "kv_payloads")
 def kv_json_payload(spark, sf):
     """The first of three keys of an object, or a plain number."""
     p = F.col("payload")
@@ -302,7 +302,7 @@ def kv_json_payload(spark, sf):
     return _rows(spark, sf, "kv_payloads").select("id", F.coalesce(named, F.when(P.number(p).isNotNull(), p)).alias("value"))
 
 
-@query("json_parse_or_null", "SELECT id, CASE WHEN id%5 IN (0,1,2) THEN CASE WHEN id%5=1 THEN CAST(json_extract_string(payload,'$.value') AS DOUBLE) END END AS value, id%5 IN (0,1,2) AS parsed FROM kv_payloads", "kv_payloads")
+@query("json_parse_or_null", "SELECT id, CASE WHEN json_valid(payload) AND payload LIKE '{%' THEN TRY_CAST(json_extract_string(payload,'$.value') AS DOUBLE) END AS value, json_valid(payload) AND payload LIKE '{%' AS parsed FROM kv_payloads", "kv_payloads")
 def json_parse_or_null(spark, sf):
     made = F.from_json("payload", "struct<value:double,bad:string>", {"columnNameOfCorruptRecord": "bad"})
     return _rows(spark, sf, "kv_payloads").withColumn("m", made).select("id", "m.value", (F.col("m.bad").isNull() & F.col("payload").startswith("{")).alias("parsed"))
