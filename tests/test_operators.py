@@ -109,6 +109,21 @@ def test_upper_median_by_bounds(spark):
     assert got == {k: sorted(v)[len(v) // 2] for k, v in held.items()}
 
 
+def test_rows_meet_their_median_without_a_shuffle(spark):
+    quotes = spark.range(1000).selectExpr("id", "id % 3 AS source", "CASE WHEN id % 3 = 2 THEN 2.0 * pow(10, id % 5) ELSE 100.0 + id % 7 END AS price")
+    kept = prices.within_deviation(quotes, "source", "price", 0.02)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan
+    rows = [(r["id"], r["source"], r["price"]) for r in quotes.collect()]
+    want = set()
+    for s in range(3):
+        own = [(i, p) for i, t, p in rows if t == s]
+        middle = sorted(p for _, p in own)[len(own) // 2]
+        near = [i for i, p in own if abs(p - middle) / middle <= 0.02]
+        want.update(near if len(near) > 1 else [i for i, _ in own])
+    assert {r["id"] for r in kept.collect()} == want and len(want) < 1000
+
+
 def test_rolling_sum_across_spans(spark):
     import random
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import DAY, HOUR, bucket
+from ..sources.scratch import settled
 
 INVERTED, EXCLUDED = ("signup",), ("error",)
 
@@ -49,9 +50,10 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Approximate quantiles (off by a ten-thousandth of the rows at most) on both sides of the middle bound
     it; rows below are counted, and only the distinct values between are put in order, with their counts.
+    The bounds are one row per key and are settled first: rows meet them without a shuffle where keys are few.
     """
     bounds = F.percentile_approx(value, F.array(F.lit(0.499), F.lit(0.501)), 10000)
-    sides = df.groupBy(*keys).agg(bounds.alias("_q"), F.count(value).alias("_all"))
+    sides = settled(df.groupBy(*keys).agg(bounds.alias("_q"), F.count(value).alias("_all")))
     near = df.select(*keys, F.col(value).alias("_v")).join(sides, keys).filter(F.col("_v") <= F.get("_q", F.lit(1)))
     low = F.get("_q", F.lit(0))
     counts = near.groupBy(*keys, F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_all").alias("_all"))
@@ -68,9 +70,9 @@ def modal(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
 
 def within_deviation(df: DataFrame, key: str, value: str, limit: float) -> DataFrame:
     """Rows within ``limit`` of their key's upper median; keys with fewer than two such rows keep all."""
-    medians = upper_median(df, [key], value)
+    medians = settled(upper_median(df, [key], value))
     joined = df.join(medians, key).withColumn("_in", F.abs(F.col(value) - F.col("median")) / F.col("median") <= limit)
-    joined = joined.join(joined.groupBy(key).agg(F.count_if("_in").alias("_ins")), key)
+    joined = joined.join(settled(joined.groupBy(key).agg(F.count_if("_in").alias("_ins"))), key)
     return joined.filter(F.col("_in") | (F.col("_ins") < 2)).drop("_in", "_ins", "median")
 
 

@@ -1,4 +1,4 @@
-"""Folders that driver and executors share, for streams' checkpoints, sinks and saved state."""
+"""Folders that driver and executors share, for streams' checkpoints, sinks and saved state, and for facts that joins need."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(facts: DataFrame, name: str = "facts") -> DataFrame:
+    """``facts`` written and read back, so that a join with it is planned by its real size: where that is small Spark
+    broadcasts it and the other side is not shuffled; an aggregate's size is a guess until its input has been."""
+    path = shared_folder(facts.sparkSession, name)
+    facts.write.parquet(path)
+    return facts.sparkSession.read.schema(facts.schema).parquet(path)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (dots written as two underscores) for the time of a block."""
