@@ -10,7 +10,7 @@ too. Instances trusted at the end are found spans, wherever their value occurs.
 Identifiers that do not look like one (names, user names, "ann at mail dot com") are found by where they
 stand: the word before and the word after trusted values are a frame, and so are two words before and one
 after; whatever run of up to MOST_TOKENS tokens fills a frame anywhere is a
-candidate. A frame is trusted as a pattern is, but against all its fillers, so
+candidate. A frame is trusted as a pattern is, but by occurrences and against all its fillers, so
 frames of everyday words are not; fillers of trusted frames are found spans there (not elsewhere, as a name may
 be a common word). Frames of over 200 code points propose nothing.
 
@@ -173,7 +173,8 @@ def trusted_values(marks: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float
 
 
 def _edges(marks: DataFrame) -> DataFrame:
-    return stored(marks.select("value", "seed", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
+    """value, seed, pattern and ``n``, how often they occur together."""
+    return stored(marks.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("value", "seed", "pattern").agg(F.count("*").alias("n")), "pattern-edges")
 
 
 def _trusted(edges: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -185,7 +186,7 @@ def _trusted(edges: DataFrame, rounds: int = MOST_ROUNDS, min_trust: float = MIN
         score = F.sum("known") / (F.count("*") + 1)
         patterns = known.groupBy("pattern").agg(F.sum("known").alias("support"), score.alias("trust"), F.count("*").alias("n"))
         good = patterns.filter((F.col("support") >= min_support) & (F.col("trust") >= min_trust))
-        scores = with_facts(edges.filter(~F.col("seed")), good, ["pattern"], ["trust"]).groupBy("value").agg(F.max("trust").alias("score"))
+        scores = with_facts(edges.filter(~F.col("seed")).drop("n"), good, ["pattern"], ["trust"]).groupBy("value").agg(F.max("trust").alias("score"))
         reached = scores.filter(F.col("score") >= min_trust).select("value")
         trusted = stored(trusted.unionByName(reached).distinct(), "trusted")
         before, size = size, trusted.count()
@@ -216,14 +217,16 @@ def _bit_map(frames: DataFrame) -> np.ndarray:
     return out
 
 
-def _fillers(text: str, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(frame, start, end) of the runs of up to MOST_TOKENS tokens in frames that ``bits`` may hold. A run
-    holds neither of the frame's words, and it starts and ends with a letter, digit or other inner sign."""
+def _fillers(text: str, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(frames, starts, ends) of the runs of up to MOST_TOKENS tokens in frames that ``bits`` may hold. A run
+    holds neither of the words beside it and touches no base span; its first and last token are not only signs."""
     words = [m.span() for m in _TOKEN.finditer(text)]
     if len(words) < 3:
         return
-    bare = [text[s:e].strip(_EDGE).lower() for s, e in words]
-    codes = np.array([_code(w) if w else 0 for w in bare], np.uint64)
+    inner = [text[s:e].strip(_EDGE) for s, e in words]
+    known: dict[str, int] = {"": 0}
+    codes = np.array([known[w] if (w := x.lower()) in known else known.setdefault(w, _code(w)) for x in inner], np.uint64)
+    taken: np.ndarray | None = None
     for n, wide in [(n, wide) for n in range(1, MOST_TOKENS + 1) for wide in (0, 1) if n + 1 + wide < len(words)]:
         first, before, after = codes[: -n - 2], codes[wide : -n - 1], codes[n + 1 + wide :]
         frames = (before << np.uint64(1)) ^ after
@@ -231,65 +234,73 @@ def _fillers(text: str, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
         if wide:
             frames, usable = frames ^ (first << np.uint64(2)), usable & (first != 0)
         at = frames & np.uint64((1 << MAP_BITS) - 1)
-        held = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        for f in np.flatnonzero(held & usable):
-            i = f + wide
-            inner = bare[i + 1 : i + n + 1]
-            if inner[0] and inner[-1] and bare[i] not in inner and bare[i + n + 1] not in inner:
-                (s, _), (t, e) = words[i + 1], words[i + n]
-                start = s + len(text[s : words[i + 1][1]]) - len(text[s : words[i + 1][1]].lstrip(_EDGE))
-                yield int(frames[f].astype(np.int64)), start, t + len(text[t:e].rstrip(_EDGE))
+        held = np.flatnonzero(usable & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+        run = held + wide + 1  # its first token
+        good = (codes[run] != 0) & (codes[run + n - 1] != 0)
+        for k in range(n):
+            good &= (codes[run + k] != codes[run - 1]) & (codes[run + k] != codes[run + n])
+        if not good.any():
+            continue
+        if taken is None:
+            taken = np.zeros(len(words) + 1, np.int64)
+            ends = [e for _, e in words]
+            starts = [s for s, _ in words]
+            for _, s, e in base_spans(text):
+                taken[bisect.bisect_right(ends, s) + 1 : bisect.bisect_left(starts, e) + 1] = 1
+            taken = np.cumsum(taken)
+        good &= taken[run + n] == taken[run]
+        picked, run = held[good], run[good]
+        if len(run):
+            lead = np.array([starts[i] + text[starts[i] : ends[i]].index(inner[i]) for i in run])
+            last = np.array([starts[i] + text[starts[i] : ends[i]].index(inner[i]) + len(inner[i]) for i in run + n - 1])
+            yield frames[picked].view(np.int64), lead, last
 
 
 def _filled(docs: DataFrame, frames: DataFrame, key: str, text: str, spans: bool) -> DataFrame:
-    """Fillers of ``frames`` in every whole text, exactly: frame and value (a hash, each once a batch), or
-    with ``spans`` key, row, start and end of every one that touches no base span."""
+    """Fillers of ``frames`` in every whole text, and of others that share a bit with these: frame and n, their
+    number in a batch, or with ``spans`` key, row, frame, start and end of each."""
     bits = docs.sparkSession.sparkContext.broadcast(_bit_map(frames))
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(f, _code(whole(body[s:e]))) for x in batch.column(2) if (body := x.as_py()) for f, s, e in _fillers(body, bits.value)}
-            made = np.array([f for f, _ in found], np.int64), np.array([v for _, v in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["frame", "value"])
+            found = [f for x in batch.column(2) for f, _, _ in _fillers(x.as_py() or "", bits.value)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found), return_counts=True)], ["frame", "n"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked, out = [], []
-            for i, x in enumerate(batch.column(2)):
-                fillers = list(_fillers(x.as_py() or "", bits.value))
-                base = base_spans(x.as_py()) if fillers else []
-                for f, s, e in fillers:
-                    if not any(a < e and s < b for _, a, b in base):
-                        picked.append(i)
-                        out.append((f, s, e))
-            frame, start, end = (pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))
-            rows = batch.take(pa.array(picked, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), frame, start, end], [key, "row", "frame", "start", "end"])
+            found = [(np.full(len(f), i), f, s, e) for i, x in enumerate(batch.column(2)) for f, s, e in _fillers(x.as_py() or "", bits.value)]
+            if found:
+                picked, frame, start, end = (np.concatenate(x) for x in zip(*found))
+                rows = batch.take(pa.array(picked))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(frame), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [key, "row", "frame", "start", "end"])
 
     rows = docs.select(F.col(key).cast("long"), F.xxhash64(key, text).alias("row"), text)
     if spans:
         return rows.mapInArrow(places, f"{key} bigint, row bigint, frame bigint, start int, end int")
-    return rows.mapInArrow(values, "frame bigint, value bigint").distinct()
+    return rows.mapInArrow(counts, "frame bigint, n bigint")
 
 
 def framed_spans(docs: DataFrame, edges: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", min_trust: float = MIN_TRUST, min_support: int = MIN_SUPPORT) -> DataFrame:
     """key, row, start, end of the fillers of trusted frames.
 
-    Frames are the patterns of ``edges`` that name words on both sides, with enough ``trusted`` values. Their fillers are
-    counted over all texts (distinct values, by hash), known values apart. Texts are read once for the
-    counts and once for the places; neither read is made where no frame is left.
+    Frames are the patterns of ``edges`` that name words on both sides, with enough ``trusted`` values. The
+    trust of a frame is the share of known values in all that fills it, by occurrences, so that fillers are
+    counted where they are read: their number does not grow the shuffle, however common the frames' words are.
+    Texts are read once for the counts and once for the places; neither read is made where no frame is left.
     """
     two = edges.filter((F.col("pattern").startswith("lr:") | F.col("pattern").startswith("3:")) & (F.length("pattern") < 200))
     two = two.withColumn("words", F.split(F.regexp_replace("pattern", "^(lr|3):", ""), " ")).filter(~F.array_contains("words", ""))
-    two = two.join(trusted, "value").select(_frame(F.col("words")).alias("frame"), F.xxhash64("value").alias("value"))
-    known = two.select("frame", "value").distinct()
-    frames = stored(known.groupBy("frame").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support), "frames")
+    two = two.join(trusted, "value").select(_frame(F.col("words")).alias("frame"), "seed", "value", "n")
+    two = two.groupBy("frame").agg(F.count_distinct("value").alias("support"), F.sum("n").alias("known"), F.coalesce(F.sum(F.when(~F.col("seed"), F.col("n"))), F.lit(0)).alias("unseeded"))
+    frames = stored(two.filter(F.col("support") >= min_support), "frames")
     none = docs.sparkSession.createDataFrame([], f"{key} bigint, row bigint, start int, end int")
     if frames.isEmpty():
         return none
-    others = _filled(docs, frames, key, text, False).join(known, ["frame", "value"], "left_anti").groupBy("frame").agg(F.count("*").alias("others"))
-    trust = F.col("support") / (F.col("support") + F.coalesce("others", F.lit(0)) + 1)
-    good = stored(frames.join(others, "frame", "left").filter(trust >= min_trust).select("frame"), "good-frames")
+    both = frames.unionByName(_filled(docs, frames, key, text, False), allowMissingColumns=True)
+    both = both.groupBy("frame").agg(F.max("known").alias("known"), (F.coalesce(F.sum("n"), F.lit(0)) - F.max("unseeded")).alias("others"))
+    trust = F.col("known") / (F.col("known") + F.greatest("others", F.lit(0)) + 1)
+    good = stored(both.filter(trust >= min_trust).select("frame"), "good-frames")
     if good.isEmpty():
         return none
     # a place is kept once its frame is known to be a good one, not only to share its bit
