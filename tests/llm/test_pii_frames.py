@@ -64,7 +64,7 @@ def test_fillers_by_plain_loops():
                 if ((bare[i], bare[j]) in wanted or i and (bare[i - 1], bare[i], bare[j]) in wanted) and inner[0] and inner[-1] and bare[i] not in inner and bare[j] not in inner:
                     s, e = spots[i + 1], spots[j - 1]
                     want.add((s[0] + len(s[1]) - len(s[1].lstrip(pii._EDGE)), e[0] + len(e[1].rstrip(pii._EDGE))))
-        assert {x for _, s, e in pii._fillers(text, bits) for x in zip(s.tolist(), e.tolist())} == want
+        assert {x for _, s, e in pii._fillers(text, bits, pii._Codes(), True) for x in zip(s.tolist(), e.tolist())} == want
 
 
 def test_frames_are_the_same_in_spark_and_python(spark):

@@ -217,15 +217,25 @@ def _bit_map(frames: DataFrame) -> np.ndarray:
     return out
 
 
-def _fillers(text: str, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(frames, starts, ends) of the runs of up to MOST_TOKENS tokens in frames that ``bits`` may hold. A run
-    holds neither of the words beside it and touches no base span; its first and last token are not only signs."""
-    words = [m.span() for m in _TOKEN.finditer(text)]
+class _Codes(dict):
+    """Codes of tokens without edge signs and case (0 where nothing is left), kept for some 500,000 tokens."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        bare = token.strip(_EDGE).lower()
+        self[token] = _code(bare) if bare else 0
+        return self[token]
+
+
+def _fillers(text: str, bits: np.ndarray, known: _Codes, places: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(frames, starts, ends) of the runs of up to MOST_TOKENS tokens in frames that ``bits`` may hold; without
+    ``places`` starts and ends are empty. A run holds neither of the words beside it and touches no base span; its
+    first and last token are not only signs."""
+    words = _TOKEN.findall(text)
     if len(words) < 3:
         return
-    inner = [text[s:e].strip(_EDGE) for s, e in words]
-    known: dict[str, int] = {"": 0}
-    codes = np.array([known[w] if (w := x.lower()) in known else known.setdefault(w, _code(w)) for x in inner], np.uint64)
+    codes = np.array([known[w] for w in words], np.uint64)
     taken: np.ndarray | None = None
     for n, wide in [(n, wide) for n in range(1, MOST_TOKENS + 1) for wide in (0, 1) if n + 1 + wide < len(words)]:
         first, before, after = codes[: -n - 2], codes[wide : -n - 1], codes[n + 1 + wide :]
@@ -243,17 +253,18 @@ def _fillers(text: str, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
             continue
         if taken is None:
             taken = np.zeros(len(words) + 1, np.int64)
-            ends = [e for _, e in words]
-            starts = [s for s, _ in words]
-            for _, s, e in base_spans(text):
+            base = base_spans(text)
+            if base or places:
+                starts, ends = (list(x) for x in zip(*(m.span() for m in _TOKEN.finditer(text))))
+            for _, s, e in base:
                 taken[bisect.bisect_right(ends, s) + 1 : bisect.bisect_left(starts, e) + 1] = 1
             taken = np.cumsum(taken)
         good &= taken[run + n] == taken[run]
         picked, run = held[good], run[good]
         if len(run):
-            lead = np.array([starts[i] + text[starts[i] : ends[i]].index(inner[i]) for i in run])
-            last = np.array([starts[i] + text[starts[i] : ends[i]].index(inner[i]) + len(inner[i]) for i in run + n - 1])
-            yield frames[picked].view(np.int64), lead, last
+            lead = [starts[i] + len(words[i]) - len(words[i].lstrip(_EDGE)) for i in run] if places else []
+            last = [starts[i] + len(words[i].rstrip(_EDGE)) for i in run + n - 1] if places else []
+            yield frames[picked].view(np.int64), np.array(lead, np.int64), np.array(last, np.int64)
 
 
 def _filled(docs: DataFrame, frames: DataFrame, key: str, text: str, spans: bool) -> DataFrame:
@@ -262,14 +273,16 @@ def _filled(docs: DataFrame, frames: DataFrame, key: str, text: str, spans: bool
     bits = docs.sparkSession.sparkContext.broadcast(_bit_map(frames))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes()
         for batch in batches:
-            found = [f for x in batch.column(2) for f, _, _ in _fillers(x.as_py() or "", bits.value)]
+            found = [f for x in batch.column(2) for f, _, _ in _fillers(x.as_py() or "", bits.value, known, False)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found), return_counts=True)], ["frame", "n"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes()
         for batch in batches:
-            found = [(np.full(len(f), i), f, s, e) for i, x in enumerate(batch.column(2)) for f, s, e in _fillers(x.as_py() or "", bits.value)]
+            found = [(np.full(len(f), i), f, s, e) for i, x in enumerate(batch.column(2)) for f, s, e in _fillers(x.as_py() or "", bits.value, known, True)]
             if found:
                 picked, frame, start, end = (np.concatenate(x) for x in zip(*found))
                 rows = batch.take(pa.array(picked))
