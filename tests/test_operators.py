@@ -145,6 +145,14 @@ def test_texts_as_logs_and_pages_show_them(spark):
     assert [one(spark, K.human_usd(lit(x))) for x in (1_250_000.0, 2500.0, 44.5, -2500.0)] == ["$1.3M", "$3K", "$45", "$-2500"]
 
 
+def test_shortened_dollars_as_printf_rounds(spark):
+    values = [1500.0, 2500.0, 3500.0, 1_250_000.0, 1_350_000.0, 1_150_000.0, 2_750_000.0, 1_049_999.9, 999_500.0, 44.5, -2500.0]
+    values += [float(100 * n) for n in range(10_000, 60_000, 37)] + [1e6 + 50_000.0 * n for n in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", K.human_usd(F.col("x"), halves_up=False).alias("t")).collect()
+    for x, t in rows:
+        assert t == (f"${x / 1e6:.1f}M" if x >= 1e6 else f"${x / 1e3:.0f}K" if x >= 1e3 else {44.5: "$45", -2500.0: "$-2500"}[x])
+
+
 def test_markets_and_event_ids(spark):
     rows = [("USDT_COIN", "usdt/coin"), (None, "usdt/coin"), ("usdtbtc", "usdt/coin")]
     got = spark.createDataFrame(rows, "a string, b string").select(K.market_matches(F.col("a"), F.col("b"))).collect()
