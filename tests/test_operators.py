@@ -226,3 +226,13 @@ def test_places_add_up_over_cuts(spark):
     for venue in (0, 1):
         ordered = sorted((r for r in rows if r[0] == venue), key=lambda r: (r[1], -r[2], r[3]))
         assert [got[r[3]] for r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_cuts_of_price_are_made_once(spark):
+    """Quantiles of many rows depend on the order of merging: made once for each reading, rows and counts part."""
+    from tidemark.operators import orders
+
+    rows = spark.range(5000).selectExpr("CAST(id % 3 AS INT) AS venue", "'buy' AS side", "CAST(id * 7919 % 4999 AS DOUBLE) AS price", "id")
+    placed = orders.placed_by_side(rows)
+    assert "percentile_approx" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["place"] for r in placed.filter("venue = 1").collect()) == list(range(1, 1668))
