@@ -112,12 +112,14 @@ def sink_json_state(spark, sf):
 
 @query("cursor_resume", _S + _KEPT + _TOTAL + "SELECT pool, volume, swaps FROM tot")
 def cursor_resume(spark, sf):
-    """A new query goes on from saved state at each pool's cursor, whose block is read again: totals are those of
-    all swaps."""
+    """A new query goes on from saved state, at each pool's last swap seen: totals are those of all swaps. Pools
+    without saved state start empty."""
     work = shared_folder(spark, "resume")
     rows, state = _before(spark, sf, work)
-    gap = volume.after(rows, state.select("pool", "cursor").distinct())
-    return volume.volumes(spark, _settled(spark, gap, work, "second", volume.restored(state))).filter("pool >= 0").select("pool", "volume", "swaps")
+    gap = volume.after(rows, state.select("pool", "cursor", "seen").distinct())
+    fresh = rows.select("pool").distinct().join(state, "pool", "left_anti").withColumn("cursor", F.lit(None).cast("bigint"))
+    start = volume.restored(state).unionByName(volume.backfilled(rows, fresh))
+    return volume.volumes(spark, _settled(spark, gap, work, "second", start)).filter("pool >= 0").select("pool", "volume", "swaps")
 
 
 @query("alert_dedupe_stream", """, a AS (SELECT id, ts_ms, coalesce(dedupe_key, 'row '||id) AS key, severity FROM (SELECT id, ts_ms, CASE WHEN id%10<>0 THEN dedupe_key END AS dedupe_key, severity FROM alerts)),

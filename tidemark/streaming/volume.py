@@ -10,8 +10,9 @@ Late data: a swap older than the watermark, i.e. more than ``late`` behind the n
 dropped by Spark before it reaches the state. Within ``late`` every order of arrival gives the same rows.
 A row without an amount is a heartbeat: it only moves the watermark.
 
-A pool's state is its entries by ten minutes, the ids held, the total, and a cursor: the greatest block
-counted. A pool is hidden until it is seeded: a batch backfill (``backfilled``) or saved rows (``saved``) start the
+A pool's state is its entries by ten minutes, the ids held, the total, a cursor: the greatest block counted, and the
+time of the last swap seen, counted or not: a duplicate behind the cursor pushes entries out too, and must not be read
+again when the entry that it repeats has left. A pool is hidden until it is seeded: a batch backfill (``backfilled``) or saved rows (``saved``) start the
 query as its initial state; swaps of a pool that has none are not counted. Where backfill and stream overlap, ids
 make the seam exact. Saved rows without ids (of an older format) leave a pool unseeded, so that it is backfilled.
 
@@ -35,7 +36,7 @@ from ..sources.scratch import settings
 DAY, STEP = 86_400_000, 600_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows that start a query: one per entry held, and one without an entry for a pool that has none.
-SAVED = "pool bigint, seeded boolean, cursor bigint, ts_ms bigint, id bigint, micros bigint, uid string"
+SAVED = "pool bigint, seeded boolean, cursor bigint, seen bigint, ts_ms bigint, id bigint, micros bigint, uid string"
 
 
 class RollingVolume(StatefulProcessor):
@@ -51,7 +52,7 @@ class RollingVolume(StatefulProcessor):
         self.gated = gated
 
     def init(self, handle) -> None:
-        self.meta = handle.getValueState("meta", "total bigint, n bigint, steps string, seeded boolean, cursor bigint")
+        self.meta = handle.getValueState("meta", "total bigint, n bigint, steps string, seeded boolean, cursor bigint, seen bigint")
         self.held = handle.getMapState("held", "step bigint", "entries string")
         self.waiting = handle.getMapState("waiting", "step bigint", "entries string")
         self.ids = handle.getMapState("ids", "uid string", "ts_ms bigint")
@@ -59,7 +60,7 @@ class RollingVolume(StatefulProcessor):
 
     def _load(self) -> None:
         found = self.meta.get()
-        self.total, self.n, steps, self.seeded, self.cursor = found if found is not None else (0, 0, "[]", not self.gated, None)
+        self.total, self.n, steps, self.seeded, self.cursor, self.seen = found if found is not None else (0, 0, "[]", not self.gated, None, None)
         self.steps, self.read = deque(json.loads(steps)), {}
 
     def _store(self) -> None:
@@ -68,7 +69,7 @@ class RollingVolume(StatefulProcessor):
                 self.held.updateValue((step,), (json.dumps(list(entries)),))
             elif self.held.containsKey((step,)):
                 self.held.removeKey((step,))
-        self.meta.update((self.total, self.n, json.dumps(list(self.steps)), self.seeded, self.cursor))
+        self.meta.update((self.total, self.n, json.dumps(list(self.steps)), self.seeded, self.cursor, self.seen))
 
     def _entries(self, step: int) -> deque:
         if step not in self.read:
@@ -111,6 +112,8 @@ class RollingVolume(StatefulProcessor):
                 self._count([int(r.ts_ms), int(r.id), int(r.micros), None if pd.isna(r.uid) else r.uid, None])
             cursor = initialState["cursor"].max()
             self.cursor = None if pd.isna(cursor) else int(cursor)
+            seen = initialState["seen"].max()
+            self.seen = None if pd.isna(seen) else int(seen)
         self._store()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -134,6 +137,7 @@ class RollingVolume(StatefulProcessor):
         for entry in sorted(json.loads(self.waiting.getValue((step,))[0]), key=lambda e: e[:2]):
             if self._count(entry):
                 made[entry[0]] = (self.total, self.n)
+            self.seen = entry[0] if self.seen is None else max(self.seen, entry[0])
         self.waiting.removeKey((step,))
         self._store()
         yield pd.DataFrame([(key[0], ts, *rest) for ts, rest in made.items()], columns=["pool", "ts_ms", "volume", "swaps"]).astype("int64")
@@ -157,18 +161,22 @@ def backfilled(swaps: DataFrame, upto: DataFrame) -> DataFrame:
     rows = swaps.join(upto, "pool").filter((F.col("block") <= F.col("cursor")) & (F.col("usd") > 0))
     newest = rows.groupBy("pool").agg(F.max("ts_ms").alias("newest"))
     kept = rows.join(newest, "pool").filter(F.col("ts_ms") >= F.col("newest") - DAY)
-    entries = kept.select("pool", F.lit(True).alias("seeded"), "cursor", "ts_ms", "id", micros(F.col("usd")).alias("micros"), "uid")
-    empty = upto.select("pool", F.lit(True).alias("seeded"), "cursor", *(F.lit(None).cast(t).alias(n) for n, t in (("ts_ms", "bigint"), ("id", "bigint"), ("micros", "bigint"), ("uid", "string"))))
+    entries = kept.select("pool", F.lit(True).alias("seeded"), "cursor", F.lit(None).cast("bigint").alias("seen"), "ts_ms", "id", micros(F.col("usd")).alias("micros"), "uid")
+    empty = upto.select("pool", F.lit(True).alias("seeded"), "cursor", *(F.lit(None).cast(t).alias(n) for n, t in (("seen", "bigint"), ("ts_ms", "bigint"), ("id", "bigint"), ("micros", "bigint"), ("uid", "string"))))
     return entries.unionByName(empty)
 
 
 def after(swaps: DataFrame, cursors: DataFrame, blocks_a_day: int = 43_200) -> DataFrame:
     """Swaps that a query which starts from ``cursors`` (pool, cursor; null: none) has to read: from the cursor's block
     on, that block included, where ids tell what is new (swaps without an id are only taken behind it), and not
-    further back than a day before the pool's newest block."""
+    further back than a day before the pool's newest block. Where ``cursors`` has ``seen`` and it is not null, what is
+    new are the swaps after that time, with and without an id: those up to it were counted or dropped."""
+    if "seen" not in cursors.columns:
+        cursors = cursors.withColumn("seen", F.lit(None).cast("bigint"))
     floor = swaps.groupBy("pool").agg((F.max("block") - blocks_a_day).alias("floor"))
-    rows = swaps.join(cursors.select("pool", "cursor"), "pool", "left").join(floor, "pool")
+    rows = swaps.join(cursors.select("pool", "cursor", F.col("seen").alias("_seen")), "pool", "left").join(floor, "pool")
     new = F.col("cursor").isNull() | (F.col("block") > F.col("cursor")) | ((F.col("block") == F.col("cursor")) & F.col("uid").isNotNull())
+    new = F.when(F.col("_seen").isNull(), new).otherwise(F.col("ts_ms") > F.col("_seen"))
     return rows.filter(new & (F.col("block") >= F.col("floor"))).select(swaps.columns)
 
 
@@ -189,20 +197,20 @@ def saved(spark: SparkSession, checkpoint: str) -> DataFrame:
     held = _state(spark, checkpoint, "held").select(F.col("key.pool").alias("pool"), F.explode(F.from_json("user_map_value.entries", entry)).alias("e"))
     value = lambda i, kind: F.get("e", F.lit(i)).cast(kind)
     entries = held.select("pool", value(0, "bigint").alias("ts_ms"), value(1, "bigint").alias("id"), value(2, "bigint").alias("micros"), value(3, "string").alias("uid"))
-    meta = _state(spark, checkpoint, "meta").select(F.col("key.pool").alias("pool"), "value.seeded", "value.cursor")
-    return meta.join(entries, "pool", "left").select("pool", "seeded", "cursor", "ts_ms", "id", "micros", "uid")
+    meta = _state(spark, checkpoint, "meta").select(F.col("key.pool").alias("pool"), "value.seeded", "value.cursor", "value.seen")
+    return meta.join(entries, "pool", "left").select("pool", "seeded", "cursor", "seen", "ts_ms", "id", "micros", "uid")
 
 
 def restored(rows: DataFrame) -> DataFrame:
     """Saved rows as an initial state. Rows of the format without ids (no ``id`` or ``uid`` column, or a null id
     beside a time) cannot be told from what comes again: their pools lose the seed, and so do pools that were
     not seeded."""
-    for name, kind in (("id", "bigint"), ("uid", "string")):
+    for name, kind in (("id", "bigint"), ("uid", "string"), ("seen", "bigint")):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     legacy = F.bool_or(F.col("ts_ms").isNotNull() & F.col("id").isNull())
     bad = rows.groupBy("pool").agg((F.bool_and("seeded") & ~legacy).alias("whole"))
-    return rows.join(bad, "pool").withColumn("seeded", F.col("whole")).select("pool", "seeded", "cursor", "ts_ms", "id", "micros", "uid")
+    return rows.join(bad, "pool").withColumn("seeded", F.col("whole")).select("pool", "seeded", "cursor", "seen", "ts_ms", "id", "micros", "uid")
 
 
 def run(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, start: DataFrame | None = None, late: str = "3 hours") -> None:
