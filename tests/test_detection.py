@@ -96,6 +96,22 @@ def test_curves_and_nearest_points(spark, served, routes):
     assert near[True]["profit"] == pytest.approx(max(rows[book, r, 71]["profit"] for r in ("book_to_a", "book_to_b")))
 
 
+def test_nearest_sizes_are_points_of_the_curve(spark, served, routes):
+    books = sorted({k[0] for k in routes})
+    ats = [0.3, 1.0, 70.5, 4999.5, 5000.0, 9999.0, -4.0, None]
+    rows = [(b, side, ats[(i + side) % len(ats)]) for i, b in enumerate(books) for side in (True, False)] + [(books[0], True, 17.0), (-1, True, 3.0)]
+    rows_left = served.filter("NOT (book_id % 3 = 0 AND route = 'book_to_b' AND lo > 100) AND NOT (book_id % 4 = 0 AND lo > 60)")  # curves that end early
+    wanted = spark.createDataFrame(rows, "book_id bigint, buys_from_book boolean, at double")
+    got, want = (sorted(map(str, frame.select("book_id", "buys_from_book", "at", "size", "profit", "pool").collect())) for frame in (B.nearest_sizes(rows_left, wanted), B.nearest_points(B.curve(rows_left), wanted)))
+    assert got == want and len(got) == len(rows) - 1
+
+
+def test_a_nearest_point_does_not_write_the_curve(spark, sf):
+    from tidemark.plans.detection import nearest_curve_point
+
+    assert "sequence(" not in nearest_curve_point(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fundable_sizes_by_bisection(spark, served, routes):
     rng = random.Random(2)
     books = sorted({k[0] for k in routes})
