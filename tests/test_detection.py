@@ -112,6 +112,14 @@ def test_a_nearest_point_does_not_write_the_curve(spark, sf):
     assert "sequence(" not in nearest_curve_point(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tasks_sort_a_bounded_number_of_levels(spark, monkeypatch):
+    levels = spark.range(6000).selectExpr("id % 300 AS book_id", "IF(id % 600 < 300, 'bid', 'ask') AS side", "CAST(2 + id % 7 AS DOUBLE) AS price", "1.0D AS amount", "id AS level_id", "0L AS part")
+    pools = spark.range(300).selectExpr("id AS book_id", "1.5D AS qa", "0.6D AS qb", "1e4 AS la", "1e4 AS lb", "0.003D AS fee_a", "0.003D AS fee_b", "0.1D AS gas_a", "0.1D AS gas_b")
+    monkeypatch.setattr(B, "TASK_LEVELS", 500)
+    sizes = B.served(levels, pools).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 12_000 and len(sizes) == 12 and max(sizes) < 3000  # each level serves two routes
+
+
 def test_fundable_sizes_by_bisection(spark, served, routes):
     rng = random.Random(2)
     books = sorted({k[0] for k in routes})
