@@ -151,3 +151,11 @@ def test_what_is_missing_has_no_route(spark):
     assert B.served(levels.limit(0), pools).count() == 0 and B.fundable_in_pools(pools.filter("book_id = 3")).count() == 0
     both = {r["route"]: r for r in B.fundable_in_pools(pools.filter("book_id = 1")).collect()}
     assert both["a_to_b"]["moved"] == pytest.approx(7.0) and both["b_to_a"]["moved"] == pytest.approx(7.0)
+
+
+def test_curves_of_pools_are_dealt_over_tasks(spark):
+    from tidemark.operators import detection as D
+
+    pools = spark.range(600).coalesce(1).selectExpr("id AS pair", "1.0D AS qa", "1.0D AS qb")
+    sizes = D.pool_curve(pools, 50).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 3 and sum(sizes) == 600 * 50 and max(sizes) <= 201 * 50

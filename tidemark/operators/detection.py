@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 LIQUIDITY, POOL_FEE, BOOK_FEE = 2e4, 0.0005, 0.001
+#: Pools whose curves one task writes out.
+TASK_POOLS = 250
 
 
 def _through_pools(x: Column, first: Column, second: Column) -> tuple[Column, Column]:
@@ -46,7 +48,9 @@ def best_direction(trades: DataFrame, key: str) -> DataFrame:
 
 
 def pool_curve(pools: DataFrame, least: int = 5000) -> DataFrame:
-    """Profit of both directions at whole sizes from 1 to ``least`` or 1.5 times the best size."""
+    """Profit of both directions at whole sizes from 1 to ``least`` or 1.5 times the best size. A small table of pools
+    makes thousands of rows of each, so pools are dealt out over tasks of TASK_POOLS."""
+    pools = pools.repartition(-(-pools.count() // TASK_POOLS) or 1)
     best = F.greatest(*(K.best_size(_profit(a, b), 15_000.0) for _, a, b in DIRECTIONS))
     upto = pools.withColumn("upto", F.greatest(F.lit(least), (best * 1.5).cast("int")))
     grid = upto.withColumn("size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("upto").cast("bigint"))))
