@@ -161,6 +161,15 @@ def test_short_periodic_own_and_null_id_repeats(spark):
     assert left == [0, 150]
 
 
+def test_a_text_whose_only_boundary_is_its_start(spark):
+    rng, short = random.Random(0), ""
+    while list(gear_chunks.marks(code_points(short))) != [0]:
+        short = "".join(rng.choice("abcdefghij ") for _ in range(100))
+    docs = spark.createDataFrame([(1, short), (2, "some words before it " + short + " and after"), (3, short)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["start"], r["end"], *r["first_doc_ids"]) for r in gear_chunks.repeated_spans(docs).collect()}
+    assert got == {(2, 21, 121, 1), (3, 0, 100, 1)}
+
+
 def test_trust_runs_to_its_end_and_keys_are_whole(spark):
     rows = [(f"s{i}", True, ["p0"]) for i in range(30)]
     rows += [(f"v{step}-{i}", False, [f"p{step}", f"p{step + 1}"]) for step in range(6) for i in range(5)]

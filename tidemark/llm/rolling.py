@@ -69,12 +69,12 @@ def _powers(n: int, base: np.uint64, name: str) -> np.ndarray:
 
 def piece_hashes(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the pieces that end (exclusive) at ``ends``: a polynomial in each piece's own
-    code points, from differences of one prefix sum."""
+    code points, from differences of one prefix sum. A piece may be empty, also where there are no code points."""
     n = len(points)
     with np.errstate(over="ignore"):
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + U64(1)) * _powers(n, _MULTIPLIER, "up"), dtype=np.uint64)])
         starts = np.concatenate([np.zeros(1, ends.dtype), ends[:-1]])
-        own = (prefix[ends] - prefix[starts]) * _powers(n, _INVERSE, "down")[starts]
+        own = (prefix[ends] - prefix[starts]) * _powers(n + 1, _INVERSE, "down")[starts]  # an empty piece may start at n
     return mixed(own)
 
 
