@@ -115,6 +115,58 @@ def test_backfill_meets_stream(spark, tmp_path):
     assert totals(spark, tmp_path)[0] == plain(rows)[1][0]
 
 
+class Asked(dict):
+    """A state variable that counts what is asked of it."""
+
+    def __init__(self):
+        self.asked = 0
+
+    def __getattribute__(self, name):
+        if name in ("getValue", "containsKey", "updateValue", "removeKey"):
+            self.asked += 1
+        return super().__getattribute__(name)
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def containsKey(self, key):
+        return key in self
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_state_is_asked_by_steps_and_ids_not_by_swaps():
+    """3,000 swaps in parts of ten, in a random order: one step that all parts have, and another a day later."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng, timers, held, meta = random.Random(5), [], {}, SimpleNamespace(value=None)
+    meta.get, meta.update = lambda: meta.value, lambda value: setattr(meta, "value", value)
+    handle = SimpleNamespace(getValueState=lambda *_: meta, getMapState=lambda name, *_: held.setdefault(name, Asked()), registerTimer=timers.append)
+    rows = [(0, i, HOUR * 30 + rng.randrange(volume.STEP) + i % 2 * volume.DAY, rng.randrange(1, 10**7), rng.choice([None, *"abcdefgh"])) for i in range(3000)]
+    fold = volume.RollingVolume(False)
+    fold.init(handle)
+    parts = (pd.DataFrame([(*r, r[2] // 2000) for r in rows[at : at + 10]], columns=["pool", "id", "ts_ms", "micros", "uid", "block"]) for at in range(0, 3000, 10))
+    made = list(fold.handleInputRows((0,), parts, None))
+    assert held["waiting"].asked <= 8 and len(timers) == 2
+    for at in sorted(timers):
+        made += fold.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+    want, last = plain(rows)
+    assert {(r.pool, r.ts_ms): r.volume for m in made for r in m.itertuples()} == want and meta.value[:2] == last[0]
+    assert held["ids"].asked <= 40 and not held["waiting"] and {k[0] for k in held["ids"]} <= set("abcdefgh")
+    again = volume.RollingVolume(False)  # another task goes on from what was written
+    again.init(handle)
+    later = (0, 9000, max(r[2] for r in rows), 5, "a")
+    list(again.handleInputRows((0,), [pd.DataFrame([(*later, 1)], columns=["pool", "id", "ts_ms", "micros", "uid", "block"])], None))
+    list(again.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: timers[-1])))
+    assert meta.value[:2] == plain([*rows, later])[1][0]
+
+
 def test_incidents_open_close_and_open_again(spark, tmp_path):
     day = 24 * HOUR
     rows = [(1, 1, "k", "info"), (2, HOUR, "k", "critical"), (3, 6 * HOUR, "k", "warning"), (4, HOUR, None, "info"), (5, HOUR, None, "info")]

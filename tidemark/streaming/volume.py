@@ -16,7 +16,8 @@ again when the entry that it repeats has left. A pool is hidden until it is seed
 query as its initial state; swaps of a pool that has none are not counted. Where backfill and stream overlap, ids
 make the seam exact. Saved rows without ids (of an older format) leave a pool unseeded, so that it is backfilled.
 
-A pool is one key by its nature, its events are counted one after another; memory holds ten minutes of it and what they push out.
+A pool is one key by its nature, its events are counted one after another; memory holds ten minutes of it and what they push out, the
+ids that KEPT allows and, as swaps come, GATHERED of them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +37,38 @@ from ..sources.scratch import settings
 
 #: A day, and the step of time that is settled and kept together, in milliseconds.
 DAY, STEP = 86_400_000, 600_000
+#: Swaps put to their steps at a time, and ids and pools that a task keeps in memory.
+GATHERED, KEPT = 100_000, 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows that start a query: one per entry held, and one without an entry for a pool that has none.
 SAVED = "pool bigint, seeded boolean, cursor bigint, seen bigint, ts_ms bigint, id bigint, micros bigint, uid string"
 
 
+@dataclass
+class Pool:
+    """A pool's ``meta``, and what a task has read of its entries by step and of its ids (whether held)."""
+
+    total: int
+    n: int
+    steps: deque
+    seeded: bool
+    cursor: int | None
+    seen: int | None
+    stored: bool
+    read: dict[int, deque] = field(default_factory=dict)
+    ids: dict[str, bool] = field(default_factory=dict)
+    #: What the state does not say yet: steps, and ids with their time (none: no longer held).
+    touched: set[int] = field(default_factory=set)
+    changed: dict[str, int | None] = field(default_factory=dict)
+
+
 class RollingVolume(StatefulProcessor):
     """Rows (pool, ts_ms, volume, swaps): the total after all swaps of a millisecond.
 
     State: ``meta``; ``held`` and ``waiting``, entries [ts_ms, id, micros, uid, block] of a step of time as text;
-    ``ids``. A run over settled steps reads each step it touches once and writes it once.
+    ``ids``. Each call writes what it changes. Within a task ``meta``, the ends of what is held and up to KEPT ids of up
+    to KEPT pools are kept from call to call, so that a swap whose id is known asks the state nothing. Swaps that come
+    are put to their steps by GATHERED at a time.
     """
 
     OUTPUT = "pool bigint, ts_ms bigint, volume bigint, swaps bigint"
@@ -57,90 +82,126 @@ class RollingVolume(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "step bigint", "entries string")
         self.ids = handle.getMapState("ids", "uid string", "ts_ms bigint")
         self.register_timer = handle.registerTimer
+        self.pools = {}
 
-    def _load(self) -> None:
-        found = self.meta.get()
-        self.total, self.n, steps, self.seeded, self.cursor, self.seen = found if found is not None else (0, 0, "[]", not self.gated, None, None)
-        self.steps, self.read = deque(json.loads(steps)), {}
+    def _load(self, key: tuple) -> None:
+        if key not in self.pools:
+            if sum(1 + len(p.ids) for p in self.pools.values()) > KEPT:
+                self.pools.clear()
+            found = self.meta.get()
+            total, n, steps, seeded, cursor, seen = found if found is not None else (0, 0, "[]", not self.gated, None, None)
+            self.pools[key] = Pool(total, n, deque(json.loads(steps)), seeded, cursor, seen, found is not None)
+        self.pool = self.pools[key]
 
     def _store(self) -> None:
-        for step, entries in self.read.items():
-            if entries:
-                self.held.updateValue((step,), (json.dumps(list(entries)),))
+        p = self.pool
+        for step in p.touched:
+            if p.read[step]:
+                self.held.updateValue((step,), (json.dumps(list(p.read[step])),))
             elif self.held.containsKey((step,)):
                 self.held.removeKey((step,))
-        self.meta.update((self.total, self.n, json.dumps(list(self.steps)), self.seeded, self.cursor, self.seen))
+        for uid, ts in p.changed.items():
+            if ts is not None:
+                self.ids.updateValue((uid,), (ts,))
+            elif self.ids.containsKey((uid,)):
+                self.ids.removeKey((uid,))
+        self.meta.update((p.total, p.n, json.dumps(list(p.steps)), p.seeded, p.cursor, p.seen))
+        p.touched, p.changed, p.stored = set(), {}, True
+        p.read = {s: p.read[s] for s in {*list(p.steps)[:1], *list(p.steps)[-1:]} & p.read.keys()}
+        if len(p.ids) > KEPT:
+            p.ids.clear()
 
     def _entries(self, step: int) -> deque:
-        if step not in self.read:
-            self.read[step] = deque(json.loads(self.held.getValue((step,))[0]) if self.held.containsKey((step,)) else ())
-        return self.read[step]
+        read = self.pool.read
+        if step not in read:
+            read[step] = deque(json.loads(self.held.getValue((step,))[0]) if self.held.containsKey((step,)) else ())
+        return read[step]
 
     def _evict(self, cutoff: int) -> None:
-        while self.steps:
-            entries = self._entries(self.steps[0])
+        p = self.pool
+        while p.steps:
+            entries = self._entries(p.steps[0])
             while entries and entries[0][0] < cutoff:
                 ts, _, micros, uid, _ = entries.popleft()
-                self.total, self.n = self.total - micros, self.n - 1
+                p.total, p.n = p.total - micros, p.n - 1
+                p.touched.add(p.steps[0])
                 if uid is not None:
-                    self.ids.removeKey((uid,))
+                    p.ids[uid], p.changed[uid] = False, None
             if entries:
                 return
-            self.steps.popleft()
+            p.steps.popleft()
 
     def _count(self, entry: list) -> bool:
         """Whether the entry was added, after what is too old for its time has left."""
         ts, _, micros, uid, block = entry
+        p = self.pool
         self._evict(ts - DAY)
         if uid is not None:
-            if self.ids.containsKey((uid,)):
+            if uid not in p.ids:
+                p.ids[uid] = self.ids.containsKey((uid,))
+            if p.ids[uid]:
                 return False
-            self.ids.updateValue((uid,), (ts,))
-        if not self.steps or self.steps[-1] != ts // STEP:
-            self.steps.append(ts // STEP)
-        self._entries(ts // STEP).append(entry)
-        self.total, self.n = self.total + micros, self.n + 1
+            p.ids[uid], p.changed[uid] = True, ts
+        step = ts // STEP
+        if not p.steps or p.steps[-1] != step:
+            p.steps.append(step)
+        self._entries(step).append(entry)
+        p.touched.add(step)
+        p.total, p.n = p.total + micros, p.n + 1
         if block is not None:
-            self.cursor = block if self.cursor is None else max(self.cursor, block)
+            p.cursor = block if p.cursor is None else max(p.cursor, block)
         return True
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._load()
-        self.seeded = bool(initialState["seeded"].all())
-        if self.seeded:
+        self._load(key)
+        p = self.pool
+        p.seeded = bool(initialState["seeded"].all())
+        if p.seeded:
             for r in initialState[initialState["ts_ms"].notna()].sort_values(["ts_ms", "id"]).itertuples():
                 self._count([int(r.ts_ms), int(r.id), int(r.micros), None if pd.isna(r.uid) else r.uid, None])
             cursor = initialState["cursor"].max()
-            self.cursor = None if pd.isna(cursor) else int(cursor)
+            p.cursor = None if pd.isna(cursor) else int(cursor)
             seen = initialState["seen"].max()
-            self.seen = None if pd.isna(seen) else int(seen)
+            p.seen = None if pd.isna(seen) else int(seen)
         self._store()
 
+    def _wait(self, entries: list[list]) -> None:
+        for step, own in groupby(sorted(entries, key=lambda e: e[0]), key=lambda e: e[0] // STEP):
+            text = json.dumps(list(own))
+            if self.waiting.containsKey((step,)):
+                text = f"{self.waiting.getValue((step,))[0][:-1]}, {text[1:]}"
+            else:
+                self.register_timer((step + 1) * STEP - 1)
+            self.waiting.updateValue((step,), (text,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self._load()
-        for part in rows if self.seeded else ():
+        self._load(key)
+        entries: list[list] = []
+        for part in rows if self.pool.seeded else ():
             part = part[part["micros"] > 0]
-            for step, group in part.groupby(part["ts_ms"] // STEP):
-                step, known = int(step), self.waiting.containsKey((int(step),))
-                entries = json.loads(self.waiting.getValue((step,))[0]) if known else []
-                entries += [[int(r.ts_ms), int(r.id), int(r.micros), None if pd.isna(r.uid) else r.uid, None if pd.isna(r.block) else int(r.block)] for r in group.itertuples()]
-                self.waiting.updateValue((step,), (json.dumps(entries),))
-                if not known:
-                    self.register_timer((step + 1) * STEP - 1)
-        if self.meta.get() is None:
+            ts, number, amount = (part[c].astype("int64").tolist() for c in ("ts_ms", "id", "micros"))
+            uid, block = ([None if lost else x for x, lost in zip(part[c].tolist(), part[c].isna())] for c in ("uid", "block"))
+            entries += ([*e, None if b is None else int(b)] for *e, b in zip(ts, number, amount, uid, block))
+            if len(entries) >= GATHERED:
+                self._wait(entries)
+                entries = []
+        self._wait(entries)
+        if not self.pool.stored:
             self._store()
-        yield pd.DataFrame(columns=["pool", "ts_ms", "volume", "swaps"], dtype="int64")
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         step, made = expiredTimerInfo.getExpiryTimeInMs() // STEP, {}
-        self._load()
+        self._load(key)
+        p = self.pool
         for entry in sorted(json.loads(self.waiting.getValue((step,))[0]), key=lambda e: e[:2]):
             if self._count(entry):
-                made[entry[0]] = (self.total, self.n)
-            self.seen = entry[0] if self.seen is None else max(self.seen, entry[0])
+                made[entry[0]] = (p.total, p.n)
+            p.seen = entry[0] if p.seen is None else max(p.seen, entry[0])
         self.waiting.removeKey((step,))
         self._store()
-        yield pd.DataFrame([(key[0], ts, *rest) for ts, rest in made.items()], columns=["pool", "ts_ms", "volume", "swaps"]).astype("int64")
+        if made:
+            yield pd.DataFrame([(key[0], ts, *rest) for ts, rest in made.items()], columns=["pool", "ts_ms", "volume", "swaps"]).astype("int64")
 
 
 def micros(usd: Column) -> Column:
