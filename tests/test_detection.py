@@ -106,6 +106,22 @@ def test_nearest_sizes_are_points_of_the_curve(spark, served, routes):
     assert got == want and len(got) == len(rows) - 1
 
 
+def test_prices_of_the_curve_round_as_in_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import detection, market
+
+    con = duckdb.connect()
+    con.sql("create table supplier as select 1::bigint s_suppkey, 's' s_name, 1 s_nationkey, 100.0::double s_acctbal")
+    prices = "(1, 'F', 8028.5), (2, 'O', 8070.5), (3, 'F', 1001.25), (4, 'O', 9000.0)"  # 8.0285 and 8.0705 lie below a half when multiplied
+    con.sql(f"create table lineitem as select k::bigint l_orderkey, 1::bigint l_partkey, 1::bigint l_suppkey, 1 l_linenumber, 40.0::double l_quantity, (40 * price)::double l_extendedprice, s l_linestatus from (values {prices}) t(k, s, price)")
+    for name in ("supplier", "lineitem"):
+        con.sql(f"copy {name} to '{tmp_path}/{name}.parquet'")
+    got = sorted(map(tuple, detection.profit_curve_cex_dex(spark, str(tmp_path)).collect()))
+    assert len(got) == 4 * 5000 and {row[-1] for row in got} >= {8.028, 8.07}
+    assert got == sorted(con.sql(market.ORACLES["profit_curve_cex_dex"]).fetchall())
+
+
 def test_a_nearest_point_does_not_write_the_curve(spark, sf):
     from tidemark.plans.detection import nearest_curve_point
 
